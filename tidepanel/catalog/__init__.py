@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("preparation",)
+MODULES = ("preparation", "forecasts")
 
 
 def load():

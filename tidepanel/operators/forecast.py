@@ -20,12 +20,17 @@ def origin_rows(panel: DataFrame, year: int, horizons, cohort: DataFrame | None
     """
     first = 12 * year
     s = prep.series(panel)
-    s = s.join(cohort if cohort is not None else prep.cohort_complete(panel, year), "id", "left_semi")
-    start = F.greatest(F.lit(first), F.col("start"))
-    gaps = F.transform(F.slice("vals", start - F.col("start") + 1, F.size("vals")), lambda x: F.coalesce(x <= 0, F.lit(True)))
+    if cohort is not None:
+        s = s.join(cohort, "id", "left_semi")
+    # Complete profile year, read off the array: no second pass over the panel.
+    train = F.slice("vals", F.lit(first + 1) - F.col("start"), 12)
+    s = s.filter((F.col("start") <= first) & (F.col("stop") >= first + 11)).filter(
+        ~F.exists(train, lambda x: F.coalesce(x <= 0, F.lit(True))))
+    gaps = F.transform(
+        F.slice("vals", F.lit(first + 1) - F.col("start"), F.size("vals")), lambda x: F.coalesce(x <= 0, F.lit(True)))
     # Months before the first gap; 0 from array_position means there is none.
     length = F.when(F.array_position(gaps, True) > 0, F.array_position(gaps, True) - 1).otherwise(F.size(gaps))
-    s = s.withColumn("complete_through", (start + length - 1).cast("int"))
+    s = s.withColumn("complete_through", (F.lit(first) + length - 1).cast("int"))
     last_origin = F.least(F.col("stop") - 1, F.col("complete_through")) if prefix else F.col("stop") - 1
     rows = (
         s.withColumn("_last", last_origin).filter(F.col("_last") >= first + 11)
@@ -44,6 +49,9 @@ def _own_profile(year: int, m) -> Column:
     return prep.at(F.lit(12 * year) + months.month_of_year(m))
 
 
+MODELS = ("last", "year_ago", "seasonal_pooled", "seasonal_local", "same_month_yoy", "seasonal_mix", "growth_bridge")
+
+
 def model_columns(year: int, growth: float) -> dict[str, Column]:
     """Closed-form models over ``origin_rows`` with ``p_global`` and ``profile`` attached."""
     year_ago = prep.at(F.col("target") - 12)
@@ -82,8 +90,8 @@ def shrunk_candidates(panel: DataFrame, regions: DataFrame, year: int, horizons,
     """Regional ratio shrunk toward the pooled ratio, every candidate strength at once."""
     rows = origin_rows(panel, year, horizons)
     regional = profiles.profile_regional(panel, regions, year, minimum)
-    ids = prep.cohort_complete(panel, year).join(regions.select("id", "region"), "id", "left").join(regional, "region", "left")
-    rows = rows.join(ids, "id").crossJoin(F.broadcast(profiles.profile_global(panel, year)))
+    ids = regions.select("id", "region").join(regional, "region", "left")
+    rows = rows.join(ids, "id", "left").crossJoin(F.broadcast(profiles.profile_global(panel, year)))
     ratio = lambda p: profiles.factor(p, "target") / profiles.factor(p, "origin")
     g, r = ratio("p_global"), F.coalesce(ratio("p_region"), ratio("p_global"))
     entries = []

@@ -63,17 +63,19 @@ def effective_dated(facts: DataFrame, dimension: DataFrame, key: str, moment: st
 def asof_latest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """Latest right row at or before each left row, without a range join.
 
-    Both sides are merged into one time line per key and the last seen right value is carried forward.
+    The search runs on the distinct (key, time) pairs of both sides, which the calendar bounds however
+    hot a key is; left rows get their answer back by equality. Left rows without a match are kept.
     """
     ks = keys or ["_all"]
     l, r = (left, right) if keys else (left.withColumn("_all", F.lit(1)), right.withColumn("_all", F.lit(1)))
-    payload = F.struct(*[F.col(c) for c in values])
-    lrows = l.select(*ks, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
-    rrows = r.select(*ks, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), payload.alias("_r"))
-    merged = lrows.unionByName(rrows, allowMissingColumns=True)
+    asked = l.select(*ks, F.col(left_time).alias("_t")).distinct().withColumn("_side", F.lit(1))
+    known = r.groupBy(*ks, F.col(right_time).alias("_t")).agg(F.max(F.struct(*values)).alias("_r")).withColumn("_side", F.lit(0))
+    line = asked.unionByName(known, allowMissingColumns=True)
     w = W.partitionBy(*ks).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = merged.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    return seen.select("_l.*", *[F.col(f"_last.{c}").alias(c) for c in values])
+    seen = line.withColumn("_last", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
+    answers = seen.select(*ks, F.col("_t").alias(left_time), *[F.col(f"_last.{c}").alias(c) for c in values])
+    out = l.join(answers, [*ks, left_time], "left")
+    return out if keys else out.drop("_all")
 
 
 def k_nearest(edges: DataFrame, ids: DataFrame, k: int) -> DataFrame:

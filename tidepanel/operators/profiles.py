@@ -6,15 +6,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidepanel.functions import months
-from tidepanel.operators import prep
+from tidepanel.functions import months, scalars
+
+
+def training_units(panel: DataFrame, year: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, id, train): the twelve profile-year values of every id complete in that year.
+
+    One shuffle by id; nothing outside the year is read.
+    """
+    good = panel.filter(F.col("m").between(12 * year, 12 * year + 11)).withColumn(
+        "value", scalars.positive_or_null("value")).filter("value is not null")
+    grouped = good.groupBy(*(keys or []), "id").agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("_s"))
+    return grouped.filter(F.size("_s") == 12).select(*(keys or []), "id", F.transform("_s", lambda x: x["value"]).alias("train"))
 
 
 def training_rows(panel: DataFrame, year: int, keys: list[str] | None = None) -> DataFrame:
-    """Profile-year rows of the ids complete in that year. Nothing after the year is read."""
-    ids = prep.cohort_complete(panel, year, [*(keys or []), "id"])
-    return panel.filter(F.col("m").between(12 * year, 12 * year + 11)).join(
-        ids, [*(keys or []), "id"], "left_semi").withColumn("moy", months.month_of_year("m"))
+    return training_units(panel, year, keys).select(*(keys or []), "id", F.posexplode("train").alias("moy", "value"))
 
 
 def _as_array(sums: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -48,7 +55,7 @@ def mix(p_global, p_region, weight) -> Column:
 
 def profile_mix(panel: DataFrame, regions: DataFrame, year: int, minimum: int, weight: float) -> DataFrame:
     """(id, region, profile, regional_profile_used) for every eligible id."""
-    ids = prep.cohort_complete(panel, year).join(regions.select("id", "region"), "id", "left")
+    ids = training_units(panel, year).select("id").join(regions.select("id", "region"), "id", "left")
     regional = profile_regional(panel, regions, year, minimum)
     joined = ids.join(regional, "region", "left").crossJoin(F.broadcast(profile_global(panel, year)))
     return joined.select(
@@ -68,7 +75,7 @@ def geometric(p_global, p_region, weight: Column) -> Column:
 
 
 def profile_shrunk(panel: DataFrame, regions: DataFrame, year: int, minimum: int, k: float | None) -> DataFrame:
-    ids = prep.cohort_complete(panel, year).join(regions.select("id", "region"), "id", "left")
+    ids = training_units(panel, year).select("id").join(regions.select("id", "region"), "id", "left")
     regional = profile_regional(panel, regions, year, minimum)
     w = F.coalesce(shrink_weight("members", k), F.lit(0.0))
     return ids.join(regional, "region", "left").crossJoin(F.broadcast(profile_global(panel, year))).select(

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidepanel.session import cut_lineage
+
 SKETCH_ACCURACY = 10_000
 # Below this count a group is kept whole. Above it the bracket of ±4/accuracy holds every rank within
 # four rows of the wanted one, because the sketch is off by at most n/accuracy rows.
@@ -182,40 +184,33 @@ def _smallest_ids(tied: DataFrame, keys: list[str], tie: str, buckets: int = 409
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, name: str) -> DataFrame:
     """First value, in order, whose cumulative weight reaches half of the total.
 
-    Two rounds of approximate cut points narrow the search to a sliver of each group before any
-    ordered window is taken; weights outside the sliver enter as sums.
+    Equal values are merged first. A large group is split at approximate cut points, only the bucket
+    that holds the half enters an ordered window, and the weights below it enter as one sum. Small
+    groups are one bucket. The merged rows are written once, because three passes read them.
     """
     grain = keys or ["_all"]
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_w"))
     if not keys:
         rows = rows.withColumn("_all", F.lit(1))
-    rows = rows.groupBy(*grain, "_v").agg(F.sum("_w").alias("_w"))
-    total = rows.groupBy(*grain).agg((F.sum("_w") / 2).alias("_half"))
-    current = rows.join(total, on=grain).withColumn("_base", F.lit(0.0))
-    probs = ",".join(repr(i / 64) for i in range(1, 64))
-    run = W.partitionBy(*grain).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    for _ in range(2):
-        cuts = current.groupBy(*grain).agg(F.expr(f"array_distinct(approx_percentile(_v, array({probs}), 1000))").alias("_cuts"))
-        placed = current.join(cuts, on=grain).withColumn(
-            "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-        )
-        chosen = (
-            placed.groupBy(*grain, "_bucket", "_half", "_base").agg(F.sum("_w").alias("_bw"))
-            .withColumn("_cum", F.sum("_bw").over(run) + F.col("_base"))
-            .withColumn("_next", F.lag("_cum").over(W.partitionBy(*grain).orderBy("_bucket")))
-            .filter(F.col("_cum") >= F.col("_half"))
-            .groupBy(*grain)
-            .agg(F.min("_bucket").alias("_bucket"),
-                 F.min_by(F.coalesce("_next", "_base"), F.col("_bucket")).alias("_next"))
-        )
-        current = (
-            placed.join(chosen, on=[*grain, "_bucket"])
-            .select(*grain, "_v", "_w", "_half", F.col("_next").alias("_base"))
-        )
+    rows = cut_lineage(rows.groupBy(*grain, "_v").agg(F.sum("_w").alias("_w")), "weights")
+    probs = ",".join(repr(i / 256) for i in range(1, 256))
+    sketch = rows.groupBy(*grain).agg(
+        F.count("*").alias("_n"), (F.sum("_w") / 2).alias("_half"),
+        F.expr(f"approx_percentile(_v, array({probs}), 2000)").alias("_cuts"))
+    small = F.col("_n") <= WHOLE_GROUP
+    placed = rows.join(sketch, on=grain).withColumn(
+        "_bucket", F.when(small, F.lit(0)).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v")))))
+    run = W.partitionBy(*grain).orderBy("_bucket")
+    chosen = (
+        placed.groupBy(*grain, "_bucket", "_half").agg(F.sum("_w").alias("_bw"))
+        .withColumn("_cum", F.sum("_bw").over(run.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .withColumn("_base", F.coalesce(F.lag("_cum").over(run), F.lit(0.0)))
+        .filter(F.col("_cum") >= F.col("_half"))
+        .groupBy(*grain).agg(F.min("_bucket").alias("_bucket"), F.min_by("_base", "_bucket").alias("_base")))
     order = W.partitionBy(*grain).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = placed.select(*grain, "_bucket", "_v", "_w", "_half").join(chosen, on=[*grain, "_bucket"])
     out = (
-        current.withColumn("_cum", F.sum("_w").over(order) + F.col("_base"))
+        inside.withColumn("_cum", F.sum("_w").over(order) + F.col("_base"))
         .filter(F.col("_cum") >= F.col("_half"))
-        .groupBy(*grain).agg(F.min("_v").alias(name))
-    )
+        .groupBy(*grain).agg(F.min("_v").alias(name)))
     return out if keys else out.drop("_all")
