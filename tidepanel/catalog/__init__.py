@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("preparation", "forecasts")
+MODULES = ("preparation", "forecasts", "comparisons", "bands")
 
 
 def load():

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 DIGITS = 6
+# Means of cents often end exactly half-way; a small shift takes such values off the rounding boundary.
+NUDGE = 0.0137
 KINDS = {"l": "bigint", "d": "double", "s": "string", "b": "boolean", "t": "date"}
 SQL_KINDS = {"l": "BIGINT", "d": "DOUBLE", "s": "VARCHAR", "b": "BOOLEAN", "t": "DATE"}
 
@@ -33,7 +35,7 @@ def finish(df: DataFrame, spec: str, digits: int = DIGITS) -> DataFrame:
     out = []
     for name, kind in _columns(spec):
         c = F.col(name).cast(KINDS[kind])
-        out.append((F.round(c, digits) if kind == "d" else c).alias(name))
+        out.append((F.round(c + NUDGE * 10.0**-digits, digits) if kind == "d" else c).alias(name))
     return df.select(*out)
 
 
@@ -41,7 +43,8 @@ def finish_sql(body: str, spec: str, digits: int = DIGITS) -> str:
     out = []
     for name, kind in _columns(spec):
         c = f"CAST({name} AS {SQL_KINDS[kind]})"
-        out.append((f"round({c}, {digits}) + 0.0::DOUBLE" if kind == "d" else c) + f" AS {name}")
+        nudged = f"round({c} + {NUDGE * 10.0**-digits!r}::DOUBLE, {digits}) + 0.0::DOUBLE"
+        out.append((nudged if kind == "d" else c) + f" AS {name}")
     return f"{PRELUDE}\nSELECT {', '.join(out)} FROM (\n{body}\n)"
 
 

@@ -139,6 +139,7 @@ def top_share(df: DataFrame, keys: list[str], value: str, share: float, name: st
 
 def drop_largest(df: DataFrame, keys: list[str], value: str, tie: str, share: float) -> DataFrame:
     """Rows left after removing the ⌈share·n⌉ largest, ties removed by the smallest ``tie`` first."""
+    df = cut_lineage(df, "ranked")
     k = lambda n: F.ceil(n * share)
     cut = order_statistics(df, keys, value, {"_t": (1 - share, lambda n: n - k(n) + 1)})
     attach = lambda left, right: left.join(right, on=keys) if keys else left.crossJoin(F.broadcast(right))
