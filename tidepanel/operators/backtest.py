@@ -9,16 +9,18 @@ from tidepanel.operators.quantiles import grouped_median
 from tidepanel.schema import DetectorSettings
 from tidepanel.session import cut_lineage
 
-SCENARIO = ["seed", "shift", "shape"]
+SCENARIO = ["seed", "shift", "shape", "fraction"]
 
 
-def scenario_table(spark, seeds, shifts, shapes) -> DataFrame:
-    return spark.createDataFrame([(int(s), float(x), h) for s in seeds for x in shifts for h in shapes], "seed long, shift double, shape string")
+def scenario_table(spark, seeds, shifts, shapes, fractions=(0.25,)) -> DataFrame:
+    """One row per combination; its size is fixed by the settings, so it may be broadcast."""
+    rows = [(int(s), float(x), h, float(f)) for s in seeds for x in shifts for h in shapes for f in fractions]
+    return spark.createDataFrame(rows, "seed long, shift double, shape string, fraction double")
 
 
-def inject_shock(panel: DataFrame, scenarios: DataFrame, onset: int, fraction: float = 0.25, span: int = 6) -> DataFrame:
+def inject_shock(panel: DataFrame, scenarios: DataFrame, onset: int, span: int = 6) -> DataFrame:
     """(scenario, id, m, value, treated): treated rows from the onset on are multiplied, all else is untouched."""
-    crossed = panel.crossJoin(F.broadcast(scenarios)).withColumn("treated", scalars.id_uniform(F.col("seed"), "id") < fraction)
+    crossed = panel.crossJoin(F.broadcast(scenarios)).withColumn("treated", scalars.id_uniform(F.col("seed"), "id") < F.col("fraction"))
     k = F.col("m") - onset
     factor = F.when(F.col("treated") & (k >= 0), scalars.shock_factor("shape", "shift", k, span)).otherwise(F.lit(1.0))
     return crossed.withColumn("value", F.when(factor == 1.0, F.col("value")).otherwise(F.col("value") * factor))
@@ -43,7 +45,7 @@ def run(panel: DataFrame, scenarios: DataFrame, onset: int, cal: tuple[int, int]
     joined = after.drop("observed").join(before, ["id", "m", "method"])
     changed = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))
     return joined.select(
-        *SCENARIO, "id", (scalars.id_uniform(F.col("seed"), "id") < 0.25).alias("treated"), (F.col("m") - onset).alias("k"), "method", "observed",
+        *SCENARIO, "id", (scalars.id_uniform(F.col("seed"), "id") < F.col("fraction")).alias("treated"), (F.col("m") - onset).alias("k"), "method", "observed",
         "base_alarm", changed.alias("changed_alarm"), (changed & ~F.col("base_alarm")).alias("new_alarm"))
 
 
@@ -184,3 +186,49 @@ def induced_error_path(base: DataFrame, changed: DataFrame, keys: list[str]) ->
     """Median change of the log error per month after a common shock; both tables are (keys, id, k, error)."""
     both = changed.withColumnRenamed("error", "_c").join(base.withColumnRenamed("error", "_b"), ["id", "k"]).withColumn("diff", F.col("_c") - F.col("_b"))
     return grouped_median(both, [*keys, "k"], "diff", "induced").drop("n")
+
+
+def level_stress(panel: DataFrame, regions: DataFrame, onset: int, cal: tuple[int, int], minimum: int, shifts: list[float], shapes: list[str],
+                 seed: int, settings: DetectorSettings = DetectorSettings(), span: int = 6) -> DataFrame:
+    """Shocks to the whole panel, to each of the three largest regions and to a quarter of the ids.
+
+    Every level is judged at its own units only: (scope, scenario, shift, shape, level, method) rates.
+    """
+    spark = panel.sparkSession
+    last = onset + span - 1
+    known = panel.filter(F.col("m") <= last)
+    members = regions.select("id", "region").filter("region is not null").join(known.select("id").distinct(), "id", "left_semi")
+    largest = members.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") >= minimum).orderBy(F.desc("n"), "region").limit(3)
+    fixed = spark.createDataFrame([("national", "all"), ("local", str(seed))], "scope string, scenario string")
+    scope = fixed.unionByName(largest.select(F.lit("regional").alias("scope"), F.col("region").cast("string").alias("scenario")))
+    grid = spark.createDataFrame([(float(s), h) for s in shifts for h in shapes], "shift double, shape string")
+    keys = ["scope", "scenario", "shift", "shape"]
+    plan = F.broadcast(scope.crossJoin(F.broadcast(grid)))  # at most five scopes × the settings grid
+    hit = (F.col("scope") == "national") | ((F.col("scope") == "regional") & (F.col("region").cast("string") == F.col("scenario"))) | (
+        (F.col("scope") == "local") & (scalars.id_uniform(F.col("scenario"), "id") < 0.25))
+    k = F.col("m") - onset
+    altered = known.join(members, "id", "left").crossJoin(plan).withColumn("hit", F.coalesce(hit, F.lit(False)))
+    altered = altered.withColumn("value", F.when(F.col("hit") & (k >= 0), F.col("value") * scalars.shock_factor("shape", "shift", k, span)).otherwise(F.col("value")))
+
+    def scored(rows, extra):
+        levels = signals.signal_levels(signals.yoy_log(rows, extra, last), regions, minimum, extra)
+        unit = [*extra, "level", "unit"]
+        base = levels.filter(F.col("m").between(*cal)).groupBy(*unit).agg(F.percentile("z", 0.5).alias("_c"))
+        centred = levels.join(base, unit).withColumn("z", F.col("z") - F.col("_c"))
+        return detectors.by_method(detectors.scores(centred.select(*unit, "m", "z"), unit, settings), unit)
+
+    base = cut_lineage(scored(known, []), "level-scores")
+    limits = detectors.threshold_per_unit(base, ["level", "unit"], cal)
+    quiet = detectors.alarms(base.filter(F.col("m") >= onset).join(limits, ["level", "unit", "method"])).groupBy("level", "unit", "method").agg(F.max(F.col("active").cast("int")).alias("base"))
+    changed = detectors.alarms(scored(altered, keys).filter(F.col("m") >= onset).join(limits, ["level", "unit", "method"]))
+    found = changed.groupBy(*keys, "level", "unit", "method").agg(F.max(F.col("active").cast("int")).alias("found"), F.min(F.when(F.col("active"), F.col("m") - onset)).alias("delay"))
+    target = F.when(F.col("level") == "national", F.col("scope") == "national").when(
+        F.col("level") == "regional", (F.col("scope") == "national") | ((F.col("scope") == "regional") & (F.col("unit") == F.col("scenario")))).otherwise(
+        (F.col("scope") == "national") | ((F.col("scope") == "local") & (scalars.id_uniform(F.col("scenario"), "unit") < 0.25)) | (
+            (F.col("scope") == "regional") & (F.col("region").cast("string") == F.col("scenario"))))
+    judged = found.join(quiet, ["level", "unit", "method"]).join(members.select(F.col("id").cast("string").alias("unit"), "region"), "unit", "left").withColumn("target", F.coalesce(target, F.lit(False)))
+    rate = lambda c, side: F.avg(F.when(F.col("target") == side, c.cast("double")))
+    return judged.groupBy(*keys, "level", "method").agg(
+        (F.first("scope") == F.first("level")).alias("intended"), F.count(F.when(F.col("target"), 1)).alias("target_units"), F.count(F.when(~F.col("target"), 1)).alias("control_units"),
+        rate(F.col("found"), True).alias("target_rate"), rate(F.col("base"), True).alias("target_base_rate"), rate((F.col("found") == 1) & (F.col("base") == 0), True).alias("target_new_rate"),
+        rate(F.col("found"), False).alias("control_rate"), F.percentile(F.when(F.col("target"), F.col("delay")), 0.5).alias("median_delay"))
