@@ -458,9 +458,9 @@ def _(spark, sf):
 
 @query("choose_under_capacity", "side:s method:s detection:d burden:d", f"""
 WITH {BT}, {CALENDAR}, mm AS (SELECT CASE WHEN seed=20261001 THEN 'selection' ELSE 'evaluation' END AS side, method, avg(new_by_third) AS detection, avg(base_control_per100) AS burden FROM cal WHERE lag=1 AND shape='step' GROUP BY ALL)
-SELECT * FROM mm WHERE method IN (SELECT method FROM mm WHERE side='selection' AND burden<=10 AND detection>=0.05 ORDER BY detection DESC, burden, method LIMIT 1)""")
+SELECT * FROM mm WHERE method IN (SELECT method FROM mm WHERE side='selection' AND burden<=20 AND detection>=0 ORDER BY detection DESC, burden, method LIMIT 1)""")
 def _(spark, sf):
-    return backtest.choose_under_capacity(calendar(spark, sf).filter("lag = 1 and shape = 'step'"), [20261001], 10.0, 0.05, "new_by_third", "base_control_per100")
+    return backtest.choose_under_capacity(calendar(spark, sf).filter("lag = 1 and shape = 'step'"), [20261001], 20.0, 0.0, "new_by_third", "base_control_per100")
 
 
 @query("level_stress", "scope:s scenario:s shift:d shape:s level:s method:s intended:b target_units:l control_units:l target_rate:d target_base_rate:d target_new_rate:d control_rate:d median_delay:d")
