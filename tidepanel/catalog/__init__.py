@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("preparation", "forecasts", "comparisons", "bands", "monitoring", "evidence")
+MODULES = ("preparation", "forecasts", "comparisons", "bands", "monitoring", "evidence", "learning")
 
 
 def load():
