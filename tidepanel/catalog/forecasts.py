@@ -346,7 +346,7 @@ W_SQL = "(SELECT unnest([0.0,0.25,0.5,0.75,1.0]::DOUBLE[]) AS weight)"
 
 @query("select_weight", "weight:d mae:d pairs:l", f"""
 WITH {PAIRS} SELECT weight, avg(abs(actual-(weight*predicted_a+(1-weight)*predicted_b))) AS mae, count(*) AS pairs FROM pairs CROSS JOIN {W_SQL}
-WHERE horizon=1 AND target<={EARLY} GROUP BY weight ORDER BY mae, weight LIMIT 1""", digits=4)
+WHERE horizon=1 AND target<={EARLY} GROUP BY weight ORDER BY round(mae,6), weight LIMIT 1""", digits=4)
 def _(spark, sf):
     return selection.select_weight(pairs(spark, sf), WEIGHTS, EARLY)
 
@@ -372,7 +372,7 @@ def _(spark, sf):
 
 @query("select_candidate_grid", "candidate:s weight:d mae:d dates:l", f"""
 WITH {GRID} SELECT * FROM (SELECT candidate, weight, avg(mae) AS mae, count(*) AS dates FROM derr WHERE horizon=1 AND target<={EARLY} GROUP BY ALL)
-ORDER BY mae, list_position(['pooled','regional','shrink_5','shrink_20','shrink_100'],candidate), weight LIMIT 1""", digits=4)
+ORDER BY round(mae,6), list_position(['pooled','regional','shrink_5','shrink_20','shrink_100'],candidate), weight LIMIT 1""", digits=4)
 def _(spark, sf):
     order = F.array_position(F.array(*[F.lit(c) for c in CANDIDATES]), F.col("candidate"))
     return selection.select_candidate_grid(grid(spark, sf), EARLY, order)
@@ -382,7 +382,7 @@ def _sequential(name, window):
     cond = "" if window is None else f" AND target>origin-{window}"
 
     @query(f"select_sequential_{name}", "origin:l candidate:s weight:d past_mae:d first_target:l last_target:l", f"""
-    WITH {GRID} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY past_mae, candidate, weight) AS rk FROM (SELECT origin, candidate, weight, avg(mae) AS past_mae,
+    WITH {GRID} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY round(past_mae,6), candidate, weight) AS rk FROM (SELECT origin, candidate, weight, avg(mae) AS past_mae,
     min(target) AS first_target, max(target) AS last_target FROM derr JOIN (SELECT DISTINCT m AS origin FROM panel) ON target<=origin{cond} WHERE horizon=1 GROUP BY ALL)) WHERE rk=1""", digits=4)
     def _(spark, sf):
         return selection.select_sequential(grid(spark, sf), tables.supplier_panel(spark, sf).select(F.col("m").alias("origin")), window)
@@ -394,7 +394,7 @@ _sequential("rolling_3m", 3)
 
 @query("select_forecaster", "model:s score:d rank:l", f"""
 WITH d AS (SELECT horizon, model, avg(x) AS mae FROM (SELECT horizon, model, target, avg(abs(actual-predicted)) AS x FROM fc WHERE target<={EARLY} AND horizon IN (1,3,6) GROUP BY ALL) GROUP BY ALL)
-SELECT model, score, row_number() OVER (ORDER BY score, model) AS rank FROM (SELECT d.model, avg(d.mae/b.mae) AS score FROM d JOIN d b ON b.horizon=d.horizon AND b.model='seasonal_pooled' GROUP BY d.model)""")
+SELECT model, score, row_number() OVER (ORDER BY round(score,9), model) AS rank FROM (SELECT d.model, avg(d.mae/b.mae) AS score FROM d JOIN d b ON b.horizon=d.horizon AND b.model='seasonal_pooled' GROUP BY d.model)""")
 def _(spark, sf):
     return selection.select_forecaster(base_forecasts(spark, sf), "seasonal_pooled", EARLY, [1, 3, 6])
 

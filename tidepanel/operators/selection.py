@@ -68,9 +68,12 @@ def weight_errors(pairs: DataFrame, weights: list[float], until: int) -> DataFra
 
 
 def first_minimum(df: DataFrame, keys: list[str], score: str, order: list[str]) -> DataFrame:
-    """Row with the smallest score per key; ties go to the first in ``order``."""
+    """Row with the smallest score per key; ties go to the first in ``order``.
+
+    Scores are compared after rounding, so equal candidates tie however their sums were ordered.
+    """
     by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    return df.withColumn("_k", F.row_number().over(by.orderBy(F.col(score), *order))).filter("_k = 1").drop("_k")
+    return df.withColumn("_k", F.row_number().over(by.orderBy(F.round(score, 6), *order))).filter("_k = 1").drop("_k")
 
 
 def select_weight(pairs: DataFrame, weights: list[float], until: int) -> DataFrame:
@@ -114,7 +117,7 @@ def select_forecaster(fc: DataFrame, base: str, until: int, horizons: list[int])
     mae = by_date.groupBy("horizon", "model").agg(F.avg("mae").alias("mae"))
     reference = mae.filter(F.col("model") == base).select("horizon", F.col("mae").alias("base_mae"))
     ranked = mae.join(reference, "horizon").groupBy("model").agg(F.avg(F.col("mae") / F.col("base_mae")).alias("score"))
-    return ranked.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("score", "model")))
+    return ranked.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.round("score", 9), "model")))
 
 
 def bias_factors(fc: DataFrame, scope: str, window: int | None = None, minimum_dates: int = 2, shrink: float = 3.0,

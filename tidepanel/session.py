@@ -17,6 +17,10 @@ RECOMMENDED = {
 }
 
 
+# Folder of a local session that has none configured, by application id.
+_LOCAL: dict[str, str] = {}
+
+
 def recommended(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
@@ -34,9 +38,10 @@ def work_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    path = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
