@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidepanel.catalog.kit import query
 from tidepanel.functions import scalars
 from tidepanel.operators import detectors, events, text
+from tidepanel.session import literal_table
 from tidepanel.sources import tables
 
 DAY0 = "2023-12-31"
@@ -212,7 +213,7 @@ WITH t AS (SELECT page_id, page_id%300 AS day, unnest(list_distinct(string_split
 n AS (SELECT region, day, count(DISTINCT page_id) AS n FROM t JOIN a USING(alias) GROUP BY ALL)
 SELECT region, day, coalesce(sum(n) OVER (PARTITION BY region ORDER BY day RANGE BETWEEN 90 PRECEDING AND 1 PRECEDING),0) AS mentions FROM n""")
 def _(spark, sf):
-    aliases = spark.createDataFrame(list(ALIASES.items()), "alias string, region long")
+    aliases = literal_table(spark, list(ALIASES.items()), "alias string, region long")
     return events.mentions_before(page_titles(spark, sf).withColumn("day", (F.col("page_id") % 300).cast("int")), aliases)
 
 

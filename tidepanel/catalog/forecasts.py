@@ -10,6 +10,7 @@ from tidepanel.functions import months, scalars
 from tidepanel.operators import forecast, joins, prep, profiles, selection, trend
 from tidepanel.plans.forecast_panel import audit_counts, forecast_panel, validate
 from tidepanel.schema import ForecastConfig
+from tidepanel.session import literal_table
 from tidepanel.sources import tables
 
 ORIGIN = 12 * 2000 + 11
@@ -549,6 +550,6 @@ def _(spark, sf):
 @query("scenario_cross", "id:l m:l shift:d shape:s shocked:d", """
 SELECT id, m, shift, shape, value*CASE WHEN shape='step' THEN 1+shift ELSE 1 END AS shocked FROM panel CROSS JOIN (SELECT unnest([-0.2,0.2]::DOUBLE[]) AS shift) CROSS JOIN (SELECT unnest(['step','none']) AS shape)""", digits=4)
 def _(spark, sf):
-    scenarios = spark.createDataFrame([(s, h) for s in (-0.2, 0.2) for h in ("step", "none")], "shift double, shape string")
+    scenarios = literal_table(spark, [(s, h) for s in (-0.2, 0.2) for h in ("step", "none")], "shift double, shape string")
     out = joins.scenario_cross(tables.supplier_panel(spark, sf), scenarios)
     return out.withColumn("shocked", F.col("value") * F.when(F.col("shape") == "step", 1 + F.col("shift")).otherwise(F.lit(1.0)))

@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidepanel.functions import scalars
-from tidepanel.operators import detectors, signals
+from tidepanel.operators import detectors, prep, signals
 from tidepanel.operators.quantiles import grouped_median
 from tidepanel.schema import DetectorSettings
-from tidepanel.session import cut_lineage
+from tidepanel.session import cut_lineage, literal_table
 
 SCENARIO = ["seed", "shift", "shape", "fraction"]
 
@@ -15,7 +15,7 @@ SCENARIO = ["seed", "shift", "shape", "fraction"]
 def scenario_table(spark, seeds, shifts, shapes, fractions=(0.25,)) -> DataFrame:
     """One row per combination; its size is fixed by the settings, so it may be broadcast."""
     rows = [(int(s), float(x), h, float(f)) for s in seeds for x in shifts for h in shapes for f in fractions]
-    return spark.createDataFrame(rows, "seed long, shift double, shape string, fraction double")
+    return literal_table(spark, rows, "seed long, shift double, shape string, fraction double")
 
 
 def inject_shock(panel: DataFrame, scenarios: DataFrame, onset: int, span: int = 6) -> DataFrame:
@@ -26,6 +26,17 @@ def inject_shock(panel: DataFrame, scenarios: DataFrame, onset: int, span: int =
     return crossed.withColumn("value", F.when(factor == 1.0, F.col("value")).otherwise(F.col("value") * factor))
 
 
+def inject_series(s: DataFrame, scenarios: DataFrame, onset: int, span: int = 6) -> DataFrame:
+    """``inject_shock`` on arrays: the assignment is hashed once per id and scenario, months stay in place."""
+    crossed = s.crossJoin(F.broadcast(scenarios)).withColumn("treated", scalars.id_uniform(F.col("seed"), "id") < F.col("fraction"))
+
+    def shocked(x, i):
+        k = F.col("start") + i - onset
+        return F.when(F.col("treated") & (k >= 0), x * scalars.shock_factor("shape", "shift", k, span)).otherwise(x)
+
+    return crossed.withColumn("vals", F.transform("vals", shocked))
+
+
 def run(panel: DataFrame, scenarios: DataFrame, onset: int, cal: tuple[int, int], settings: DetectorSettings = DetectorSettings(), span: int = 6) -> DataFrame:
     """(scenario, id, treated, k, method, observed, base_alarm, changed_alarm, new_alarm) for the span after onset.
 
@@ -33,19 +44,22 @@ def run(panel: DataFrame, scenarios: DataFrame, onset: int, cal: tuple[int, int]
     """
     last = onset + span - 1
     known = panel.filter(F.col("m") <= last)
-    base_signal = signals.signal_yoy_level(signals.yoy_log(known, last=last), cal)
+    arrays = prep.series(known)
+    base_signal = signals.signal_yoy_level(signals.yoy_of_series(arrays, [], last), cal)
     base = detectors.by_method(detectors.scores(base_signal, ["id"], settings), ["id"])
     base = cut_lineage(base.filter(F.col("m") >= cal[0]), "base-scores")
     limits = detectors.threshold_unit_max(base, ["id"], cal, settings.threshold_quantile).select("method", "threshold")
     before = detectors.alarms(base.filter(F.col("m") >= onset).join(F.broadcast(limits), "method")).select(
         "id", "m", "method", "observed", F.col("active").alias("base_alarm"), "threshold")
-    altered = inject_shock(known, scenarios, onset, span=span)
-    z = signals.signal_yoy_level(signals.yoy_log(altered, SCENARIO, last), cal, SCENARIO)
-    after = detectors.by_method(detectors.scores(z, [*SCENARIO, "id"], settings), [*SCENARIO, "id"]).filter(F.col("m") >= onset)
-    joined = after.drop("observed").join(before, ["id", "m", "method"])
+    altered = inject_series(arrays, scenarios, onset, span)
+    z = signals.signal_yoy_level(signals.yoy_of_series(altered, SCENARIO, last), cal, SCENARIO)
+    unit = [*SCENARIO, "id"]
+    after = detectors.by_method(detectors.scores(z, unit, settings).filter(F.col("m") >= onset), unit)
+    treated = altered.select(*unit, "treated")
+    joined = after.drop("observed").join(before, ["id", "m", "method"]).join(treated, unit)
     changed = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))
     return joined.select(
-        *SCENARIO, "id", (scalars.id_uniform(F.col("seed"), "id") < F.col("fraction")).alias("treated"), (F.col("m") - onset).alias("k"), "method", "observed",
+        *SCENARIO, "id", "treated", (F.col("m") - onset).alias("k"), "method", "observed",
         "base_alarm", changed.alias("changed_alarm"), (changed & ~F.col("base_alarm")).alias("new_alarm"))
 
 
@@ -199,9 +213,9 @@ def level_stress(panel: DataFrame, regions: DataFrame, onset: int, cal: tuple[in
     known = panel.filter(F.col("m") <= last)
     members = regions.select("id", "region").filter("region is not null").join(known.select("id").distinct(), "id", "left_semi")
     largest = members.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") >= minimum).orderBy(F.desc("n"), "region").limit(3)
-    fixed = spark.createDataFrame([("national", "all"), ("local", str(seed))], "scope string, scenario string")
+    fixed = literal_table(spark, [("national", "all"), ("local", str(seed))], "scope string, scenario string")
     scope = fixed.unionByName(largest.select(F.lit("regional").alias("scope"), F.col("region").cast("string").alias("scenario")))
-    grid = spark.createDataFrame([(float(s), h) for s in shifts for h in shapes], "shift double, shape string")
+    grid = literal_table(spark, [(float(s), h) for s in shifts for h in shapes], "shift double, shape string")
     keys = ["scope", "scenario", "shift", "shape"]
     plan = F.broadcast(scope.crossJoin(F.broadcast(grid)))  # at most five scopes × the settings grid
     hit = (F.col("scope") == "national") | ((F.col("scope") == "regional") & (F.col("region").cast("string") == F.col("scenario"))) | (

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidepanel.functions import scalars
 from tidepanel.operators.quantiles import grouped_quantile
 from tidepanel.schema import DetectorSettings
+from tidepanel.session import literal_table
 
 METHODS = ("spike", "rolling_3m", "ewma", "cusum")
 EFFECT_FLOOR = math.log(1.05)
@@ -296,7 +297,7 @@ def offline_changepoints(signal: DataFrame, keys: list[str], penalties: list[flo
 
 def penalty_under_budget(boundaries: DataFrame, months_observed: DataFrame, penalties: list[float], budget_per100: float) -> DataFrame:
     """Smallest penalty whose boundary rate on unaltered data meets the budget; no row if none does."""
-    grid = boundaries.sparkSession.createDataFrame([(float(p),) for p in penalties], "penalty double")
+    grid = literal_table(boundaries.sparkSession, [(float(p),) for p in penalties], "penalty double")
     counts = boundaries.groupBy("penalty").agg(F.count("*").alias("alarms"))
     rated = F.broadcast(grid).join(counts, "penalty", "left").crossJoin(F.broadcast(months_observed))
     rated = rated.withColumn("per100", 100 * F.coalesce("alarms", F.lit(0)) / F.col("months"))

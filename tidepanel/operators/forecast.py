@@ -12,11 +12,13 @@ def _horizons(horizons) -> Column:
     return F.explode(F.array(*[F.lit(int(h)) for h in horizons]))
 
 
-def origin_rows(panel: DataFrame, year: int, horizons, cohort: DataFrame | None = None, prefix: bool = True) -> DataFrame:
+def origin_rows(panel: DataFrame, year: int, horizons, cohort: DataFrame | None = None, prefix: bool = True,
+                units: DataFrame | None = None) -> DataFrame:
     """One row per (id, origin, horizon) with the id's series attached and an observed actual.
 
     Origins start when the profile year ends. With ``prefix`` the whole history from the start of the
-    profile year to the origin must be positive, which is decidable at the origin.
+    profile year to the origin must be positive, which is decidable at the origin. ``units`` (one row per
+    id) is joined before ids fan out to origins and horizons.
     """
     first = 12 * year
     s = prep.series(panel)
@@ -26,6 +28,8 @@ def origin_rows(panel: DataFrame, year: int, horizons, cohort: DataFrame | None
     train = F.slice("vals", F.lit(first + 1) - F.col("start"), 12)
     s = s.filter((F.col("start") <= first) & (F.col("stop") >= first + 11)).filter(
         ~F.exists(train, lambda x: F.coalesce(x <= 0, F.lit(True))))
+    if units is not None:
+        s = s.join(units, "id")
     gaps = F.transform(
         F.slice("vals", F.lit(first + 1) - F.col("start"), F.size("vals")), lambda x: F.coalesce(x <= 0, F.lit(True)))
     # Months before the first gap; 0 from array_position means there is none.
@@ -70,9 +74,8 @@ def model_columns(year: int, growth: float) -> dict[str, Column]:
 def rolling_origin(panel: DataFrame, regions: DataFrame, year: int, horizons, *, weight=0.5, minimum=10,
                    growth=0.0, models: list[str] | None = None, prefix: bool = True) -> DataFrame:
     """(id, region, origin, target, horizon, model, actual, predicted, year_ago, level), all models."""
-    rows = origin_rows(panel, year, horizons, prefix=prefix)
     prof = profiles.profile_mix(panel, regions, year, minimum, weight)
-    rows = rows.join(prof, "id").crossJoin(F.broadcast(profiles.profile_global(panel, year)))
+    rows = origin_rows(panel, year, horizons, prefix=prefix, units=prof).crossJoin(F.broadcast(profiles.profile_global(panel, year)))
     columns = model_columns(year, growth)
     chosen = models or list(columns)
     pairs = F.array(*[F.struct(F.lit(m).alias("model"), columns[m].alias("predicted")) for m in chosen])
@@ -88,10 +91,9 @@ def rolling_origin(panel: DataFrame, regions: DataFrame, year: int, horizons, *,
 def shrunk_candidates(panel: DataFrame, regions: DataFrame, year: int, horizons, candidates: dict[str, float | None],
                       minimum: int = 10) -> DataFrame:
     """Regional ratio shrunk toward the pooled ratio, every candidate strength at once."""
-    rows = origin_rows(panel, year, horizons)
     regional = profiles.profile_regional(panel, regions, year, minimum)
     ids = regions.select("id", "region").join(regional, "region", "left")
-    rows = rows.join(ids, "id", "left").crossJoin(F.broadcast(profiles.profile_global(panel, year)))
+    rows = origin_rows(panel, year, horizons, units=ids).crossJoin(F.broadcast(profiles.profile_global(panel, year)))
     ratio = lambda p: profiles.factor(p, "target") / profiles.factor(p, "origin")
     g, r = ratio("p_global"), F.coalesce(ratio("p_region"), ratio("p_global"))
     entries = []
@@ -105,7 +107,7 @@ def shrunk_candidates(panel: DataFrame, regions: DataFrame, year: int, horizons,
 
 def robust_anchor(panel: DataFrame, prof: DataFrame, year: int, horizons) -> DataFrame:
     """Deseasonalised last, mean, median and weighted level of the last three months."""
-    rows = origin_rows(panel, year, horizons).join(prof.select("id", "profile"), "id")
+    rows = origin_rows(panel, year, horizons, units=prof.select("id", "profile"))
     levels = [prep.at(F.col("origin") - k) / profiles.factor("profile", F.col("origin") - k) for k in (2, 1, 0)]
     rows = rows.withColumn("_l", F.array(*levels))
     item = lambda i: F.get("_l", F.lit(i))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidepanel.functions import scalars
 from tidepanel.operators import guards
 from tidepanel.operators.quantiles import order_statistics
-from tidepanel.session import cut_lineage
+from tidepanel.session import cut_lineage, literal_table
 
 
 def finite_quantile(df: DataFrame, keys: list[str], score: str, coverage: float, name: str = "q", clamp: bool = False) -> DataFrame:
@@ -149,7 +149,7 @@ def calibrate_adaptive(fc: DataFrame, targets: list[int], coverage: float, gamma
             raise ValueError("missing calibration or evaluation month")
         issued.append((target, float(alpha), float(state["q"])))
         alpha = min(max(alpha + gamma * (nominal - (1 - state["covered"])), low), high)
-    steps = fc.sparkSession.createDataFrame(issued, "target int, alpha double, q double")
+    steps = literal_table(fc.sparkSession, issued, "target int, alpha double, q double")
     out = rows.join(F.broadcast(steps), "target")
     for name, c in bounds("predicted", F.col("q") * F.col("norm")).items():
         out = out.withColumn(name, c)

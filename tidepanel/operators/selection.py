@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidepanel.functions import months, scalars
-from tidepanel.operators.guards import assert_empty
 from tidepanel.operators.quantiles import weighted_median
 from tidepanel.schema import FORECAST_KEYS, share
 
@@ -32,8 +31,10 @@ def matched_pairs(fc: DataFrame, a: str, b: str, strict: bool = True) -> DataFra
     """Matched keys with losses; ``strict`` rejects one-sided keys, duplicates and differing actuals."""
     pairs = pair_models(fc, a, b)
     if strict:
-        assert_empty(pairs.filter("sides <> 'both' or not same_actual or duplicated"),
-                     "models must cover the same keys once with the same actuals")
+        # Checked while the rows flow: no extra pass, and a bad key fails the job that reads it.
+        bad = (F.col("sides") != "both") | ~F.col("same_actual") | F.col("duplicated")
+        message = F.lit("models must cover the same keys once with the same actuals")
+        pairs = pairs.filter(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     return pairs.filter("sides = 'both'").select(
         *FORECAST_KEYS, F.col("actual_a").alias("actual"), "predicted_a", "predicted_b",
         F.abs(F.col("actual_a") - F.col("predicted_a")).alias("loss_a"),

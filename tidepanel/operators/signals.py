@@ -4,20 +4,24 @@ Rows are (scenario keys…, id, m, z); the scenario keys let one plan score many
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidepanel.functions import scalars
 from tidepanel.operators import joins, prep, profiles
 from tidepanel.operators.quantiles import bounded_median, grouped_median
 
 
+def yoy_of_series(s: DataFrame, keys: list[str], last: int | None = None) -> DataFrame:
+    """(keys, id, m, growth) from rows that already hold the array of an id."""
+    stop = F.col("start") + F.size("vals") - 1 if last is None else F.lit(last)
+    rows = s.filter(F.col("start") + 12 <= stop).select(*keys, "id", "start", "vals", F.explode(F.sequence(F.col("start") + 12, stop)).alias("m"))
+    return rows.select(*keys, "id", "m", scalars.log_ratio(prep.at("m"), prep.at(F.col("m") - 12)).alias("growth"))
+
+
 def yoy_log(panel: DataFrame, keys: list[str] | None = None, last: int | None = None) -> DataFrame:
     """(keys, id, m, growth): ln of the value over its value twelve months before, NULL when unknown."""
     keys = keys or []
-    s = prep.series(panel, [*keys, "id"])
-    stop = F.col("stop") if last is None else F.lit(last)
-    rows = s.filter(F.col("start") + 12 <= stop).select(*keys, "id", "start", "vals", F.explode(F.sequence(F.col("start") + 12, stop)).alias("m"))
-    return rows.select(*keys, "id", "m", scalars.log_ratio(prep.at("m"), prep.at(F.col("m") - 12)).alias("growth"))
+    return yoy_of_series(prep.series(panel, [*keys, "id"]), keys, last)
 
 
 def _remove_common(growth: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,8 +33,9 @@ def signal_yoy_level(growth: DataFrame, cal: tuple[int, int], keys: list[str] |
     """Growth minus the panel median of the month minus the id's own calibration median."""
     keys = keys or []
     centred = _remove_common(growth, keys)
-    base = centred.filter(F.col("m").between(*cal)).groupBy(*keys, "id").agg(bounded_median("z").alias("_base"))
-    return centred.join(base, [*keys, "id"]).select(*keys, "id", "m", (F.col("z") - F.col("_base")).alias("z"))
+    # One id and scenario per window: as many rows as months, and the scores that follow group by the same keys.
+    own = F.percentile(F.when(F.col("m").between(*cal), F.col("z")), 0.5).over(W.partitionBy(*keys, "id"))
+    return centred.withColumn("_base", own).filter("_base is not null").select(*keys, "id", "m", (F.col("z") - F.col("_base")).alias("z"))
 
 
 def signal_yoy_linear(growth: DataFrame, cal: tuple[int, int], keys: list[str] | None = None) -> DataFrame:

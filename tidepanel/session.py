@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime settings every job relies on. Nothing here depends on the cluster size: the number of
 # shuffle partitions stays with the deployment and AQE coalesces or splits them at run time.
@@ -54,3 +54,10 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Small settings table as a JVM-side literal: no Python worker is started for it."""
+    kinds = [part.strip().rsplit(" ", 1) for part in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, kinds)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
