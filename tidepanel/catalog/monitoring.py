@@ -515,3 +515,15 @@ def _(spark, sf):
 @query("choose_detector", "split:s method:s onset_f1:d null_per100:d")
 def _(spark, sf):
     return detectors.choose_detector(detectors.event_scores(matched(spark, sf), ["split", "method"], SPAN), "selection", "onset_f1", 5.0)
+
+
+@query("recheck_detector_table", "split:s method:s onset_tp:l")
+def _(spark, sf):
+    """Rows where the score table disagrees with counts taken again from the per-series rows: none."""
+    from tidepanel.operators.accuracy import metric_mismatches
+    from tidepanel.session import cut_lineage
+
+    rows = cut_lineage(matched(spark, sf), "matched")
+    saved = detectors.event_scores(rows, ["split", "method"], SPAN).filter("shape = 'all'").select("split", "method", "onset_tp", "onset_recall")
+    again = rows.groupBy("split", "method").agg(F.sum("onset_tp").alias("onset_tp"), (F.sum("onset_tp") / F.sum(F.col("onset_tp") + F.col("onset_fn"))).alias("onset_recall"))
+    return metric_mismatches(saved, again, ["split", "method"], ["onset_tp", "onset_recall"], 1e-12)
