@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding",)
+MODULES = ("sharding", "quality")
 
 
 def load() -> tuple[dict, dict]:
