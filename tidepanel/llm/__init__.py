@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "quality")
+MODULES = ("sharding", "quality", "secrets", "packing")
 
 
 def load() -> tuple[dict, dict]:
