@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "quality", "secrets", "packing")
+MODULES = ("sharding", "quality", "secrets", "packing", "ngram_join")
 
 
 def load() -> tuple[dict, dict]:
