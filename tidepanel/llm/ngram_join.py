@@ -10,9 +10,11 @@ How it is spread:
 2. Short lists: each set sends its ``n - ceil(0.8 n) + 1`` least frequent shingles, as any two linked sets share one of these. Equal sets
    send them once. A list of two or more different sets names its first set as leader; all sets of the lists of one leader make a block.
    A block that is too large for a task is dealt to pairs of parts.
-3. Search: each task holds the sets of a block and runs the search; it skips sets that are already joined and returns a spanning
+3. Bounds: each set has a bit map of twice to four times as many bits as shingles. Bits of one that the other lacks are shingles that
+   are not common, which bounds what is; only sets with a partner in the block that the bound leaves stay, and only those send all shingles.
+4. Search: each task holds the sets of a block and runs the search; it skips sets that are already joined and returns a spanning
    forest, so a block of k copies gives k - 1 links, not k^2.
-4. Components of all forests.
+5. Components of all forests.
 """
 from __future__ import annotations
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.llm.common import store, table
 from tidepanel.llm.components import components
-from tidepanel.llm.text import column, shingle_sets, slices
+from tidepanel.llm.text import U, column, shingle_sets, slices
 
 #: Links need NEED / 100 of the union in common.
 NEED = 80
@@ -53,6 +55,16 @@ def _signature(values: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _bits(values: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of the hashes; a power of two of bits, from two to four for each shingle."""
+    if not len(values):
+        return b""
+    size = 1 << max(6, (2 * len(values) - 1).bit_length())
+    flags = np.zeros(size, bool)
+    flags[values & U(size - 1)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
 def _sets(batches) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in batches:
         for rows, data, at in slices(batch):
@@ -61,7 +73,7 @@ def _sets(batches) -> Iterator[tuple[list, list[np.ndarray]]]:
 
 def _count(batches):
     """A row for each document (its set's size and signature), and one for each shingle that repeats in this task."""
-    schema = pa.schema([("shingle", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64())])
+    schema = pa.schema([("shingle", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("bits", pa.binary())])
     held: list[np.ndarray] = []
     size = 0
 
@@ -72,12 +84,13 @@ def _count(batches):
         often = times >= LOCALLY
         n = int(often.sum())
         return pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(times[often].astype(np.int64)),
-                                           pa.array(values[first[often]].view(np.int64)), pa.nulls(n, pa.int64())], schema=schema)
+                                           pa.array(values[first[often]].view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
 
     for ids, sets in _sets(batches):
         signatures = [_signature(s) for s in sets]
         yield pa.RecordBatch.from_arrays([pa.array([False] * len(ids)), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                                          pa.array([a for a, _ in signatures], pa.int64()), pa.array([b for _, b in signatures], pa.int64())], schema=schema)
+                                          pa.array([a for a, _ in signatures], pa.int64()), pa.array([b for _, b in signatures], pa.int64()),
+                                           pa.array([_bits(s) for s in sets], pa.binary())], schema=schema)
         held += sets
         size += sum(map(len, sets))
         if size > COUNTED:
@@ -201,27 +214,75 @@ def search(sets: list[np.ndarray], side: np.ndarray | None = None) -> np.ndarray
     return out
 
 
-def _search_blocks(batches):
-    """Spanning forests of the blocks in rows sorted by (leader, i, j)."""
-    key, held = None, []
+def possible(sizes: np.ndarray, bits: list[bytes], side: np.ndarray) -> np.ndarray:
+    """Whether each set has a partner that it may be similar to, by sizes and bit maps."""
+    out = np.zeros(len(sizes), bool)
+    cross = bool(side.any()) and not bool(side.all())
+    order = np.argsort(sizes, kind="stable")
+    maps = {}  # number of bytes -> places in order, and their maps
+    for width in sorted({len(bits[i]) for i in order}):
+        at = np.array([k for k, i in enumerate(order) if len(bits[i]) == width])
+        maps[width] = at, np.array([np.frombuffer(bits[order[k]], np.uint64) for k in at]).reshape(len(at), -1)
+    n, side = sizes[order], side[order]
+    for width, (at, rows) in maps.items():
+        for other in (width // 2, width):  # a partner that is not larger has as many bits or half of them
+            if other not in maps or not width:
+                continue
+            theirs, their_rows = maps[other]
+            own_rows = rows if other == width else rows[:, :rows.shape[1] // 2] | rows[:, rows.shape[1] // 2:]
+            for q, own in zip(at, own_rows):
+                a = int(np.searchsorted(theirs, np.searchsorted(n, -(-NEED * n[q] // 100))))
+                z = int(np.searchsorted(theirs, q))
+                if a >= z:
+                    continue
+                m, part = n[theirs[a:z]], their_rows[a:z]
+                most = np.minimum(n[q] - np.bitwise_count(own & ~part).sum(1, dtype=np.int64), m - np.bitwise_count(part & ~own).sum(1, dtype=np.int64))
+                fits = most >= least_common(n[q], m)
+                if cross:
+                    fits &= side[theirs[a:z]] != side[q]
+                if fits.any():
+                    out[order[q]] = True
+                    out[order[theirs[a:z][fits]]] = True
+    return out
 
-    def forest():
-        ids = np.array([x[0] for x in held], np.int64)
-        label = search([np.frombuffer(x[1], np.uint64) for x in held], np.array([x[2] for x in held]))
-        by = np.lexsort((ids, label))
-        first = np.concatenate(([True], label[by][1:] != label[by][:-1]))
-        root = ids[by][np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
-        return pa.RecordBatch.from_arrays([pa.array(ids[by][~first]), pa.array(root[~first])], ["a", "b"])
 
+def _grouped(batches, *names: str):
+    """Lists of rows with equal (leader, i, j), from rows sorted by these."""
+    key, held = None, []
     for batch in batches:
-        for leader, i, j, side, doc, values in zip(*(column(batch, c).to_pylist() for c in ("leader", "i", "j", "side", "doc_id", "shingles"))):
+        for leader, i, j, *row in zip(*(column(batch, c).to_pylist() for c in ("leader", "i", "j", *names))):
             if (leader, i, j) != key:
                 if len(held) > 1:
-                    yield forest()
+                    yield key, held
                 key, held = (leader, i, j), []
-            held.append((doc, values, side))
+            held.append(row)
     if len(held) > 1:
-        yield forest()
+        yield key, held
+
+
+def _bound_blocks(batches):
+    """The rows of each block that may have a partner in it, without their bit maps."""
+    out = []
+    for key, held in _grouped(batches, "side", "doc_id", "n", "bits"):
+        found = possible(np.array([x[2] for x in held], np.int64), [x[3] for x in held], np.array([x[0] for x in held]))
+        out += [(*key, x[0], x[1]) for x, f in zip(held, found) if f]
+        if len(out) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["leader", "i", "j", "side", "doc_id"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["leader", "i", "j", "side", "doc_id"])
+
+
+def _search_blocks(batches):
+    """Spanning forests of the blocks."""
+    for _, held in _grouped(batches, "side", "doc_id", "shingles"):
+        ids = np.array([x[1] for x in held], np.int64)
+        label = search([np.frombuffer(x[2], np.uint64) for x in held], np.array([x[0] for x in held]))
+        by = np.lexsort((ids, label))
+        first = np.concatenate(([True], label[by][1:] != label[by][:-1]))
+        if not first.all():
+            root = ids[by][np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[by][~first]), pa.array(root[~first])], ["a", "b"])
 
 
 def _links(docs: DataFrame, counted: DataFrame) -> DataFrame:
@@ -233,21 +294,26 @@ def _links(docs: DataFrame, counted: DataFrame) -> DataFrame:
     by = np.argsort(values)
     heavy = spark.sparkContext.broadcast(values[by]), spark.sparkContext.broadcast(often["times"].to_numpy(np.int64)[by])
     lists = docs.mapInArrow(_short_lists(*heavy), "shingle long, sig long, doc_id long").repartition("shingle").sortWithinPartitions("shingle", "sig", "doc_id")
-    member = lists.mapInArrow(_blocks, "leader long, doc_id long").distinct()
-    member = store(member, "blocks")
+    member = store(lists.mapInArrow(_blocks, "leader long, doc_id long").distinct(), "blocks")
     member = member.union(member.select("leader", F.col("leader").alias("doc_id")).distinct())
-    ids = store(member.select("doc_id").distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, n long, shingles binary").dropDuplicates(["doc_id"])
-    sized = member.join(sets, "doc_id")
-    parts = member.join(counted.where("not shingle").select("doc_id", "n").dropDuplicates(["doc_id"]), "doc_id").groupBy("leader").agg(
-        F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    maps = counted.where("not shingle and n > 0").groupBy("doc_id").agg(F.collect_set(F.struct("n", "bits")).alias("maps"))  # one for each text of an id
+    sized = member.join(maps, "doc_id").select("leader", "doc_id", F.inline("maps"))
+    sized = store(sized, "maps")
+    parts = sized.groupBy("leader").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
     dealt = sized.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("leader", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                         (F.col("part") > F.col("other")).cast("int").alias("side"), "doc_id", "shingles")
-    return dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_search_blocks, "a long, b long")
+                         (F.col("part") > F.col("other")).cast("int").alias("side"), "doc_id", "n", "bits")
+    key = ["leader", "i", "j"]
+    block = "leader long, i long, j long, side long, doc_id long"
+    near = store(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_bound_blocks, block), "near")
+    ids = store(near.select("doc_id").distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, n long, shingles binary")
+    sets = sets.groupBy("doc_id").agg(F.collect_set("shingles").alias("versions"))
+    full = near.join(sets, "doc_id").select(*key, "side", "doc_id", F.explode("versions").alias("shingles"))
+    return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search_blocks, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -258,7 +324,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id are one document in two versions: links of either count for the id. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counted = store(docs.mapInArrow(_count, "shingle boolean, doc_id long, n long, sig long, sig2 long"), "sets")
+    counted = store(docs.mapInArrow(_count, "shingle boolean, doc_id long, n long, sig long, sig2 long, bits binary"), "sets")
     rows = counted.where("not shingle")
     copies = rows.where("n > 0 and doc_id is not null").groupBy("sig", "sig2").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
     same = rows.where("n > 0").join(copies, ["sig", "sig2"]).where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
