@@ -2,7 +2,7 @@ r"""Line dedup: runs of lines that occurred before, found by winnowing over line
 
 A run is a number of consecutive ``\n``-split lines of a document with ``MIN_WORDS`` words or more in total, lines without a word left out.
 A line is deleted if a run that holds it has occurred earlier: in a document of a smaller id, or in the same document before the run
-begins, without overlap. Lines without a word are deleted only between deleted lines of one run.
+begins, without overlap. A line without a word is deleted if it stands inside a window (below) that goes.
 
 * Windows of winnowing are measured in words: from each line forward, and back from each line, the fewest lines with ``MIN_WORDS`` words.
   Each selects its smallest line hash (the last of equal ones) as fingerprint. A repeated run holds the same windows at each place, so
