@@ -51,3 +51,14 @@ def test_confirmation(spark, days):
     batch = detectors.confirm_shift(stretch, ["id"], spark.createDataFrame([(0, 0.5)], "id long, threshold double"), 11)
     want = {(r["m"], r["event"]) for r in batch.filter("event <> 'pending'").collect()}
     assert want == {(r["d"], r["event"]) for r in got.filter("id = 0 and d between 10 and 17").collect()} and dense.count() > 0
+
+
+def test_a_long_run_keeps_its_whole_posterior(spark, tmp_path):
+    rows = [(1, d, float(((d * 13) % 17) / 20 - 0.4 + (0.8 if d > 700 else 0.0))) for d in range(1000)]
+    df = spark.createDataFrame(rows, "id long, d int, z double")
+    for low in (0, 350, 800):
+        df.filter(F.col("d").between(low, {0: 349, 350: 799, 800: 999}[low])).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    got = {r["d"]: r["score"] for r in ops.run_to_table(ops.stream_bocpd(ops.read_events(spark, str(tmp_path), df.schema, 1), 0.3), "long").collect()}
+    batch = detectors.score_bocpd(df.withColumnRenamed("d", "m"), ["id"], spark.createDataFrame([(0.3,)], "sigma double"), DetectorSettings())
+    want = {r["m"]: r["score"] for r in batch.collect()}
+    assert len(got) == 1000 and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in range(1, 1000))

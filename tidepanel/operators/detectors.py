@@ -182,48 +182,50 @@ def _stack(pdf: pd.DataFrame, column: str):
     return x
 
 
-def bocpd_matrix(x: np.ndarray, sigma: np.ndarray, settings: DetectorSettings) -> np.ndarray:
-    """P(boundary just before x_t | x_1…x_t) for every row of ``x``; NaN after a gap and at the start.
+class RunPosterior:
+    """Log weights of the current run's length for a batch of series, and what each length has seen.
 
-    State r is the number of observations in the current run with a Normal–inverse-Gamma prior
-    (κ and α depend on r alone, so only the means and scales are carried per row).
+    Column j stands for a run of j + 1 values under a Normal–inverse-Gamma prior; only mean and scale differ between series. A
+    series without a current run has no weight anywhere. ``observe`` adds one value to each series, so a batch recursion and
+    a stream share it; the arrays grow by one column a step and are never cut.
     """
-    n, width = x.shape
-    r = np.arange(width + 1)
-    kappa, alpha = settings.bocpd_kappa + r, settings.bocpd_alpha + r / 2.0
-    dof = 2 * alpha
-    const = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) - 0.5 * math.log(d * math.pi) for d in dof])
-    grow_rate, reset_rate = math.log1p(-settings.bocpd_hazard), math.log(settings.bocpd_hazard)
-    beta0 = np.repeat(np.asarray(sigma, float)[:, None] ** 2, width + 1, axis=1)
-    mu, beta = np.full((n, width + 1), settings.bocpd_mu), beta0.copy()
-    fresh = np.full(width + 1, -np.inf)
-    fresh[0] = 0.0
-    logw = np.tile(fresh, (n, 1))
-    known = np.zeros(n, bool)
-    out = np.full((n, width), np.nan)
-    for t in range(width):
-        seen = np.isfinite(x[:, t])
-        v = np.where(seen, x[:, t], 0.0)[:, None]
-        spread = beta * (kappa + 1) / (alpha * kappa)
-        logp = const - 0.5 * np.log(spread) - (dof + 1) / 2 * np.log1p((v - mu) ** 2 / (dof * spread))
-        boundary = reset_rate + logp[:, 0]
-        kept = logw + grow_rate + logp
-        moved = np.full_like(logw, -np.inf)
-        moved[:, 1] = np.logaddexp(boundary, kept[:, 0])
-        moved[:, 2:] = kept[:, 1:-1]
-        top = moved.max(axis=1)
-        total = top + np.log(np.exp(moved - top[:, None]).sum(axis=1))
-        score = np.exp(boundary - total)
-        out[:, t] = np.where(seen & known, score, np.nan)
-        new_mu = (kappa * mu + v) / (kappa + 1)
-        new_beta = beta + 0.5 * kappa / (kappa + 1) * (v - mu) ** 2
-        mu[:, 1:], beta[:, 1:] = new_mu[:, :-1], new_beta[:, :-1]
-        mu[:, 0], beta[:, 0] = settings.bocpd_mu, beta0[:, 0]
-        logw = np.where(seen[:, None], moved - total[:, None], fresh)
-        mu = np.where(seen[:, None], mu, settings.bocpd_mu)
-        beta = np.where(seen[:, None], beta, beta0)
-        known = seen
-    return out
+
+    def __init__(self, sigma: np.ndarray, settings: DetectorSettings, logp=None, mean=None, scale=None):
+        self.settings, self.prior_scale = settings, np.asarray(sigma, float)[:, None] ** 2
+        none = np.zeros((len(self.prior_scale), 0))
+        self.logp, self.mean, self.scale = (none if v is None else np.atleast_2d(np.asarray(v, float)) for v in (logp, mean, scale))
+
+    def _predictive(self, x, mean, scale, seen):
+        """Log density of x after ``seen`` values: Student t with the scale of the posterior."""
+        kappa, alpha = self.settings.bocpd_kappa + seen, self.settings.bocpd_alpha + seen / 2
+        unit = np.array([math.lgamma(a + 0.5) - math.lgamma(a) - 0.5 * math.log(2 * a * math.pi) for a in alpha])
+        variance = scale * (1 + 1 / kappa) / alpha
+        return unit - 0.5 * np.log(variance) - (alpha + 0.5) * np.log1p((x - mean) ** 2 / (2 * alpha * variance))
+
+    def _learn(self, x, mean, scale, seen):
+        share = 1 / (self.settings.bocpd_kappa + seen + 1)
+        return mean + (x - mean) * share, scale + 0.5 * (1 - share) * (x - mean) ** 2
+
+    def observe(self, x: np.ndarray) -> np.ndarray:
+        """P(a run begins with x | all of its series so far); NaN for a missing x, which ends the run, and for the value after."""
+        x = np.asarray(x, float)[:, None]
+        gap, idle = np.isnan(x), ~np.isfinite(self.logp).any(axis=1, keepdims=True)
+        value, zero, lengths = np.where(gap, 0.0, x), np.zeros(1), np.arange(1, self.logp.shape[1] + 1)
+        prior_mean = np.full_like(x, self.settings.bocpd_mu)
+        begins = np.where(idle, 0.0, math.log(self.settings.bocpd_hazard)) + self._predictive(value, prior_mean, self.prior_scale, zero)
+        goes_on = self.logp + math.log1p(-self.settings.bocpd_hazard) + self._predictive(value, self.mean, self.scale, lengths)
+        joint = np.concatenate([begins, goes_on], axis=1)
+        joint -= np.logaddexp.reduce(joint, axis=1, keepdims=True)
+        fresh, older = self._learn(value, prior_mean, self.prior_scale, zero), self._learn(value, self.mean, self.scale, lengths)
+        self.mean, self.scale = (np.concatenate(pair, axis=1) for pair in zip(fresh, older))
+        self.logp = np.where(gap, -np.inf, joint)
+        return np.where(gap | idle, np.nan, np.exp(joint[:, :1]))[:, 0]
+
+
+def bocpd_matrix(x: np.ndarray, sigma: np.ndarray, settings: DetectorSettings) -> np.ndarray:
+    """P(boundary just before x_t | x_1…x_t) for every row of ``x``; NaN after a gap and at the start."""
+    runs = RunPosterior(sigma, settings)
+    return np.column_stack([runs.observe(column) for column in x.T]) if x.shape[1] else np.zeros(x.shape)
 
 
 def score_bocpd(signal: DataFrame, keys: list[str], sigma: DataFrame, settings: DetectorSettings = DetectorSettings()) -> DataFrame:

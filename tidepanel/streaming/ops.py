@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidepanel.operators.detectors import bocpd_matrix
+from tidepanel.operators.detectors import RunPosterior
 from tidepanel.schema import DetectorSettings
 from tidepanel.session import scratch_path
 
@@ -155,17 +155,16 @@ def stream_confirm(days: DataFrame, threshold: float, needed: int = 3) -> DataFr
                         (-10**6, 0.0, False, 0, 0.0, 0.0), "id long, d int, event string, direction double")
 
 
-def stream_bocpd(days: DataFrame, sigma: float, settings: DetectorSettings = DetectorSettings(), longest: int = 400) -> DataFrame:
-    """Boundary probability per day. The state is the current unbroken run, at most ``longest`` days."""
+def stream_bocpd(days: DataFrame, sigma: float, settings: DetectorSettings = DetectorSettings()) -> DataFrame:
+    """Boundary probability per day. The state is the posterior over the lengths of the current unbroken run, however long."""
 
     def step(state, d, row):
-        last, history = state
-        history = ([*history] if d == last + 1 else []) + [float(row["z"])]
-        history = history[-longest:]
-        p = bocpd_matrix(np.array([history]), np.array([sigma]), settings)[0, -1]
-        return (d, history), [(d, None if not np.isfinite(p) else float(p))]
+        last, *posterior = state
+        runs = RunPosterior(np.array([sigma]), settings, *(posterior if d == last + 1 else ()))
+        p = runs.observe(np.array([float(row["z"])]))[0]
+        return (d, *(v[0].tolist() for v in (runs.logp, runs.mean, runs.scale))), [(d, None if not np.isfinite(p) else float(p))]
 
-    return per_id_state(days, step, "last int, history array<double>", (-10**6, []), "id long, d int, score double")
+    return per_id_state(days, step, "last int, logp array<double>, mean array<double>, scale array<double>", (-10**6, [], [], []), "id long, d int, score double")
 
 
 def stream_event_context(days: DataFrame, context: DataFrame, threshold: float, factor: float) -> DataFrame:
