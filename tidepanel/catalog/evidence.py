@@ -112,15 +112,14 @@ def _(spark, sf):
     return events.exposed_case_summary(policies(spark, sf), day_events(spark, sf), ["policy", "lag"])
 
 
-@query("events_asof_features", "id:l origin:l regional_episodes:l regional_known:b local_episodes:l local_known:b", f"""
+@query("events_asof_features", "id:l origin:l regional_episodes:d regional_known:b local_episodes:d local_known:b", f"""
 WITH {DAYS}, k AS (SELECT id, m AS origin, id%5 AS region FROM rows_),
 rg AS (SELECT k.region, origin, count(DISTINCT episode_id) AS n FROM (SELECT DISTINCT region, origin FROM k) k JOIN ev ON ev.region=k.region AND available<=origin AND available>origin-{EXPIRY} GROUP BY ALL),
 lc AS (SELECT k.id, origin, count(DISTINCT episode_id) AS n FROM k JOIN ev ON ev.id=k.id AND available<=origin AND available>origin-{EXPIRY} GROUP BY ALL)
-SELECT k.id, k.origin, coalesce(rg.n,0) AS regional_episodes, rg.n IS NOT NULL AS regional_known, coalesce(lc.n,0) AS local_episodes, lc.n IS NOT NULL AS local_known FROM k LEFT JOIN rg ON rg.region=k.region AND rg.origin=k.origin LEFT JOIN lc ON lc.id=k.id AND lc.origin=k.origin""")
+SELECT k.id, k.origin, rg.n AS regional_episodes, rg.n IS NOT NULL AS regional_known, lc.n AS local_episodes, lc.n IS NOT NULL AS local_known FROM k LEFT JOIN rg ON rg.region=k.region AND rg.origin=k.origin LEFT JOIN lc ON lc.id=k.id AND lc.origin=k.origin""")
 def _(spark, sf):
     keys = day_rows(spark, sf).select("id", F.col("m").alias("origin"), (F.col("id") % 5).alias("region"))
-    out = events.asof_features(keys, day_events(spark, sf), EXPIRY)
-    return out.fillna(0, ["regional_episodes", "local_episodes"])  # the flags keep "unknown" apart in this export
+    return events.asof_features(keys, day_events(spark, sf), EXPIRY)
 
 
 LEAD = f"""ob AS (SELECT id, max(m) AS last_observed FROM rows_ WHERE value>0 GROUP BY id),
@@ -134,10 +133,10 @@ def leads(spark, sf):
     return events.lead_table(day_events(spark, sf), monitored(spark, sf).filter("active"), observed, rows.select("id").distinct(), [0, 1, 2])
 
 
-@query("lead_table", "claim_id:l id:l lag:l status:s alarm_target:l news_to_alert_days:l event_to_news_days:l", f"""
-WITH {DAYS}, {MON}, {LEAD} SELECT claim_id, id, lag, status, CASE WHEN status='subsequent_alert' THEN hit ELSE -1 END AS alarm_target, CASE WHEN status='subsequent_alert' THEN hit+1+lag-available ELSE -1 END AS news_to_alert_days, available-event_start AS event_to_news_days FROM lt""")
+@query("lead_table", "claim_id:l id:l lag:l status:s alarm_target:d news_to_alert_days:d event_to_news_days:l", f"""
+WITH {DAYS}, {MON}, {LEAD} SELECT claim_id, id, lag, status, CASE WHEN status='subsequent_alert' THEN hit END AS alarm_target, CASE WHEN status='subsequent_alert' THEN hit+1+lag-available END AS news_to_alert_days, available-event_start AS event_to_news_days FROM lt""")
 def _(spark, sf):
-    return leads(spark, sf).fillna(-1, ["alarm_target", "news_to_alert_days"])
+    return leads(spark, sf)
 
 
 @query("alert_lead", "lag:l status:s rows:l median_days:d min_days:l max_days:l", f"""
@@ -149,10 +148,10 @@ def _(spark, sf):
         F.count("*").alias("rows"), F.percentile("news_to_alert_days", 0.5).alias("median_days"), F.min("news_to_alert_days").alias("min_days"), F.max("news_to_alert_days").alias("max_days")).fillna(-1)
 
 
-@query("first_after", "claim_id:l id:l first_episode:l censored:b lag:l", f"""
-WITH {DAYS}, {MON} SELECT claim_id, id, lag, coalesce(f,-1) AS first_episode, f IS NULL AS censored FROM (SELECT ev.claim_id, ev.id, lag, (SELECT min(m) FROM ma WHERE ma.id=ev.id AND active AND m>=event_start AND m+1+lag>=available) AS f FROM ev CROSS JOIN (SELECT unnest([0,1]) AS lag))""")
+@query("first_after", "claim_id:l id:l first_episode:d censored:b lag:l", f"""
+WITH {DAYS}, {MON} SELECT claim_id, id, lag, f AS first_episode, f IS NULL AS censored FROM (SELECT ev.claim_id, ev.id, lag, (SELECT min(m) FROM ma WHERE ma.id=ev.id AND active AND m>=event_start AND m+1+lag>=available) AS f FROM ev CROSS JOIN (SELECT unnest([0,1]) AS lag))""")
 def _(spark, sf):
-    return events.lead_sensitivity(monitored(spark, sf).filter("active"), day_events(spark, sf), [0, 1]).fillna(-1, ["first_episode"])
+    return events.lead_sensitivity(monitored(spark, sf).filter("active"), day_events(spark, sf), [0, 1])
 
 
 @query("lead_sensitivity", "lag:l cases:l censored:l", f"""
@@ -179,17 +178,17 @@ def _(spark, sf):
     return events.events_visible(registry(spark, sf), 2, 7, "2024-01-20")
 
 
-@query("direction_claims", "id:l origin:l target:l direction:l direction_known:b", """
+@query("direction_claims", "id:l origin:l target:l direction:d direction_known:b", """
 WITH c AS (SELECT event_id AS claim_id, user_id%5 AS region, datediff('day', DATE '2023-12-31', ts::DATE)+1 AS available, datediff('day', DATE '2023-12-31', ts::DATE)+3 AS target, CASE WHEN value>10 THEN 1 ELSE -1 END AS direction FROM events WHERE event_type='signup'),
 k AS (SELECT id, id%5 AS region, d AS origin, d+1 AS target FROM days),
 j AS (SELECT k.id, k.origin, k.target, arg_max(direction, available*10000000+claim_id) AS direction FROM k LEFT JOIN c ON c.region=k.region AND c.target=k.target AND c.available<=k.origin GROUP BY ALL)
-SELECT id, origin, target, coalesce(direction,0) AS direction, direction IS NOT NULL AS direction_known FROM j""")
+SELECT id, origin, target, direction, direction IS NOT NULL AS direction_known FROM j""")
 def _(spark, sf):
     e = tables.table(spark, sf, "events").filter("event_type = 'signup'")
     d = day_number(F.col("ts").cast("date"))
     claims = e.select(F.col("event_id").alias("claim_id"), (F.col("user_id") % 5).alias("region"), (d + 1).alias("available"), (d + 3).alias("target"), F.when(F.col("value") > 10, 1).otherwise(-1).alias("direction"))
     keys = tables.user_days(spark, sf).select("id", (F.col("id") % 5).alias("region"), F.col("d").alias("origin"), (F.col("d") + 1).alias("target"))
-    return events.direction_claims(keys, claims).fillna(0, ["direction"])
+    return events.direction_claims(keys, claims)
 
 
 @query("diversity_gate", "dates:l targets:l fit_allowed:b", "SELECT count(DISTINCT ts::DATE) AS dates, count(DISTINCT event_type) AS targets, count(DISTINCT ts::DATE)>=3 AND count(DISTINCT event_type)>=3 AS fit_allowed FROM events")
@@ -228,12 +227,12 @@ def _(spark, sf):
 
 
 @query("quoted_place", "quote_id:l status:s id:l", f"""
-WITH a AS (SELECT alias, count(DISTINCT page_id) AS places, min(page_id) AS id FROM (SELECT page_id, unnest(list_distinct(string_split(lower({TITLE}),' '))) AS alias FROM pages) WHERE length(alias)>=8 GROUP BY alias),
+WITH a AS (SELECT alias, count(DISTINCT page_id) AS places, min(page_id) AS id FROM (SELECT page_id, unnest(list_distinct(string_split(lower({TITLE}),' '))) AS alias FROM pages) WHERE alias<>'' GROUP BY alias),
 t AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text),' '))) AS alias FROM documents),
 h AS (SELECT doc_id, max(places) AS worst, count(DISTINCT CASE WHEN places=1 THEN id END) AS ids, min(CASE WHEN places=1 THEN id END) AS id FROM t JOIN a USING(alias) GROUP BY doc_id)
 SELECT d.doc_id AS quote_id, CASE WHEN worst IS NULL THEN 'no_alias' WHEN worst>1 OR ids>1 THEN 'ambiguous_quote' ELSE 'quoted' END AS status, CASE WHEN worst=1 AND ids=1 THEN id ELSE -1 END AS id FROM documents d LEFT JOIN h USING(doc_id)""")
 def _(spark, sf):
-    aliases = page_titles(spark, sf).select(F.col("page_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("alias")).filter(F.length("alias") >= 8)
+    aliases = page_titles(spark, sf).select(F.col("page_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("alias")).filter("alias <> ''")
     quotes = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("quote_id"), F.col("text").alias("quote"))
     return text.quoted_place(quotes, aliases).fillna(-1, ["id"])
 
