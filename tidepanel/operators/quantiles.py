@@ -32,6 +32,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     if not keys:
         rows = rows.withColumn("_all", F.lit(1))
+    rows = cut_lineage(rows, "values")  # read twice below; what leads to it runs once, also when order statistics are nested
     probs = sorted({p for p, _ in ranks.values()})
     edges = [min(1.0, max(0.0, p + s)) for p in probs for s in (-BRACKET, BRACKET)]
     sketch = rows.groupBy(*grain).agg(
@@ -62,7 +63,9 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     for name, (_, rank) in ranks.items():
         r = rank(F.col("n"))
         hit = (F.col("_cum") >= r) & (F.col("_cum") - F.col("_c") < r)
-        picks.append(F.max(F.when(hit, F.col("_ord"))).alias(name))
+        # A rank outside its bracket would stand for a collapsed slot, not for a value.
+        found = F.when(F.col("_in").isNull(), F.raise_error(F.lit(f"rank of {name} is outside its bracket")).cast("double")).otherwise(F.col("_ord"))
+        picks.append(F.max(F.when(hit, found)).alias(name))
     out = cumulative.groupBy(*grain, "n").agg(*picks)
     return out if keys else out.drop("_all")
 

@@ -48,11 +48,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the file system that holds ``path`` delete it when the application ends."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: bounded plan, safe to recompute from."""
+    """Write once to the shared folder and read back: bounded plan, safe to recompute from. Deleted when the application ends."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
