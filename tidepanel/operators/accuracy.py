@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidepanel.functions import months, scalars
 from tidepanel.operators import prep
 from tidepanel.operators.quantiles import drop_largest, grouped_median, grouped_quantile, top_share
+from tidepanel.session import cut_lineage
 
 GROUP = ["model", "horizon"]
 TOLERANCE = 1e-9
@@ -93,6 +94,7 @@ def unit_errors(fc: DataFrame) -> DataFrame:
 
 
 def error_quantiles(fc: DataFrame) -> DataFrame:
+    fc = cut_lineage(fc.select(*GROUP, "id", "actual", "predicted"), "errors")  # two grains read it
     rows = grouped_quantile(fc.withColumn("ae", scalars.abs_error()), GROUP, "ae", {"median_ae": 0.5, "p90_ae": 0.9}).drop("n")
     units = grouped_quantile(unit_errors(fc), GROUP, "unit_mae", {"median_unit_mae": 0.5, "p90_unit_mae": 0.9}).withColumnRenamed("n", "ids")
     return rows.join(units, GROUP)
@@ -119,6 +121,7 @@ def paired_stats(pairs: DataFrame) -> DataFrame:
     kind = lambda c: F.when(c < -TOLERANCE, "win").when(c > TOLERANCE, "loss").otherwise("tie")
     grains = _grains(rows, ["horizon"], ["target", "id"], F.avg("diff").alias("diff"), F.count("*").alias("n"),
                      F.count(F.when(kind(F.col("diff")) == "win", 1)).alias("wins"), F.count(F.when(kind(F.col("diff")) == "tie", 1)).alias("ties"))
+    grains = cut_lineage(grains, "grains")
     is_ = lambda grain, k: F.count(F.when((F.col("grain") == grain) & (kind(F.col("diff")) == k), 1))
     at = lambda grain, c: F.when(F.col("grain") == grain, F.col(c))
     out = grains.groupBy("horizon").agg(
@@ -145,6 +148,7 @@ def leave_group_out(pairs: DataFrame, attributes: DataFrame, group: str) -> Data
     """Date-balanced mean difference without each group: totals minus the group's own sums, one pass."""
     cells = pairs.join(attributes.select("id", group), "id").groupBy("horizon", "target", group).agg(
         F.sum(F.col("loss_b") - F.col("loss_a")).alias("s"), F.count("*").alias("n"))
+    cells = cut_lineage(cells, "cells")
     totals = cells.groupBy("horizon", "target").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
     groups = cells.select("horizon", F.col(group).alias("excluded")).distinct()
     own = cells.withColumnRenamed(group, "excluded")
@@ -254,6 +258,7 @@ def growth_interpretation(panel: DataFrame, prices: DataFrame, keys: list[str])
     unit = [k for k in ("id", "category") if k in panel.columns]
     rows = year_ago_join(base.select(*unit, "m", "value", "real", *[k for k in keys if k not in unit]), ["value", "real"], unit)
     rows = rows.withColumn("nominal_yoy_pct", scalars.pct_change("value", "value_year_ago")).withColumn("real_yoy_pct", scalars.pct_change("real", "real_year_ago"))
+    rows = cut_lineage(rows.select(*keys, "nominal_yoy_pct", "real_yoy_pct"), "growth")
     a = grouped_median(rows, keys, "nominal_yoy_pct", "nominal_yoy_pct").withColumnRenamed("n", "rows")
     b = grouped_median(rows, keys, "real_yoy_pct", "real_yoy_pct").drop("n")
     return a.join(b, keys)
@@ -264,6 +269,7 @@ def case_percentile(growth: DataFrame, cases: DataFrame) -> DataFrame:
 
     The rank is counted against the few case values of each month; the panel is never sorted.
     """
+    growth = cut_lineage(growth.select("id", "m", "growth"), "growth")
     chosen = growth.join(cases.select("id"), "id", "left_semi").select("id", "m", F.col("growth").alias("own"))
     others = growth.select("m", "growth").join(chosen, "m")
     counted = others.groupBy("id", "m", "own").agg(
@@ -278,7 +284,7 @@ def rank_panel(df: DataFrame, month: int, value: str, months_needed: int) -> Dat
 
     Ranks come from counts per distinct value merged over value ranges, not from one global sort.
     """
-    observed = df.filter(F.col(value).isNotNull())
+    observed = cut_lineage(df.select("id", "m", value).filter(F.col(value).isNotNull()), "observed")
     full = observed.groupBy("id").agg(F.count_distinct("m").alias("_n")).filter(F.col("_n") == months_needed)
     now = observed.filter(F.col("m") == month).select("id", value)
     both = now.withColumn("population", F.lit("available")).unionByName(now.join(full, "id", "left_semi").withColumn("population", F.lit("complete")))
@@ -288,15 +294,16 @@ def rank_panel(df: DataFrame, month: int, value: str, months_needed: int) -> Dat
 
 
 def ranges_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Descending competition rank: a bucket by approximate cut points, counts of the buckets above,
-    and an ordered window inside one bucket only."""
+    """Descending competition rank: equal values are counted first, distinct ones are put into buckets by approximate cut points, and
+    an ordered window over the distinct values of one bucket adds the counts above to those of the buckets above."""
     probs = ",".join(repr(i / 256) for i in range(1, 256))
-    cuts = df.groupBy(*keys).agg(F.expr(f"approx_percentile({value}, array({probs}), 2000)").alias("_cuts"))
-    placed = df.join(F.broadcast(cuts), keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    per = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    above = per.withColumn("_above", F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    inside = F.rank().over(W.partitionBy(*keys, "_b").orderBy(F.desc(value)))
-    return placed.join(above, [*keys, "_b"]).withColumn(name, F.col("_above") + inside).drop("_b", "_above")
+    values = cut_lineage(df.groupBy(*keys, value).agg(F.count("*").alias("_c")), "distinct")
+    cuts = values.groupBy(*keys).agg(F.expr(f"approx_percentile({value}, array({probs}), 2000)").alias("_cuts"))
+    placed = values.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c")).select(*keys, "_b", before(W.partitionBy(*keys).orderBy(F.desc("_b"))).alias("_above"))
+    ranked = placed.withColumn("_inside", before(W.partitionBy(*keys, "_b").orderBy(F.desc(value)))).join(per, [*keys, "_b"])
+    return df.join(ranked.select(*keys, value, (F.col("_above") + F.col("_inside") + 1).alias(name)), [*keys, value])
 
 
 def fit_trace(training: DataFrame, keys: list[str]) -> DataFrame:

@@ -37,7 +37,7 @@ def window_pairs(targets: DataFrame, policy: str, window: int = 3, fixed: tuple[
 
     ``targets`` is the distinct month axis of the forecasts, so this range join is calendar-sized.
     """
-    t = targets.select("target").distinct()
+    t = cut_lineage(targets.select("target").distinct(), "months")
     c = t.withColumnRenamed("target", "cal_target")
     condition = F.col("cal_target") < F.col("target")
     if policy == "rolling":
@@ -48,7 +48,7 @@ def window_pairs(targets: DataFrame, policy: str, window: int = 3, fixed: tuple[
         raise ValueError("policy must be rolling, fixed or expanding")
     if start is not None:
         condition = condition & (F.col("cal_target") >= start)
-    return t.join(c, condition)
+    return t.join(F.broadcast(c), condition)  # at most one row a month of the calendar
 
 
 def normaliser(strategy: str, floor: float = 1.0) -> Column:

@@ -7,6 +7,7 @@ from tidepanel.functions import months, scalars
 from tidepanel.operators import guards
 from tidepanel.operators.quantiles import bounded_median, grouped_median, peer_medians, without_own
 from tidepanel.schema import FORECAST_KEYS
+from tidepanel.session import cut_lineage
 
 
 def join_checked(left: DataFrame, right: DataFrame, keys: list[str], cardinality: str, how: str = "inner") -> DataFrame:
@@ -121,6 +122,7 @@ def neighbor_features(panel: DataFrame, neighbors: DataFrame, k: int, spike: flo
 
 def leave_one_out_median(df: DataFrame, group: list[str], value: str, min_peers: int) -> DataFrame:
     """Peer count and peer median without the row itself; NULL below ``min_peers`` or without a group."""
+    df = cut_lineage(df, "peers")
     stats = peer_medians(df.filter(" and ".join(f"{g} is not null" for g in group)), group, value)
     joined = df.join(stats, group, "left")
     peers = F.coalesce(F.col("_n"), F.lit(0)) - F.col(value).isNotNull().cast("int")

@@ -167,7 +167,7 @@ def _smallest_ids(tied: DataFrame, keys: list[str], tie: str, buckets: int = 409
         base = base.withColumn("_all", F.lit(1))
     span = base.groupBy(*grain).agg(F.min(tie).alias("_a"), F.max(tie).alias("_b"))
     width = F.greatest(F.ceil((F.col("_b") - F.col("_a") + 1) / buckets), F.lit(1))
-    placed = base.join(span, on=grain).withColumn("_bucket", F.floor((F.col(tie) - F.col("_a")) / width))
+    placed = (base.join(span, on=keys) if keys else base.crossJoin(F.broadcast(span.drop("_all")))).withColumn("_bucket", F.floor((F.col(tie) - F.col("_a")) / width))
     run = W.partitionBy(*grain).orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     chosen = (
         placed.groupBy(*grain, "_need", "_bucket").agg(F.count("*").alias("_c"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidepanel.functions import scalars
 from tidepanel.operators import joins, prep, profiles
 from tidepanel.operators.quantiles import bounded_median, grouped_median
+from tidepanel.session import cut_lineage
 
 
 def yoy_of_series(s: DataFrame, keys: list[str], last: int | None = None) -> DataFrame:
@@ -25,6 +26,7 @@ def yoy_log(panel: DataFrame, keys: list[str] | None = None, last: int | None =
 
 
 def _remove_common(growth: DataFrame, keys: list[str]) -> DataFrame:
+    growth = cut_lineage(growth, "growth")
     common = grouped_median(growth, [*keys, "m"], "growth", "_common").drop("n")
     return growth.join(common, [*keys, "m"], "left").withColumn("z", F.col("growth") - F.col("_common")).drop("_common")
 
@@ -51,6 +53,7 @@ def signal_yoy_linear(growth: DataFrame, cal: tuple[int, int], keys: list[str] |
 def signal_levels(growth: DataFrame, regions: DataFrame, minimum: int, keys: list[str] | None = None) -> DataFrame:
     """(level, unit, m, z): panel median, regional medians (enough ids), local minus regional."""
     keys = keys or []
+    growth = cut_lineage(growth, "growth")
     sizes = growth.select(*keys, "id").distinct().join(regions.select("id", "region"), "id").filter("region is not null").groupBy(*keys, "region").agg(F.count("*").alias("_n"))
     eligible = sizes.filter(F.col("_n") >= minimum).select(*keys, "region")
     rows = growth.join(regions.select("id", "region"), "id").join(eligible, [*keys, "region"], "left_semi")
