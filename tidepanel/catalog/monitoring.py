@@ -317,22 +317,22 @@ def _(spark, sf):
 
 
 # -- back-tests ---------------------------------------------------------------------------------
-SEEDS, SHIFTS, SHAPES = (20261001, 20261002), (-0.2, 0.2), ("step", "pulse", "ramp")
+SEEDS, SHIFTS, SHAPES = tuple(range(20261001, 20261011)), (-0.2, 0.2), ("step", "pulse", "ramp")
 LASTK = ONSET + SPAN - 1
 U = "('0x'||substr(sha256(seed||':'||id),1,12))::UBIGINT::DOUBLE/281474976710656"
 
 
-def bt_sql(seeds=SEEDS, shifts=SHIFTS, shapes=SHAPES, fractions=(0.25,)):
+def bt_sql(seeds=SEEDS, shifts=SHIFTS, shapes=SHAPES, fractions=(0.25,), lead=0):
     keys = "seed, shift, shape, fraction"
     return f"""sn AS (SELECT * FROM (SELECT unnest({list(seeds)}::BIGINT[]) AS seed) CROSS JOIN (SELECT unnest({list(shifts)}::DOUBLE[]) AS shift) CROSS JOIN (SELECT unnest({list(shapes)}) AS shape) CROSS JOIN (SELECT unnest({list(fractions)}::DOUBLE[]) AS fraction)),
 kn AS (SELECT panel.* FROM panel JOIN (SELECT id FROM panel WHERE m BETWEEN {FIRST} AND {ONSET-1} AND value>0 GROUP BY id HAVING count(*)={ONSET-FIRST}) USING(id) WHERE m<={LASTK}),
 {growth_sql('kn', last=LASTK)}, {level_sql(BT_CAL)}, {scores_sql('zz', 'id')},
 th AS (SELECT method, quantile_cont(x,0.99) AS threshold FROM (SELECT id, method, max(score) AS x FROM scm WHERE m BETWEEN {BT_CAL[0]} AND {BT_CAL[1]} GROUP BY ALL) WHERE x IS NOT NULL GROUP BY method),
-b4 AS (SELECT id, m, method, observed, threshold, coalesce(score>threshold,false) AS base_alarm FROM scm JOIN th USING(method) WHERE m>={ONSET}),
+b4 AS (SELECT id, m, method, observed, threshold, coalesce(score>threshold,false) AS base_alarm FROM scm JOIN th USING(method) WHERE m>={ONSET-lead}),
 ch AS (SELECT {keys}, id, m, {U} < fraction AS treated, value*CASE WHEN m>={ONSET} AND {U} < fraction THEN CASE shape WHEN 'step' THEN 1+shift WHEN 'pulse' THEN CASE WHEN m={ONSET} THEN 1+shift ELSE 1 END ELSE 1+shift*(m-{ONSET})/5.0::DOUBLE END ELSE 1 END AS value FROM kn CROSS JOIN sn),
 {growth_sql('ch', keys, LASTK, 'cg')}, {level_sql(BT_CAL, keys, 'cg', 'cz')}, {scores_sql('cz', keys + ', id', 'cs')},
 res AS (SELECT {keys}, id, {U} < fraction AS treated, m-{ONSET} AS k, method, b4.observed, base_alarm, coalesce(score>threshold,false) AS changed_alarm, coalesce(score>threshold,false) AND NOT base_alarm AS new_alarm, CASE WHEN shape='ramp' THEN 1 ELSE 0 END AS onset
- FROM csm JOIN b4 USING(id,m,method) WHERE m>={ONSET})"""
+ FROM csm JOIN b4 USING(id,m,method) WHERE m>={ONSET-lead})"""
 
 
 SCN = "seed:l shift:d shape:s fraction:d method:s"
@@ -345,8 +345,8 @@ def cohort_panel(spark, sf):
     return panel.join(prep.cohort_observed_through(panel, FIRST, ONSET - 1), "id", "left_semi")
 
 
-def results(spark, sf, seeds=SEEDS, shifts=SHIFTS, shapes=SHAPES, fractions=(0.25,)):
-    return backtest.run(cohort_panel(spark, sf), backtest.scenario_table(spark, seeds, shifts, shapes, fractions), ONSET, BT_CAL, span=SPAN)
+def results(spark, sf, seeds=SEEDS, shifts=SHIFTS, shapes=SHAPES, fractions=(0.25,), lead=0):
+    return backtest.run(cohort_panel(spark, sf), backtest.scenario_table(spark, seeds, shifts, shapes, fractions), ONSET, BT_CAL, span=SPAN, lead=lead)
 
 
 @query("inject_shock", "seed:l shift:d shape:s fraction:d id:l m:l treated:b value:d", f"WITH {BT} SELECT * FROM ch", digits=3)
@@ -488,21 +488,37 @@ def _(spark, sf):
 
 
 # -- event matching -----------------------------------------------------------------------------
-MATCH_KEYS = ["split", "method", "shape", "shift", "id"]
+MATCH_KEYS = ["split", "seed", "method", "shape", "shift", "id"]
+MATCH = f"""{bt_sql(lead=1)},
+al AS (SELECT seed, shift, shape, method, id, k, changed_alarm AS a FROM res WHERE treated
+ UNION ALL SELECT seed, 0::DOUBLE, 'no_change', method, id, k, base_alarm FROM res WHERE NOT treated AND shift={SHIFTS[0]} AND shape='{SHAPES[0]}'),
+ep AS (SELECT *, a AND NOT coalesce(lag(a) OVER w AND lag(k) OVER w = k-1, false) AS e FROM al WINDOW w AS (PARTITION BY seed, shift, shape, method, id ORDER BY k)),
+u AS (SELECT seed, shift, shape, method, id, count(*) FILTER (WHERE e) AS n, bool_or(e AND k=0) AS f0, bool_or(e AND k=1) AS f1, bool_or(e AND k=2) AS f2 FROM ep WHERE k>=0 GROUP BY ALL),
+mc AS (SELECT *, CASE shape WHEN 'no_change' THEN 0 WHEN 'step' THEN (f0 OR f1)::INT WHEN 'ramp' THEN (f0 OR f1 OR f2)::INT ELSE least(2, f0::INT+f1::INT+f2::INT) END AS tp, CASE shape WHEN 'no_change' THEN 0 WHEN 'pulse' THEN 2 ELSE 1 END AS nt,
+ CASE shape WHEN 'no_change' THEN 0 WHEN 'ramp' THEN (f0 OR f1 OR f2)::INT ELSE (f0 OR f1)::INT END AS onset_tp, CASE WHEN shape='pulse' THEN (CASE WHEN f0 THEN f1 OR f2 ELSE f2 END)::INT ELSE 0 END AS neutral FROM u),
+me AS (SELECT CASE WHEN seed={SEEDS[0]} THEN 'selection' ELSE 'evaluation' END AS split, seed, method, shape, shift, id, tp, n-tp AS fp, nt-tp AS fn, onset_tp, n-onset_tp-neutral AS onset_fp, least(nt,1)-onset_tp AS onset_fn FROM mc)"""
 
 
 def matched(spark, sf):
-    """Alarm episodes after the onset against the injected boundaries, per unit and scenario."""
-    rows = results(spark, sf).withColumn("active", F.col("changed_alarm")).withColumnRenamed("k", "m")
-    rows = detectors.alarm_episodes(rows, ["seed", "shift", "shape", "method", "id"])
-    found = rows.groupBy("seed", "shift", "shape", "method", "id", "treated").agg(F.collect_list(F.when(F.col("episode"), F.col("m"))).alias("found"))
-    truth = F.when(~F.col("treated"), F.array().cast("array<int>")).when(F.col("shape") == "pulse", F.array(F.lit(0), F.lit(1))).when(F.col("shape") == "ramp", F.array(F.lit(1))).otherwise(F.array(F.lit(0)))
+    """Alarm episodes from the onset on against the injected boundaries, per unit and scenario.
+
+    An episode that began the month before the onset is none at the onset. Untreated units are scored once a seed, on the
+    unaltered panel, as ``no_change``.
+    """
+    rows = results(spark, sf, lead=1).withColumnRenamed("k", "m")
+    control = ~F.col("treated")
+    rows = rows.filter(F.col("treated") | ((F.col("shift") == SHIFTS[0]) & (F.col("shape") == SHAPES[0])))
+    rows = rows.withColumn("active", F.when(control, F.col("base_alarm")).otherwise(F.col("changed_alarm"))).withColumn(
+        "shape", F.when(control, "no_change").otherwise(F.col("shape"))).withColumn("shift", F.when(control, 0.0).otherwise(F.col("shift")))
+    unit = ["seed", "shift", "shape", "method", "id"]
+    found = detectors.alarm_episodes(rows, unit).filter("m >= 0").groupBy(*unit).agg(F.collect_list(F.when(F.col("episode"), F.col("m"))).alias("found"))
+    months = lambda *k: F.array(*[F.lit(x) for x in k]).cast("array<int>")
+    truth = F.when(F.col("shape") == "no_change", months()).when(F.col("shape") == "pulse", months(0, 1)).when(F.col("shape") == "ramp", months(1)).otherwise(months(0))
     split = F.when(F.col("seed") == SEEDS[0], "selection").otherwise("evaluation")
-    return detectors.match_events(found.withColumn("truth", truth).withColumn("split", split).withColumn(
-        "shape", F.when(F.col("treated"), F.col("shape")).otherwise("no_change")), MATCH_KEYS)
+    return detectors.match_events(found.withColumn("truth", truth).withColumn("split", split), MATCH_KEYS)
 
 
-@query("match_events", "split:s method:s shape:s shift:d id:l tp:l fp:l fn:l onset_tp:l onset_fp:l onset_fn:l")
+@query("match_events", "split:s seed:l method:s shape:s shift:d id:l tp:l fp:l fn:l onset_tp:l onset_fp:l onset_fn:l", f"WITH {MATCH} SELECT * FROM me")
 def _(spark, sf):
     return matched(spark, sf)
 
@@ -512,18 +528,20 @@ def _(spark, sf):
     return detectors.event_scores(matched(spark, sf), ["split", "method"], SPAN)
 
 
-@query("choose_detector", "split:s method:s onset_f1:d null_per100:d")
+@query("choose_detector", "split:s method:s onset_f1:d null_per100:d", f"""
+WITH {MATCH}, dsc AS (SELECT split, method, 2*sum(onset_tp)/nullif(2*sum(onset_tp)+sum(onset_fp)+sum(onset_fn),0)::DOUBLE AS onset_f1, 100*sum(fp) FILTER (WHERE shape='no_change')/(count(*) FILTER (WHERE shape='no_change')*{SPAN})::DOUBLE AS null_per100 FROM me GROUP BY ALL)
+SELECT split, method, onset_f1, null_per100 FROM dsc WHERE split='selection' AND null_per100<=5 ORDER BY onset_f1 DESC NULLS LAST, method LIMIT 1""")
 def _(spark, sf):
     return detectors.choose_detector(detectors.event_scores(matched(spark, sf), ["split", "method"], SPAN), "selection", "onset_f1", 5.0)
 
 
-@query("recheck_detector_table", "split:s method:s onset_tp:l")
+@query("recheck_detector_table", "split:s method:s onset_tp:l", f"WITH {MATCH} SELECT split, method, sum(onset_tp)+1 AS onset_tp FROM me WHERE method='ewma' GROUP BY ALL")
 def _(spark, sf):
-    """Rows where the score table disagrees with counts taken again from the per-series rows: none."""
+    """Rows where the score table disagrees with counts taken again from the per-series rows: those of the method that is wrong on purpose."""
     from tidepanel.operators.accuracy import metric_mismatches
     from tidepanel.session import cut_lineage
 
     rows = cut_lineage(matched(spark, sf), "matched")
-    saved = detectors.event_scores(rows, ["split", "method"], SPAN).filter("shape = 'all'").select("split", "method", "onset_tp", "onset_recall")
+    saved = detectors.event_scores(rows, ["split", "method"], SPAN).filter("shape = 'all'").select("split", "method", (F.col("onset_tp") + (F.col("method") == "ewma").cast("int")).alias("onset_tp"), "onset_recall")
     again = rows.groupBy("split", "method").agg(F.sum("onset_tp").alias("onset_tp"), (F.sum("onset_tp") / F.sum(F.col("onset_tp") + F.col("onset_fn"))).alias("onset_recall"))
     return metric_mismatches(saved, again, ["split", "method"], ["onset_tp", "onset_recall"], 1e-12)

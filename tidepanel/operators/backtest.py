@@ -37,8 +37,8 @@ def inject_series(s: DataFrame, scenarios: DataFrame, onset: int, span: int = 6)
     return crossed.withColumn("vals", F.transform("vals", shocked))
 
 
-def run(panel: DataFrame, scenarios: DataFrame, onset: int, cal: tuple[int, int], settings: DetectorSettings = DetectorSettings(), span: int = 6) -> DataFrame:
-    """(scenario, id, treated, k, method, observed, base_alarm, changed_alarm, new_alarm) for the span after onset.
+def run(panel: DataFrame, scenarios: DataFrame, onset: int, cal: tuple[int, int], settings: DetectorSettings = DetectorSettings(), span: int = 6, lead: int = 0) -> DataFrame:
+    """(scenario, id, treated, k, method, observed, base_alarm, changed_alarm, new_alarm) for the span after onset, and ``lead`` months before.
 
     Thresholds come from the unaltered calibration months; the altered panel is scored with them.
     """
@@ -49,14 +49,14 @@ def run(panel: DataFrame, scenarios: DataFrame, onset: int, cal: tuple[int, int]
     base = detectors.by_method(detectors.scores(base_signal, ["id"], settings), ["id"])
     base = cut_lineage(base.filter(F.col("m") >= cal[0]), "base-scores")
     limits = detectors.threshold_unit_max(base, ["id"], cal, settings.threshold_quantile).select("method", "threshold")
-    before = detectors.alarms(base.filter(F.col("m") >= onset).join(F.broadcast(limits), "method")).select(
+    before = detectors.alarms(base.filter(F.col("m") >= onset - lead).join(F.broadcast(limits), "method")).select(
         "id", "m", "method", "observed", F.col("active").alias("base_alarm"), "threshold")
     altered = inject_series(arrays, scenarios, onset, span)
     z = signals.signal_yoy_level(signals.yoy_of_series(altered, SCENARIO, last), cal, SCENARIO)
     unit = [*SCENARIO, "id"]
-    after = detectors.by_method(detectors.scores(z, unit, settings).filter(F.col("m") >= onset), unit)
-    treated = altered.select(*unit, "treated")
-    joined = after.drop("observed").join(before, ["id", "m", "method"]).join(treated, unit)
+    after = detectors.by_method(detectors.scores(z, unit, settings).filter(F.col("m") >= onset - lead), unit)
+    # The assignment follows from seed, id and fraction alone, so it is no join.
+    joined = after.drop("observed").join(before, ["id", "m", "method"]).withColumn("treated", scalars.id_uniform(F.col("seed"), "id") < F.col("fraction"))
     changed = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))
     return joined.select(
         *SCENARIO, "id", "treated", (F.col("m") - onset).alias("k"), "method", "observed",
@@ -88,7 +88,8 @@ def attribution_metrics(results: DataFrame, group: list[str] | None = None) -> D
     group = group or [*SCENARIO, "method"]
     u = per_unit(results)
     by = lambda n: _any("new_alarm", lambda p: (p["k"] >= F.col("onset")) & (p["k"] < F.col("onset") + n))
-    u = u.select(*group, "treated", by(1).alias("at1"), by(2).alias("at2"), by(3).alias("at3"), by(99).alias("ever"), _first("new_alarm").alias("delay"),
+    ever = _any("new_alarm", lambda p: p["k"] >= F.col("onset"))
+    u = u.select(*group, "treated", by(1).alias("at1"), by(2).alias("at2"), by(3).alias("at3"), ever.alias("ever"), _first("new_alarm").alias("delay"),
                  _any("base_alarm", lambda p: F.lit(True)).alias("base"), _any("changed_alarm", lambda p: F.lit(True)).alias("changed"), _any("new_alarm", lambda p: F.lit(True)).alias("new"))
     rate = lambda c, side: F.avg(F.when(F.col("treated") == side, c.cast("double")))
     # Delays are small integers within the span, so an exact percentile buffers a handful of values.
@@ -233,7 +234,7 @@ def level_stress(panel: DataFrame, regions: DataFrame, onset: int, cal: tuple[in
 
     base = cut_lineage(scored(known, []), "level-scores")
     limits = detectors.threshold_per_unit(base, ["level", "unit"], cal)
-    quiet = detectors.alarms(base.filter(F.col("m") >= onset).join(limits, ["level", "unit", "method"])).groupBy("level", "unit", "method").agg(F.max(F.col("active").cast("int")).alias("base"))
+    quiet = detectors.alarms(base.filter(F.col("m") >= onset - lead).join(limits, ["level", "unit", "method"])).groupBy("level", "unit", "method").agg(F.max(F.col("active").cast("int")).alias("base"))
     changed = detectors.alarms(scored(altered, keys).filter(F.col("m") >= onset).join(limits, ["level", "unit", "method"]))
     found = changed.groupBy(*keys, "level", "unit", "method").agg(F.max(F.col("active").cast("int")).alias("found"), F.min(F.when(F.col("active"), F.col("m") - onset)).alias("delay"))
     target = F.when(F.col("level") == "national", F.col("scope") == "national").when(

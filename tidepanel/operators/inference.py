@@ -19,7 +19,9 @@ def numbered(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
 
 def _draws(sizes: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
     """(keys, draw, idx, w): how often each draw picks each of n units."""
-    grid = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    # ``sizes`` has one row a horizon at most; the draws are a range that Spark spreads over its tasks.
+    spread = sizes.sparkSession.range(0, draws, 1, max(2, sizes.sparkSession.sparkContext.defaultParallelism)).select(F.col("id").cast("int").alias("draw"))
+    grid = spread.crossJoin(F.broadcast(sizes)).withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     u = scalars.id_uniform(F.lit(seed), F.concat_ws(":", F.col("draw").cast("string"), F.col("slot").cast("string")))
     return grid.select(*keys, "draw", F.floor(u * F.col("n")).alias("idx")).groupBy(*keys, "draw", "idx").agg(F.count("*").alias("w"))
 
