@@ -77,17 +77,18 @@ def _(spark, sf):
     return windowed(spark, sf, day_rows(spark, sf))
 
 
-# Daily monitoring: spike score of log value around the user's own mean, threshold at its 90 % quantile.
-MON = """mz AS (SELECT id, m, ln(value) - avg(ln(value)) OVER (PARTITION BY id) AS z FROM rows_ WHERE value>0),
-mt AS (SELECT quantile_cont(abs(z),0.9) AS threshold FROM mz), ma AS (SELECT id, m, abs(z) AS score, threshold, true AS observed, abs(z)>threshold AS active FROM mz, mt)"""
+# Daily monitoring: spike score of log value around the user's own mean of the first days, threshold at the 90 % quantile of those days.
+CALIBRATION = 7
+MON = f"""mz AS (SELECT id, m, ln(value) - avg(ln(value)) FILTER (WHERE m<={CALIBRATION}) OVER (PARTITION BY id) AS z FROM rows_ WHERE value>0),
+mt AS (SELECT quantile_cont(abs(z),0.9) AS threshold FROM mz WHERE m<={CALIBRATION}), ma AS (SELECT id, m, abs(z) AS score, threshold, true AS observed, abs(z)>threshold AS active FROM mz, mt WHERE m>{CALIBRATION} AND z IS NOT NULL)"""
 
 
 def monitored(spark, sf):
     rows = day_rows(spark, sf).filter("value > 0").withColumn("x", F.log("value"))
-    mean = rows.groupBy("id").agg(F.avg("x").alias("a"))
+    mean = rows.filter(F.col("m") <= CALIBRATION).groupBy("id").agg(F.avg("x").alias("a"))
     z = rows.join(mean, "id").select("id", "m", F.abs(F.col("x") - F.col("a")).alias("score"), F.lit("spike").alias("method"))
-    limit = detectors.threshold_pooled(z, (0, 100000), 0.9).select("threshold")
-    return detectors.alarms(z.crossJoin(F.broadcast(limit))).withColumn("observed", F.lit(True))
+    limit = detectors.threshold_pooled(z.filter(F.col("m") <= CALIBRATION), (0, CALIBRATION), 0.9).select("threshold")
+    return detectors.alarms(z.filter(F.col("m") > CALIBRATION).crossJoin(F.broadcast(limit))).withColumn("observed", F.lit(True))
 
 
 POL = f"""pol AS (SELECT a.*, lag, event_available, policy, factor, score>threshold*factor AS act FROM (SELECT ma.*, lag, EXISTS (SELECT 1 FROM ev WHERE ev.id=ma.id AND available<=ma.m+1+lag AND ma.m>=available AND ma.m<available+{WINDOW}) AS event_available FROM ma CROSS JOIN (SELECT unnest([0,1,2]) AS lag)) a,

@@ -8,6 +8,7 @@ from tidepanel.catalog.forecasts import NEAR, inputs, nearest
 from tidepanel.catalog.kit import FIRST, YEAR, query
 from tidepanel.catalog.preparation import QUART
 from tidepanel.operators import accuracy, learned, profiles
+from tidepanel.session import cut_lineage
 from tidepanel.sources import tables
 from tidepanel.streaming import ops
 
@@ -81,6 +82,8 @@ def event_stream(spark, sf):
     return ops.observations(ops.read_events(spark, f"{sf}/events*.parquet", schema))
 
 
+#: Days whose mean is the level of a user; all later ones are watched.
+CALIBRATION = 7
 CLOSED = "<= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
 
@@ -106,13 +109,14 @@ def _(spark, sf):
 
 
 SZ = f"""sd AS (SELECT id, d AS m, value FROM days WHERE (DATE '2023-12-31'+d::INT)::TIMESTAMP + INTERVAL 1 DAY {CLOSED}),
-sn AS (SELECT id, avg(ln(value)) AS a FROM days WHERE value>0 GROUP BY id), sz AS (SELECT sd.id, m, ln(value)-a AS z FROM sd JOIN sn USING(id) WHERE value>0)"""
+sn AS (SELECT id, avg(ln(value)) AS a FROM days WHERE value>0 AND d<={CALIBRATION} GROUP BY id), sz AS (SELECT sd.id, m, ln(value)-a AS z FROM sd JOIN sn USING(id) WHERE value>0 AND m>{CALIBRATION})"""
 
 
 def stream_signal(spark, sf):
-    """Closed days of each user with the log value around the user's static mean."""
-    static = tables.user_days(spark, sf).filter("value > 0").groupBy("id").agg(F.avg(F.log("value")).alias("a"))
-    days = ops.run_to_stream(ops.daily(event_stream(spark, sf)), "days").filter("value > 0")
+    """Closed days of each user after the calibration days, with the log value around the mean of these, which is written once."""
+    static = tables.user_days(spark, sf).filter((F.col("value") > 0) & (F.col("d") <= CALIBRATION)).groupBy("id").agg(F.avg(F.log("value")).alias("a"))
+    static = cut_lineage(static, "means")
+    days = ops.run_to_stream(ops.daily(event_stream(spark, sf)), "days").filter((F.col("value") > 0) & (F.col("d") > CALIBRATION))
     return days.join(static, "id").select("id", "ts", "d", (F.log("value") - F.col("a")).alias("z"))
 
 

@@ -141,14 +141,15 @@ def _(spark, sf):
     return signals.prior_sigma(level_signal(spark, sf), CAL, 1.4826, 0.02)
 
 
-GAPPY = """pz AS (SELECT s.id, s.m, ln(p.value) - a AS z FROM (SELECT id, unnest(range(min(m), max(m)+1)) AS m, avg(ln(value)) AS a FROM parts GROUP BY id) s LEFT JOIN parts p USING(id,m))"""
+GAPPY = f"""pz AS (SELECT s.id, s.m, ln(p.value) - a AS z FROM (SELECT id, a, unnest(range(lo, hi+1)) AS m FROM (SELECT id, avg(ln(value)) FILTER (WHERE m<={CAL[1]}) AS a, min(m) FILTER (WHERE m>{CAL[1]}) AS lo, max(m) AS hi FROM parts GROUP BY id)
+ WHERE a IS NOT NULL AND lo IS NOT NULL) s LEFT JOIN parts p USING(id,m))"""
 
 
 def gappy_signal(spark, sf):
-    """Log value of every part around its own mean; most months are missing."""
+    """Log value of every part after the calibration months, around its own mean in them; most months are missing."""
     rows = tables.part_panel(spark, sf).withColumn("x", F.log(scalars.positive_or_null("value")))
-    mean = rows.groupBy("id").agg(F.avg("x").alias("a"))
-    return rows.join(mean, "id").select("id", "m", (F.col("x") - F.col("a")).alias("z"))
+    mean = rows.filter(F.col("m") <= CAL[1]).groupBy("id").agg(F.avg("x").alias("a")).filter("a is not null")
+    return rows.filter(F.col("m") > CAL[1]).join(mean, "id").select("id", "m", (F.col("x") - F.col("a")).alias("z"))
 
 
 @query("runs", "id:l m:l run_start:l position:l", f"""
