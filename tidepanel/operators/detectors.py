@@ -266,7 +266,7 @@ def segment_boundaries(x: np.ndarray, penalty: float, cost: str = "l2", min_size
     back = np.zeros(n + 1, int)
     for j in range(min_size, n + 1):
         starts = np.array([i for i in range(0, j - min_size + 1) if i == 0 or i >= min_size])
-        total = best[starts] + np.array([segment(i, j) for i in starts]) + penalty
+        total = best[starts] + segment(starts, j) + penalty
         k = int(np.argmin(total))
         best[j], back[j] = total[k], starts[k]
     out, j = [], n
