@@ -223,6 +223,16 @@ def test_secrets_of_all_kinds(spark, no_docs):
     assert secrets.scan(no_docs).count() == 0
 
 
+def test_every_row_with_a_span_is_suspect():
+    r = random.Random(4)
+    parts = ["0f" * 12, "f" * 23, "AKIA" + "Z" * 16, "token=abcdef", "PassWd: x12345", "apikey", " ", "é", "\n", "zz", "g"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(0, 4))) for _ in range(600)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0] + [len(t.encode()) for t in texts])
+    suspect = secrets._suspects(data, at)
+    assert all(suspect[i] for i, t in enumerate(texts) if secrets.find_secrets(t)) and not suspect.all()
+
+
 def test_words_are_not_novel():
     text = "auth uses connection_string_default_value0 in settings connection_string_default"
     assert secrets.find_secrets(text) == []

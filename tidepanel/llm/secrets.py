@@ -85,9 +85,9 @@ _HEX = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
 def _suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows in which a pattern or a sensitive word can be: all others have no span."""
     out = np.zeros(len(at) - 1, bool)
-    stops = np.union1d(np.flatnonzero(~_HEX[data]), at - 1)
-    long = stops[1:][np.diff(stops) > HEX_LEAST]
-    out[np.searchsorted(at, long - 1, side="right") - 1] = True
+    other = np.flatnonzero(~_HEX[data])
+    edges = np.unique(np.concatenate([other, other + 1, at]))  # runs of hex digits of a row, and single other bytes, lie between
+    out[np.searchsorted(at, edges[:-1][np.diff(edges) >= HEX_LEAST], side="right") - 1] = True
     low = data.tobytes().lower()
     for word in SENSITIVE:
         key, i = word.encode(), low.find(word.encode())
