@@ -464,7 +464,39 @@ def _(spark, sf):
     return backtest.choose_under_capacity(calendar(spark, sf).filter("lag = 1 and shape = 'step'"), [20261001], 20.0, 0.0, "new_by_third", "base_control_per100")
 
 
-@query("level_stress", "scope:s scenario:s shift:d shape:s level:s method:s intended:b target_units:l control_units:l target_rate:d target_base_rate:d target_new_rate:d control_rate:d median_delay:d")
+LV_KEYS = "scope, scenario, shift, shape"
+LV_U = "('0x'||substr(sha256(scenario||':'||{id}),1,12))::UBIGINT::DOUBLE/281474976710656"
+
+
+def levels_sql(src, keys, name):
+    """Panel, regional and local signals of a growth relation, each around its calibration median."""
+    k = f"{keys}, " if keys else ""
+    return f"""{name}r AS (SELECT g.*, region, median(growth) OVER (PARTITION BY {k}region, m) AS rm FROM {src} g JOIN lookup USING(id) WHERE region IN (SELECT region FROM le)),
+{name}l AS (SELECT {k}'local' AS level, id::VARCHAR AS unit, m, growth-rm AS z FROM {name}r WHERE rm IS NOT NULL UNION ALL SELECT DISTINCT {k}'regional', region::VARCHAR, m, rm FROM {name}r WHERE rm IS NOT NULL
+ UNION ALL SELECT {k}'national', 'panel', m, median(growth) FROM {src} GROUP BY {k}m HAVING count(growth)>0),
+{name} AS (SELECT l.* EXCLUDE (z), z-c AS z FROM {name}l l JOIN (SELECT {k}level, unit, median(z) AS c FROM {name}l WHERE m BETWEEN {BT_CAL[0]} AND {BT_CAL[1]} GROUP BY ALL) USING({k}level, unit))"""
+
+
+LEVEL_STRESS = f"""kn AS (SELECT panel.* FROM panel JOIN (SELECT id FROM panel WHERE m BETWEEN {FIRST} AND {ONSET-1} AND value>0 GROUP BY id HAVING count(*)={ONSET-FIRST}) USING(id) WHERE m<={LASTK}),
+mem AS (SELECT id, region FROM lookup WHERE region IS NOT NULL AND id IN (SELECT id FROM kn)),
+scp AS (SELECT 'national' AS scope, 'all' AS scenario UNION ALL SELECT 'local', '{SEEDS[0]}' UNION ALL SELECT 'regional', region::VARCHAR FROM (SELECT region FROM mem GROUP BY region HAVING count(*)>={MIN_REGION} ORDER BY count(*) DESC, region LIMIT 3)),
+ch AS (SELECT {LV_KEYS}, id, m, value*CASE WHEN m>={ONSET} AND coalesce(scope='national' OR (scope='regional' AND region::VARCHAR=scenario) OR (scope='local' AND {LV_U.format(id='id')}<0.25), false)
+  THEN CASE shape WHEN 'step' THEN 1+shift ELSE 1+shift*(m-{ONSET})/5.0::DOUBLE END ELSE 1 END AS value
+ FROM kn LEFT JOIN mem USING(id) CROSS JOIN scp CROSS JOIN (SELECT unnest([-0.2,0.2]::DOUBLE[]) AS shift) CROSS JOIN (SELECT unnest(['step','ramp']) AS shape)),
+{growth_sql('kn', last=LASTK)}, {growth_sql('ch', LV_KEYS, LASTK, 'cg')},
+le AS (SELECT region FROM gr JOIN lookup USING(id) WHERE region IS NOT NULL GROUP BY region HAVING count(DISTINCT id)>={MIN_REGION}),
+{levels_sql('gr', '', 'lb')}, {levels_sql('cg', LV_KEYS, 'lc')}, {scores_sql('lb', 'level, unit', 'bs')}, {scores_sql('lc', LV_KEYS + ', level, unit', 'ls')},
+lt AS (SELECT level, unit, method, greatest(max(score),{LN105}) AS threshold FROM bsm WHERE m BETWEEN {BT_CAL[0]} AND {BT_CAL[1]} GROUP BY ALL HAVING max(score) IS NOT NULL),
+qt AS (SELECT level, unit, method, max(coalesce(score>threshold,false)::INT) AS base FROM bsm JOIN lt USING(level,unit,method) WHERE m>={ONSET} GROUP BY ALL),
+fd AS (SELECT {LV_KEYS}, level, unit, method, max(a) AS found, min(CASE WHEN a=1 THEN m-{ONSET} END) AS delay FROM (SELECT lsm.*, coalesce(score>threshold,false)::INT AS a FROM lsm JOIN lt USING(level,unit,method) WHERE m>={ONSET}) GROUP BY ALL),
+jd AS (SELECT fd.*, base, coalesce(CASE level WHEN 'national' THEN scope='national' WHEN 'regional' THEN scope='national' OR (scope='regional' AND unit=scenario)
+  ELSE scope='national' OR (scope='local' AND {LV_U.format(id='unit')}<0.25) OR (scope='regional' AND region::VARCHAR=scenario) END, false) AS target
+ FROM fd JOIN qt USING(level,unit,method) LEFT JOIN (SELECT id::VARCHAR AS unit, region FROM mem) USING(unit))"""
+
+
+@query("level_stress", "scope:s scenario:s shift:d shape:s level:s method:s intended:b target_units:l control_units:l target_rate:d target_base_rate:d target_new_rate:d control_rate:d median_delay:d", f"""
+WITH {LEVEL_STRESS} SELECT {LV_KEYS}, level, method, scope=level AS intended, count(*) FILTER (WHERE target) AS target_units, count(*) FILTER (WHERE NOT target) AS control_units, avg(found) FILTER (WHERE target) AS target_rate,
+ avg(base) FILTER (WHERE target) AS target_base_rate, avg((found=1 AND base=0)::INT) FILTER (WHERE target) AS target_new_rate, avg(found) FILTER (WHERE NOT target) AS control_rate, median(delay) FILTER (WHERE target) AS median_delay FROM jd GROUP BY ALL""")
 def _(spark, sf):
     return backtest.level_stress(cohort_panel(spark, sf), tables.supplier_lookup(spark, sf), ONSET, BT_CAL, MIN_REGION, [-0.2, 0.2], ["step", "ramp"], 20261001)
 
