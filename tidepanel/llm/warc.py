@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.llm.common import scratch_path, store, table
+from tidepanel.session import delete_at_exit
 
 MAGIC, BREAK = "WARC/1.0\r\n", "\r\n\r\n"
 #: Records of a file that the writer allows, and digests of repeated payloads that are broadcast at most.
@@ -143,4 +144,5 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    delete_at_exit(spark, path)
     return read_archives(spark, path).select("page_id", F.col("payload_bytes").cast("long"), "payload_digest", "record_type", "refers_to")
