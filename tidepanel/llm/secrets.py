@@ -85,9 +85,12 @@ _HEX = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
 def _suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows in which a pattern or a sensitive word can be: all others have no span."""
     out = np.zeros(len(at) - 1, bool)
-    other = np.flatnonzero(~_HEX[data])
-    edges = np.unique(np.concatenate([other, other + 1, at]))  # runs of hex digits of a row, and single other bytes, lie between
-    out[np.searchsorted(at, edges[:-1][np.diff(edges) >= HEX_LEAST], side="right") - 1] = True
+    other = np.concatenate(([-1], np.flatnonzero(~_HEX[data]), [len(data)]))
+    for i in np.flatnonzero(np.diff(other) > HEX_LEAST):  # few: runs of hex digits, that may go from row to row
+        edges = [other[i] + 1, *at[(at > other[i] + 1) & (at < other[i + 1])], other[i + 1]]
+        for start, end in zip(edges, edges[1:]):
+            if end - start >= HEX_LEAST:
+                out[np.searchsorted(at, start, side="right") - 1] = True
     low = data.tobytes().lower()
     for word in SENSITIVE:
         key, i = word.encode(), low.find(word.encode())
