@@ -304,6 +304,35 @@ def test_disguised_words_are_restored_and_scored(spark, odd_docs, no_docs):
     assert toxicity.score(odd_docs, nothing).select("score").distinct().count() == 1
 
 
+def insults(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(900):
+        words = prose(1000 + i, 40).split()
+        if i % 4 == 0:
+            words.insert(r.randrange(40), r.choice(["moron", "idiot", "clown"]))
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+
+
+def scored(spark, trained, texts):
+    probe = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [x["score"] for x in toxicity.score(probe, trained).orderBy("doc_id").collect()]
+
+
+def test_runs_of_single_characters_are_cut_into_words(spark):
+    trained = insults(spark)
+    long_run = " ".join("theoldbridgeskeeptheirnames" * 40)
+    bad = ["t h e o l d i d i o t", "t h e  o l d  i d i o t  m o v e s", "the old i d 1 o t moves", "i d i o t ! m 0 r o n", "i\td\ti\to\tt", long_run + " " + " ".join("idiot") + " " + long_run]
+    good = ["t h e o l d b r i d g e s", long_run, "a b c 1 2 3", "1 0 1 0 7", "x " * 400]
+    assert min(scored(spark, trained, bad)) > 0.3 > max(scored(spark, trained, good))
+    n = toxicity.STRETCH
+    for at in range(n - 82, n + 6, 3):  # an insult that lies anywhere about the edge of a stretch
+        run = [(c, 1) for c in ("theold" * n)[:at] + "idiot" + "bridges" * 60]
+        assert "idiot" in toxicity.spaced_words(run, trained["model"])
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------------------
 
 def test_archives_round_trip_with_the_magic_in_payloads(spark):

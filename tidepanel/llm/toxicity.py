@@ -3,7 +3,8 @@
 A token that looks disguised (digits or signs between letters, a letter three or more times in a row, single letters set apart) is read
 as a lattice: each character gives the letters that it may stand for, a separator may vanish, a letter three times or more may stand for
 one or two. A Viterbi search takes the path of the largest probability under a letter trigram model, counted over the words of all documents,
-and the channel's costs. Restored words are scored by evidence learned from labelled documents.
+and the channel's costs. In a run of single letters and signs each gap may end a word; the words of all paths nearly as likely as the best count.
+Restored words are scored by evidence learned from labelled documents.
 """
 from __future__ import annotations
 
@@ -30,12 +31,20 @@ STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SEPARATORS = ".-_*~'`"
 #: Costs of the channel, as natural logarithms.
 SWAPPED, DROPPED, REPEATED = -1.0, -0.3, -0.2
+#: Cost of a word that goes on over a wider gap, or ends at a narrow one in a run that has wider gaps.
+UNLIKELY = -3.0
+#: Places of a lattice that are read at once, and of them those read again by the next stretch.
+STRETCH, OVERLAP = 256, 64
+#: How far below the best a path may be to go on, and for its words to count.
+BEAM, NEARLY = 12.0, 5.0
 
 # Letter classes of the language model: a-z are 1 to 26, any other letter is 27, the edge of a word 0.
 SIZE = 28
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
+_APART = (_CODE > 0) & (np.arange(256) < 128) | np.isin(np.arange(256), [ord(x) for x in (*STANDS_FOR, *SEPARATORS) if x.isascii()])
+_EDGES = SEPARATORS + "".join(x for x in STANDS_FOR if not x.isdigit())
 
 
 def _trigrams(batches):
@@ -104,6 +113,61 @@ def restore(token: str, model: np.ndarray) -> str:
     return max(((at + model[a, b, 0], word) for (a, b), (at, word) in paths.items()))[1]
 
 
+def _stretch(places: list[tuple[list[tuple[str, float]], float, float]], model: np.ndarray, last: bool) -> tuple[set[str], int]:
+    """Words of all paths that are nearly as likely as the best, and the place that the next stretch begins with."""
+    n = len(places)
+    until = np.full(n + 1, -np.inf)  # of the best path that ends a word before a place
+    until[0] = 0.0
+    open_: dict[tuple[int, int, int], tuple[float, str]] = {}
+    spans: list[tuple[int, int, str, float]] = []
+    for p in range(n + 1):
+        end = places[p][2] if p < n else 0.0
+        for (s, a, b), (total, word) in open_.items():
+            total += (model[a, b, 0] if word else 0.0) + end
+            spans.append((s, p, word, total - until[s]))
+            until[p] = max(until[p], total)
+        if p == n:
+            break
+        choices, on, _ = places[p]
+        new: dict[tuple[int, int, int], tuple[float, str]] = {}
+        for (s, a, b), (total, word), more in [*((*x, on) for x in open_.items()), ((p, 0, 0), (until[p], ""), 0.0)]:
+            for letters, cost in choices:
+                x, y, at = a, b, total + cost + more
+                for letter in letters:
+                    c = _code(letter)
+                    at += model[x, y, c]
+                    x, y = y, c
+                if (s, x, y) not in new or at > new[s, x, y][0]:
+                    new[s, x, y] = (at, word + letters)
+        new = {k: v for k, v in new.items() if len(v[1]) <= LONGEST}
+        least = max(at for at, _ in new.values()) - BEAM
+        open_ = {k: v for k, v in new.items() if v[0] >= least}
+    rest = np.full(n + 1, -np.inf)
+    rest[n] = 0.0
+    follows = {}
+    for s, p, _, own in sorted(spans, key=lambda x: -x[0]):
+        if own + rest[p] > rest[s]:
+            rest[s], follows[s] = own + rest[p], p
+    cut, p = n, 0
+    if not last:  # what lies beyond may still change the last part
+        cut = n - OVERLAP
+        while (p := follows[p]) <= n - OVERLAP:
+            cut = p
+    return {w for s, p, w, own in spans if w and s < cut and (last or p < n) and until[s] + own + rest[p] >= rest[0] - NEARLY}, cut
+
+
+def read_words(places: list[tuple[list[tuple[str, float]], float, float]], model: np.ndarray) -> set[str]:
+    """Words of a lattice in which a word may end before any place: (choices, cost if a word goes on from the place before, cost if it ends
+    there) of each place. Lattices of any length are read in overlapping stretches, each from an end of a word of the one before."""
+    out, first = set(), 0
+    while first < len(places):
+        last = first + STRETCH >= len(places)
+        found, n = _stretch(places[first:first + STRETCH], model, last)
+        out |= found
+        first += n
+    return out
+
+
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
 _PARTS = re.compile(r"[^\W\d_]+")
 _DISGUISED = re.compile(r"[^\W\d_][^\s]*[\d@$!|+(€][^\s]*[^\W\d_]|[\d@$!|+(€][^\W\d_]{2}|^(?:[^\W\d_][.\-_*~]){2,}[^\W\d_]$|([^\W\d_])\1\1")
@@ -129,21 +193,58 @@ def word_features(word: str) -> list[str]:
     return ["=" + word] + [word[:n] for n in (3, 4, 5, 6, 7) if len(word) > n]
 
 
-def _spaced(data: np.ndarray, at: np.ndarray) -> dict[int, list[str]]:
-    """By row, words of three and more single letters set apart by spaces, joined."""
+def _spaced(data: np.ndarray, at: np.ndarray) -> dict[int, list[list[tuple[str, int]]]]:
+    """By row, runs of three and more single letters and signs set apart by white space: each with the white space before it."""
     starts, ends, rows = words(data, at)
-    single = (ends - starts == 1) & (_CODE[data[starts]] > 0) if len(starts) else np.zeros(0, bool)
-    out: dict[int, list[str]] = {}
-    if single.any():
-        change = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
-        for a, z in zip(change[::2], change[1::2]):
-            for row in np.unique(rows[a:z]):
-                own = starts[a:z][rows[a:z] == row]
-                if 3 <= len(own) <= LONGEST:
-                    out.setdefault(int(row), []).append(data[own].tobytes().decode("ascii", "replace").lower())
+    out: dict[int, list[list[tuple[str, int]]]] = {}
+    if not len(starts):
+        return out
+    lead, size = data[starts], ends - starts
+    single = ((size == 1) & _APART[lead]) | ((lead >= 0xC0) & (size == np.where(lead >= 0xF0, 4, np.where(lead >= 0xE0, 3, 2))))
+    follows = single & np.concatenate(([False], single[:-1] & (rows[1:] == rows[:-1])))
+    for a in np.flatnonzero(single & ~follows & np.concatenate((follows[1:], [False]))):
+        run: list[tuple[str, int]] = []
+        for i in itertools.count(a):
+            more = i < len(starts) and (i == a or follows[i])
+            char = data[starts[i]:ends[i]].tobytes().decode("utf-8", "replace").lower() if more else ""
+            if len(char) == 1 and (char.isalpha() or char in STANDS_FOR or char in SEPARATORS):
+                run.append((char, int(starts[i] - ends[i - 1]) if run else 0))
+                continue
+            if sum(c not in SEPARATORS for c, _ in run) >= 3 and any(c.isalpha() for c, _ in run):
+                out.setdefault(int(rows[a]), []).append(run)
+            run = []
+            if not more:
+                break
     return out
 
 
+def spaced_words(run: list[tuple[str, int]], model: np.ndarray) -> set[str]:
+    """Words of a run of single characters, in which any gap may end a word, a wider one more likely; and what stands between wider gaps as
+    one word."""
+    gaps = [n for _, n in run[1:]]
+    least = min(gaps)
+    told = max(gaps) > least
+    places, pieces = [], [""]
+    for i, (char, gap) in enumerate(run):
+        if i > 3 and gap == least and all(x == (char, least) for x in run[i - 3:i]):
+            continue  # any number above two stands for one or two
+        if char in SEPARATORS:
+            choices = [("", DROPPED)]
+        elif char.isalpha():
+            choices = [(char, 0.0)]
+        else:
+            choices = [(x, SWAPPED) for x in STANDS_FOR[char]] + ([] if char.isdigit() else [("", 2 * SWAPPED)])
+        if i > 1 and run[i - 1][0] == run[i - 2][0] == char and char not in SEPARATORS:
+            choices.append(("", REPEATED))
+        places.append((choices, UNLIKELY if gap > least else 0.0, UNLIKELY if told and gap == least else 0.0))
+        if gap > least:
+            pieces.append("")
+        if len(pieces[-1]) <= LONGEST:  # longer ones are not read as one word
+            pieces[-1] += char
+    whole = (x.strip(_EDGES) for x in pieces)
+    return read_words(places, model) | {restore(x, model) for x in whole if 3 <= len(x) <= LONGEST}
+
+
 class Evidence(dict):
     """Token -> evidence of the best feature of its words; remembered."""
 
@@ -157,18 +258,22 @@ class Evidence(dict):
         self[token] = out = max((get(f, 0.0) for w in clean_words(token, self.model) for f in word_features(w)), default=0.0)
         return out
 
+    def of_word(self, word: str) -> float:
+        return max(self.weights.get(f, 0.0) for f in word_features(word))
+
 
-def _texts(batches):
+def _texts(batches, model):
     for batch in batches:
         for rows, data, at in slices(batch):
             spaced = _spaced(data, at)
             texts = column(rows, "text")
-            yield rows, [(set((texts[i].as_py() or "").lower().split()), spaced.get(i, [])) for i in range(rows.num_rows)]
+            yield rows, [(set((texts[i].as_py() or "").lower().split()), {w for run in spaced.get(i, []) for w in spaced_words(run, model)})
+                         for i in range(rows.num_rows)]
 
 
-def _summed(evidence: Evidence, tokens: set[str], joined: list[str]) -> tuple[float, float]:
+def _summed(evidence: Evidence, tokens: set[str], joined: set[str]) -> tuple[float, float]:
     found = [e for e in map(evidence.__getitem__, tokens) if e]
-    found += [e for e in (evidence[w] for w in joined) if e]
+    found += [e for e in (evidence.of_word(w) for w in joined) if e]
     return max(found, default=0.0), min(sum(found), 60.0)
 
 
@@ -176,9 +281,9 @@ def _feature_counts(model):
     def run(batches):
         own = model.value
         seen: dict[tuple[str, int], int] = {}
-        for rows, texts in _texts(batches):
+        for rows, texts in _texts(batches, own):
             for y, (tokens, joined) in zip(rows.column(0).to_pylist(), texts):
-                clean = {w for t in tokens for w in clean_words(t, own)} | set(joined)
+                clean = {w for t in tokens for w in clean_words(t, own)} | joined
                 for f in {f for w in clean for f in word_features(w)}:
                     seen[f, y] = seen.get((f, y), 0) + 1
             if len(seen) > 500_000:
@@ -193,7 +298,7 @@ def _feature_counts(model):
 def _evidence_rows(weights, model):
     def run(batches):
         evidence = Evidence(weights.value, model.value)
-        for rows, texts in _texts(batches):
+        for rows, texts in _texts(batches, evidence.model):
             found = np.array([_summed(evidence, *x) for x in texts]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["y", "best", "total"])
 
@@ -252,7 +357,7 @@ def score(docs: DataFrame, trained: dict) -> DataFrame:
     def run(batches):
         own = held.value
         evidence = Evidence(own["weights"], own["model"])
-        for rows, texts in _texts(batches):
+        for rows, texts in _texts(batches, evidence.model):
             found = np.array([_summed(evidence, *x) for x in texts]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-_inputs(found[:, 0], found[:, 1]) @ own["fit"]))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(p)], ["doc_id", "score"])
