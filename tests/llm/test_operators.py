@@ -333,6 +333,20 @@ def test_runs_of_single_characters_are_cut_into_words(spark):
         assert "idiot" in toxicity.spaced_words(run, trained["model"])
 
 
+def test_plain_disguises_reach_the_decoder(spark):
+    trained = insults(spark)
+    model = trained["model"]
+    for token in ("idi07", "idio7", "id.iot", "id-iot", "i-d-iot", "i'd'i'o't", "i`d`i`o`t", "i_d10t", "!d!ot", "(idi07)", "the-old-idi0t", "the.old.i.d.i.o.t", "-".join(["bridges"] * 9 + ["id10t"] + ["names"] * 9)):
+        assert "idiot" in toxicity.clean_words(token, model), token
+    known = toxicity.letter_model(spark.createDataFrame([("they kill the ass " * 50,)], "text string"))
+    assert "kill" in toxicity.clean_words("ki11", known) and "ass" in toxicity.clean_words("a55", known) and "moron" in toxicity.clean_words("m00ron", model)
+    assert {"the", "old"} <= toxicity.clean_words("the-old", model) and "bridges" in toxicity.clean_words("bridges!", model)
+    assert toxicity.clean_words("1234", model) == toxicity.clean_words("...", model) == set()
+    bad = [f"the old {x} moves" for x in ("idi07", "id-iot", "i'd'i'o't", "m0r0n5", "the/old/bridges/keep/their/names/under/the/c10wn")]
+    good = ["the old bridges keep", "the-old bridges; keep!", "their (names) don't"]
+    assert min(scored(spark, trained, bad)) > 0.3 > max(scored(spark, trained, good))
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------------------
 
 def test_archives_round_trip_with_the_magic_in_payloads(spark):

@@ -1,6 +1,6 @@
 """Toxicity by a noisy channel: disguised words are restored first, then the text is scored.
 
-A token that looks disguised (digits or signs between letters, a letter three or more times in a row, single letters set apart) is read
+A token that may be disguised (letters with digits, signs or separators, a letter three or more times in a row, single letters set apart) is read
 as a lattice: each character gives the letters that it may stand for, a separator may vanish, a letter three times or more may stand for
 one or two. A Viterbi search takes the path of the largest probability under a letter trigram model, counted over the words of all documents,
 and the channel's costs. In a run of single letters and signs each gap may end a word; the words of all paths nearly as likely as the best count.
@@ -45,6 +45,8 @@ _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 _APART = (_CODE > 0) & (np.arange(256) < 128) | np.isin(np.arange(256), [ord(x) for x in (*STANDS_FOR, *SEPARATORS) if x.isascii()])
 _EDGES = SEPARATORS + "".join(x for x in STANDS_FOR if not x.isdigit())
+_OUTER_SEPARATORS = SEPARATORS + ",;:?\")]}[{<>/\\=&#%^"
+_OUTER = _EDGES + _OUTER_SEPARATORS
 
 
 def _trigrams(batches):
@@ -79,8 +81,9 @@ def _code(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 27
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters the strings it may stand for, with their costs; costs below those of others are left out."""
+def _lattice(token: str, exact: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of equal characters the strings it may stand for, with their costs; costs below those of others are left out. Two equal
+    signs are two letters if ``exact``, one or two otherwise."""
     out = []
     for char, run in itertools.groupby(token):
         n = len(list(run))
@@ -88,6 +91,8 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
             out.append([("", DROPPED)])
         elif char.isalpha():
             out.append([(char * n, 0.0)] if n < 3 else [(char, REPEATED), (char * 2, REPEATED)])
+        elif char in STANDS_FOR and exact and n == 2:
+            out.append([(x + y, SWAPPED * 2) for x in STANDS_FOR[char] for y in STANDS_FOR[char]])
         elif char in STANDS_FOR:
             out.append([(x * k, SWAPPED * k + (REPEATED if k < n else 0.0)) for x in STANDS_FOR[char] for k in range(1, min(n, 2) + 1)])
         else:
@@ -95,10 +100,10 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: np.ndarray) -> str:
+def restore(token: str, model: np.ndarray, exact: bool = False) -> str:
     """The likeliest word behind a disguised token: Viterbi over the lattice with the last two letters as state."""
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for choices in _lattice(token):
+    for choices in _lattice(token, exact):
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (total, word) in paths.items():
             for letters, cost in choices:
@@ -168,26 +173,59 @@ def read_words(places: list[tuple[list[tuple[str, float]], float, float]], model
     return out
 
 
-_CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
 _PARTS = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"[^\W\d_][^\s]*[\d@$!|+(€][^\s]*[^\W\d_]|[\d@$!|+(€][^\W\d_]{2}|^(?:[^\W\d_][.\-_*~]){2,}[^\W\d_]$|([^\W\d_])\1\1")
-#: A longer token is no disguised word.
+_PIECES = re.compile(r"[^\W_@$!|+(€]*(?:[@$!|+(€]+[^\W_@$!|+(€]*)*")
+_SIGNS = "".join(x for x in STANDS_FOR if not x.isdigit())
+_THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE = re.compile(r"([\d@$!|+(€])\1")
+_MIXED = re.compile(f"[{re.escape(''.join(STANDS_FOR) + SEPARATORS)}]")
+#: A longer stretch of characters is no single word.
 LONGEST = 40
 
 
 def clean_words(token: str, model: np.ndarray) -> set[str]:
-    """Words that a lower-case token stands for: its letters' runs, or the word restored if it looks disguised."""
-    if token.isalpha() and not _DISGUISED.search(token):
+    """Words that a lower-case token stands for: its letters' runs; and if letters are mixed with signs, digits or separators or stand three
+    times in a row, the words restored of the whole token, of its pieces between separators, and of what a trigram model cuts it into."""
+    if token.isalpha() and not _THRICE.search(token):
         return {token}
-    found = _CORE.search(token)
-    core = found[0] if found else ""
-    parts = set(_PARTS.findall(core))
-    for text in {core, token.strip(".,;:?")}:
-        if 3 <= len(text) <= LONGEST and _DISGUISED.search(text):
-            parts.add(restore(text, model))
+    parts = set(_PARTS.findall(token))
+    if not parts or not (_MIXED.search(token) or _THRICE.search(token)):
+        return parts
+    whole = token.strip(_OUTER)
+    if whole in parts and not _THRICE.search(whole):  # nothing but signs at its edges
+        core = token.strip(_OUTER_SEPARATORS)
+        return parts | ({restore(core, model), restore(core, model, True)} if 3 <= len(core) <= LONGEST and core != whole else set())
+    texts = {whole, token.strip(_OUTER_SEPARATORS)}
+    texts |= {y for x in texts for x in _PIECES.findall(x) for y in (x, x.strip(_SIGNS))}
+    texts = {x for x in texts if 3 <= len(x) <= LONGEST and not x.isdigit() and (x not in parts or _THRICE.search(x))}
+    parts |= {restore(x, model) for x in texts} | {restore(x, model, True) for x in texts if _TWICE.search(x)}
+    if len(whole) > LONGEST or sum(not x.isalnum() for x in whole) > 2:
+        parts |= read_words(_token_places(whole), model)
+    parts.discard("")
     return parts
 
 
+def _token_places(token: str) -> list[tuple[list[tuple[str, float]], float, float]]:
+    """The lattice of a token in which words end at separators and other signs, less likely elsewhere."""
+    places, apart = [], False
+    for i, char in enumerate(token):
+        if i > 2 and char == token[i - 1] == token[i - 2] == token[i - 3]:
+            continue  # any number above two stands for one or two
+        if char in SEPARATORS:
+            choices = [("", DROPPED)]
+        elif char.isalpha():
+            choices = [(char, 0.0)]
+        elif char in STANDS_FOR:
+            choices = [(x, SWAPPED) for x in STANDS_FOR[char]] + ([] if char.isdigit() else [("", 2 * SWAPPED)])
+        else:
+            choices = [("", 2 * SWAPPED)]
+        if i > 1 and char == token[i - 1] == token[i - 2] and char not in SEPARATORS:
+            choices.append(("", REPEATED))
+        places.append((choices, 0.0, 0.0 if apart else UNLIKELY))
+        apart = not char.isalnum()
+    return places
+
+
 def word_features(word: str) -> list[str]:
     """The word and its beginnings."""
     return ["=" + word] + [word[:n] for n in (3, 4, 5, 6, 7) if len(word) > n]
