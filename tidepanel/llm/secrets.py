@@ -27,10 +27,11 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make their surroundings sensitive.
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "private", "auth", "bearer", "akia")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.ASCII | re.IGNORECASE)
-#: A candidate: 16 and more of these characters, with a digit and a letter among its first 256.
-_CANDIDATE = re.compile(r"(?=[A-Za-z+/_=-]{0,255}[0-9])(?=[0-9+/_=-]{0,255}[A-Za-z])[A-Za-z0-9+/_=-]{16,}")
-#: Code points after a sensitive word in which a candidate may begin, and around a candidate that count as its surroundings.
-REACH, AROUND = 64, 256
+#: A candidate: 16 and more of these characters.
+LEAST = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Code points around a candidate that count as its surroundings.
+AROUND = 256
 #: Bytes that each character of a reported candidate must cost.
 NOVEL_AT = 0.45
 IDENTIFIERS = b"""import from return def class self const let var function public private static void int string bool true false null None
@@ -48,29 +49,70 @@ def _cost(text: bytes) -> int:
     return len(_compressor.compress(text))
 
 
+def _without_copies(text: str, start: int, end: int, a: int, z: int) -> str:
+    """text[a:z], on one side of the span, less other copies of it, whole or cut by the edge; it is no copy if a word goes on at either end
+    with another character than at the span's."""
+    part, n = text[start:end], end - start
+    first, last = (max(0, a - n + 1), start) if a < start else (end, min(len(text), z + n - 1))
+    goes_on = lambda x, own: x != own and (x.isalnum() or x == "_")
+    side = lambda i: text[i - 1:i] if i else ""
+    out, i = [], text.find(part, first, last)
+    while i >= 0:
+        copy = not goes_on(side(i), side(start)) and not goes_on(text[i + n:i + n + 1], text[end:end + 1])
+        if copy:
+            out.append(text[a:max(a, i)])
+            a = min(z, i + n)
+        i = text.find(part, i + (n if copy else 1), last)
+    return "".join([*out, text[a:z]])
+
+
 def novelty(text: str, start: int, end: int) -> float:
-    """Bytes a character that the span adds to its compressed surroundings."""
-    before, after = text[max(0, start - AROUND):start].encode("utf-8", "replace"), text[end:end + AROUND].encode("utf-8", "replace")
+    """Bytes a character that the span adds to its compressed surroundings, from which other copies of it are taken out."""
+    before = _without_copies(text, start, end, max(0, start - AROUND), start).encode("utf-8", "replace")
+    after = _without_copies(text, start, end, end, min(len(text), end + AROUND)).encode("utf-8", "replace")
     own = text[start:end].encode("utf-8", "replace")
     return (_cost(before + after + b" " + own) - _cost(before + after)) / max(1, len(own))
 
 
+def _candidates(text: str) -> list[tuple[tuple[int, int] | None, list[tuple[int, int]]]]:
+    """Candidates with a sensitive word in their surroundings, across line ends, each with the parts that sensitive words inside leave of it.
+
+    Lines that consist of a candidate each and follow one of these, or go before it, belong to it: a block of any length is taken whole.
+    """
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    if not runs:
+        return []
+    named = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [s for s, _ in named], [e for _, e in named]
+    near, inside = [], []
+    for start, end in runs:
+        i, j = bisect.bisect_left(starts, start - AROUND), bisect.bisect_left(starts, end)
+        near.append(i < len(named) and ends[i] <= start or j < len(named) and ends[j] <= end + AROUND)
+        own = named[bisect.bisect_left(starts, start):j]
+        edges = [start, *(x for span in own for x in span), end]
+        inside.append([(a, z) for a, z in zip(edges[::2], edges[1::2]) if z - a >= LEAST] if own else [])
+    joined = [("\n" in (gap := text[e:s]) and not gap.strip()) for (_, e), (s, _) in itertools.pairwise(runs)]
+    for i, x in enumerate(joined):
+        near[i + 1] |= x and near[i]
+    for i, x in reversed([*enumerate(joined)]):
+        near[i] |= x and near[i + 1]
+    return [(run if ok else None, parts) for run, ok, parts in zip(runs, near, inside) if ok or parts]
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points: every base match, and novel strings outside them, by start and then in the order of KINDS."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)] + [("hex", *m.span()) for m in HEX.finditer(text)]
     taken = sorted((s, e) for _, s, e in found)
     reach = list(itertools.accumulate((e for _, e in taken), max))  # the farthest end so far
-    novel: set[tuple[int, int]] = set()
-    for word in _SENSITIVE.finditer(text):
-        last = word.end() + len(text[word.end():word.end() + REACH].split("\n")[0])  # not beyond the line
-        at = _CANDIDATE.search(text, word.end(), last + 300)
-        while at and at.start() < last:
-            span = _CANDIDATE.match(text, at.start()).span()
-            i = bisect.bisect_left(taken, (span[1],))
-            if span not in novel and not (i and reach[i - 1] > span[0]) and novelty(text, *span) >= NOVEL_AT:
-                novel.add(span)
-            at = _CANDIDATE.search(text, span[1], last + 300)
+    novel: list[tuple[int, int]] = []
+
+    def is_novel(span: tuple[int, int]) -> bool:
+        i = bisect.bisect_left(taken, (span[1],))
+        return not (i and reach[i - 1] > span[0]) and novelty(text, *span) >= NOVEL_AT
+
+    for whole, parts in _candidates(text):
+        novel += [whole] if whole and is_novel(whole) else filter(is_novel, parts)
     found += [("novel", *x) for x in novel]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
