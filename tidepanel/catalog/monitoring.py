@@ -404,7 +404,7 @@ rr AS (SELECT {SCN_SQL}, count(*) FILTER (WHERE treated) AS treated_n, count(*)
  avg((c AND NOT b)::INT) FILTER (WHERE treated) AS new_rate, avg(c::INT) FILTER (WHERE treated AND NOT b) AS new_rate_quiet, avg((b AND NOT c)::INT) FILTER (WHERE treated) AS suppressed_rate, avg(c::INT) FILTER (WHERE NOT treated) AS control_rate,
  avg(b::INT) FILTER (WHERE NOT treated) AS control_base_rate, avg(c1::INT) FILTER (WHERE treated) AS by_first, avg(c3::INT) FILTER (WHERE treated) AS by_third, median(f) FILTER (WHERE treated) AS median_delay FROM ru GROUP BY ALL)"""
 RATE_COLS = " treated_n:l control_n:l treated_rate:d treated_base_rate:d new_rate:d new_rate_quiet:d suppressed_rate:d control_rate:d control_base_rate:d by_first:d by_third:d median_delay:d"
-SCOPE = dict(seeds=(20261001,), shifts=(-0.2, 0.2), shapes=("step",), fractions=(0.1, 0.25, 0.5, 1.0))
+SCOPE = dict(shifts=(-0.2, 0.2), shapes=("step",), fractions=(0.1, 0.25, 0.5, 0.75, 1.0))
 
 
 @query("scope_stress", SCN + RATE_COLS, f"WITH {bt_sql(**SCOPE)}, {RATES} SELECT * FROM rr")
