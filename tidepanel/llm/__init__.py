@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "quality", "secrets", "packing", "ngram_join", "line_dedup", "decontaminate", "warc", "langid", "toxicity", "mixing", "whitening")
+MODULES = ("sharding", "quality", "secrets", "packing", "ngram_join", "line_dedup", "decontaminate", "warc", "langid", "toxicity", "repair", "mixing", "whitening")
 
 
 def load() -> tuple[dict, dict]:
