@@ -5,9 +5,9 @@ source meet its target. The dual of that problem is convex with one multiplier 
 ``rate / (most - rate) = exp(λ size / mean size) / (most - 1)``. Newton steps on the dual, all sources in one job, find the multipliers.
 
 Documents of equal size in a source have equal rates, so the steps read a table of (source, size, count). The tilt of a step is summed in
-whole numbers, which makes reruns agree on any cluster. Rates then become copies: every document takes the whole part, and a fold along the sizes
-of a source, largest first, gives further copies to as many documents of each size as the words still owed ask for. What one size leaves over
-the smaller ones make up, so a source misses its target by about half of a small document.
+whole numbers, which makes reruns agree on any cluster. Rates then become copies by a fold along the sizes of a source, largest first: the
+documents of a size take as many copies, up to ``most`` each, as their rates and the words still owed ask for. What the rounding of one size
+leaves over the smaller ones make up, so a source misses its target by about half of a small document.
 """
 from __future__ import annotations
 
@@ -91,16 +91,16 @@ def _multipliers(cells: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return state.select("place", "lam")
 
 
-def _fold(cells: pd.DataFrame) -> pd.DataFrame:
-    """Copies of one source; its rows are sizes, not documents."""
+def _fold(cells: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Copies of each document of a size, and how many of them take one more; rows are the sizes of one source, not its documents."""
     cells = cells.sort_values("size", ascending=False)
-    whole = np.floor(cells["rate"].to_numpy())
-    owed, more = 0.0, []
-    for size, k, part in zip(cells["size"].tolist(), cells["k"].tolist(), (cells["rate"].to_numpy() - whole).tolist()):
-        owed += k * size * part
-        more.append(0 if not size or not part else min(k, max(0, round(owed / size))))
-        owed -= more[-1] * size
-    return cells.assign(copies=whole.astype(np.int64), more=more)[["place", "source", "size", "source_size", "target", "rate", "copies", "more"]]
+    owed, taken = 0.0, []
+    for size, k, rate in zip(cells["size"].tolist(), cells["k"].tolist(), cells["rate"].tolist()):
+        owed += k * size * rate
+        taken.append(min(most * k, max(0, round(owed / size))) if size else k)
+        owed -= taken[-1] * size
+    taken = np.array(taken, np.int64)
+    return cells.assign(copies=taken // cells["k"], more=taken % cells["k"])[["place", "source", "size", "source_size", "target", "rate", "copies", "more"]]
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, key: str =
         hist["source"].alias("source"), "place", "size", "k", "source_size", "target", "full",
         F.greatest(F.lit(1e-300), F.col("source_size") / F.col("docs")).alias("mean")), "cells")
     rated = cells.join(_multipliers(cells, sources, most), "place").withColumn("rate", _rate(most))
-    rated = store(rated.groupBy("place").applyInPandas(_fold, "place long, source string, size long, source_size long, target double, rate double, copies long, more long"), "rates")
+    rated = store(rated.groupBy("place").applyInPandas(lambda cells: _fold(cells, most), "place long, source string, size long, source_size long, target double, rate double, copies long, more long"), "rates")
     dealt = F.xxhash64("key")
     groups = groups.withColumns({"hash": dealt, "part": F.pmod(dealt, F.lit(_PARTS)).cast("int")})
     parts = groups.groupBy("source", "size", "part").agg(F.sum("m").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(
