@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.operators.boosting import Boost
 from tidepanel.operators import backtest, detectors, forecast, joins, learned, prep, profiles, selection, signals, trend
 from tidepanel.plans.forecast_panel import forecast_panel
 from tidepanel.schema import ForecastConfig
@@ -56,7 +57,7 @@ def test_causal(panels, name):
 
 def test_learned_models_do_not_see_the_future(panels):
     before, after, regions = panels
-    run = lambda p: sorted((r["id"], r["horizon"], round(r["predicted"], 9)) for r in learned.fit_recursive_growth(p, CUT, 2, iterations=3).collect())
+    run = lambda p: sorted((r["id"], r["horizon"], round(r["predicted"], 9)) for r in learned.fit_recursive_growth(p, [CUT], 2, settings=Boost(3, least=20)).collect())
     assert run(before) == run(after)
     few = learned.fit_direct_horizon(before, regions, FIRST, [FIRST + 12], [11])
     assert {r["status"] for r in few.select("status").distinct().collect()} == {"seasonal_fallback"}

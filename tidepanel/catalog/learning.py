@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog.common import base_forecasts
 from tidepanel.catalog.forecasts import NEAR, inputs, nearest
-from tidepanel.catalog.kit import FIRST, YEAR, query
+from tidepanel.catalog.kit import FIRST, HORIZONS, YEAR, query
 from tidepanel.catalog.preparation import QUART
-from tidepanel.operators import accuracy, learned, profiles
+from tidepanel.operators import accuracy, boosting, learned, profiles
 from tidepanel.session import cut_lineage
 from tidepanel.sources import tables
 from tidepanel.streaming import ops
@@ -45,31 +45,82 @@ def _(spark, sf):
     return learned.context_features(*inputs(spark, sf), ORIGIN)
 
 
-@query("fit_direct_horizon", FIT + " status:s")
+#: Every month from the end of the profile year on.
+ORIGINS = list(range(FIRST + 11, ORIGIN + 1))
+#: Settings of the recursive growth model; direct models and corrections use the defaults of ``Boost``.
+RECURSIVE = boosting.Boost(rounds=250, leaves=31)
+CATEGORIES = ["A", "N", "R"]
+
+
+def _direct_rows(spark, sf, horizons=HORIZONS):
+    return learned.direct_rows(*inputs(spark, sf), FIRST, ORIGINS, horizons, True, None, 5, tables.supplier_category_panel(spark, sf), CATEGORIES)
+
+
+@query("fit_direct_horizon", FIT + " status:s variant:s")
+def _(spark, sf):
+    lags = learned.fit_direct_horizon(*inputs(spark, sf), FIRST, ORIGINS, list(HORIZONS)).withColumn("variant", F.lit("lags"))
+    context = learned.fit_direct_horizon(*inputs(spark, sf), FIRST, ORIGINS, list(HORIZONS), True, category_panel=tables.supplier_category_panel(spark, sf), categories=CATEGORIES)
+    return lags.unionByName(context.withColumn("variant", F.lit("context")))
+
+
+DR = f"""dr AS (SELECT gf.id, gf.m AS source, horizon, gf.m+horizon AS target, gf.growth, gf.growth_lag, ln(t.value)-gf.log_level AS y FROM gf JOIN ct USING(id) CROSS JOIN hs
+ JOIN panel t ON t.id=gf.id AND t.m=gf.m+horizon AND t.value>0 WHERE gf.m>={FIRST+2} AND gf.m<=least(complete_through,{ORIGIN}) AND t.m<={ORIGIN}),
+og AS (SELECT unnest(range({FIRST+11},{ORIGIN+1})) AS origin), tr AS (SELECT dr.*, origin FROM dr JOIN og ON origin>=target)"""
+
+
+@query("fit_audit", "origin:l horizon:l rows:l ids:l max_target:l status:s", f"""
+WITH {GF}, {DR} SELECT origin, horizon, count(*) AS rows, count(DISTINCT id) AS ids, max(target) AS max_target, CASE WHEN count(*)>=200 THEN 'trained' ELSE 'seasonal_fallback' END AS status FROM tr GROUP BY ALL""")
+def _(spark, sf):
+    return learned.fit_audit(_direct_rows(spark, sf), ORIGINS)
+
+
+#: A stump for every model: growth and its lag in tenths (missing above a half), labels in thousandths, so both sides hold whole numbers.
+#: Cut 99 parts all observed values from the missing ones.
+STUMP = boosting.Boost(rounds=1, leaves=2)
+
+
+@query("first_split", "origin:l horizon:l rows:l feature:l cut:l missing_left:b below:d above:d", f"""
+WITH {GF}, {DR}, q AS (SELECT origin, horizon, round(1000*y) AS y, unnest([0,1]) AS feature, unnest([CASE WHEN abs(growth)<=0.5 THEN round(10*growth) END, CASE WHEN abs(growth_lag)<=0.5 THEN round(10*growth_lag) END]) AS v FROM tr),
+n0 AS (SELECT origin, horizon, count(*)//2 AS n, round(1048576*(sum(y)/count(*))) AS start FROM q GROUP BY ALL), g AS (SELECT q.origin, q.horizon, n, feature, v, sum(start-1048576*y)::DOUBLE AS g, count(*) AS h FROM q JOIN n0 USING(origin,horizon) GROUP BY ALL),
+c AS (SELECT *, sum(g) OVER w AS cg, sum(h) OVER w AS ch FROM g WHERE v IS NOT NULL WINDOW w AS (PARTITION BY origin, horizon, feature ORDER BY v)),
+t AS (SELECT origin, horizon, feature, sum(g) AS tg, sum(h) AS th, coalesce(sum(g) FILTER (WHERE v IS NULL),0) AS mg, coalesce(sum(h) FILTER (WHERE v IS NULL),0) AS mh, max(v) AS top FROM g GROUP BY ALL),
+s AS (SELECT c.origin, c.horizon, n, feature, v AS cut, top, side, tg, th, mh, cg+side*mg AS lg, ch+side*mh AS lh FROM c JOIN t USING(origin,horizon,feature) CROSS JOIN (SELECT unnest([0,1]) AS side) WHERE side=0 OR mh>0),
+k AS (SELECT *, lg*lg/(lh+2)+(tg-lg)*(tg-lg)/(th-lh+2) AS gain FROM s WHERE lh>=60 AND th-lh>=60),
+b AS (SELECT *, row_number() OVER (PARTITION BY origin, horizon ORDER BY gain DESC, feature, cut, side) AS r FROM k)
+SELECT origin, horizon, n AS rows, feature, CASE WHEN cut<top THEN cut ELSE 99 END AS cut, CASE WHEN mh>0 THEN side=1 ELSE lh>th-lh END AS missing_left, -0.05::DOUBLE*lg/(lh+2)/1048576 AS below, -0.05::DOUBLE*(tg-lg)/(th-lh+2)/1048576 AS above FROM b WHERE r=1 AND n>=200""")
 def _(spark, sf):
-    return learned.fit_direct_horizon(*inputs(spark, sf), FIRST, [ORIGIN], [1, 6], context=True, iterations=10)
+    rows = learned._per_origin(_direct_rows(spark, sf), ORIGINS)
+    tenth = lambda i: F.when(F.abs(F.get("x", F.lit(i))) <= 0.5, F.round(10 * F.get("x", F.lit(i))))
+    models = boosting.fit(rows.select("origin", "horizon", F.array(tenth(1), tenth(2)).alias("x"), F.round(1000 * F.col("y")).alias("y")), ["origin", "horizon"], STUMP)
+    at = lambda c, i: F.get(c, F.lit(i))
+    values = F.array(*[F.lit(v) for v in range(-5, 6)])
+    split = models.filter((F.col("rows") >= 200) & (at("feature", 0) >= 0))
+    keys = F.array(*[F.lit(int(k)) for k in boosting.order_key(range(-5, 6))])
+    return split.select("origin", "horizon", "rows", at("feature", 0).alias("feature"), F.coalesce(F.get(values, (F.array_position(keys, at("key", 0)) - 1).cast("int")), F.lit(99)).alias("cut"),
+                        at("missing_left", 0).alias("missing_left"), at("value", 1).alias("below"), at("value", 2).alias("above"))
 
 
 @query("fit_spatial", FIT + " status:s variant:s")
 def _(spark, sf):
-    return learned.fit_spatial(*inputs(spark, sf), nearest(spark, sf), FIRST, [ORIGIN], iterations=10)
+    return learned.fit_spatial(*inputs(spark, sf), nearest(spark, sf), FIRST, ORIGINS)
 
 
 @query("fit_recursive_growth", FIT)
 def _(spark, sf):
-    return learned.fit_recursive_growth(tables.supplier_panel(spark, sf), ORIGIN, 6, iterations=10)
+    return learned.fit_recursive_growth(tables.supplier_panel(spark, sf), ORIGINS, 12, settings=RECURSIVE)
 
 
 @query("fit_deseasonal_growth", FIT)
 def _(spark, sf):
     panel = tables.supplier_panel(spark, sf)
-    return learned.fit_recursive_growth(panel, ORIGIN, 6, profiles.profile_global(panel, YEAR), iterations=10)
+    return learned.fit_recursive_growth(panel, ORIGINS, 12, profiles.profile_global(panel, YEAR), RECURSIVE)
 
 
 def _residual(kind):
     @query(f"fit_residual_{kind}", FIT + " base:d actual:d")
     def _(spark, sf):
-        return learned.fit_residual_correction(base_forecasts(spark, sf, ["seasonal_mix"], [1]), tables.supplier_panel(spark, sf), 12 * 1999 + 11, kind, iterations=10)
+        extra = learned.category_growth(tables.supplier_category_panel(spark, sf), CATEGORIES)
+        return learned.fit_residual_correction(base_forecasts(spark, sf, ["seasonal_mix"]), tables.supplier_panel(spark, sf), 12 * 1999 + 11, kind, extra=extra)
 
 
 _residual("ridge")

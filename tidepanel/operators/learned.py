@@ -1,18 +1,21 @@
-"""Pooled regressions of log growth with MLlib trees. Only months up to the fit origin are ever read.
+"""Pooled regressions of log growth by histogram boosting, every origin and horizon in one job.
 
-MLlib's boosted trees have no leaf regularisation of the histogram kind and no native missing values:
-missing optional features get an indicator column. Results are comparable in kind, not in digits.
+Features of a month read nothing after it, so one table of them serves all origins; a model's rows are those whose target is known at its
+origin. Missing optional features stay missing.
 """
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.functions import months, scalars
-from tidepanel.operators import joins, prep, profiles
+from tidepanel.operators import boosting, joins, prep, profiles
+from tidepanel.operators.boosting import Boost
 from tidepanel.operators.quantiles import grouped_median
 from tidepanel.session import cut_lineage
 
@@ -54,61 +57,82 @@ def context_features(panel: DataFrame, regions: DataFrame, until: int) -> DataFr
     return g.join(overall, "m").join(regional, ["region", "m"], "left").select("id", "m", "global_growth", F.coalesce("regional_growth", "global_growth").alias("regional_growth"))
 
 
-def _phases(df: DataFrame, source: str, horizon: int) -> DataFrame:
-    for prefix, month in (("origin", F.col(source)), ("target", F.col(source) + horizon)):
-        for name, c in scalars.season_phase(months.month_of_year(month), prefix).items():
-            df = df.withColumn(name, c)
-    return df
+def category_growth(category_panel: DataFrame, categories: list[str]) -> DataFrame:
+    """(id, m, g_<category>…): log growth of each category over the last month, NULL unless both months are positive."""
+    s = prep.series(category_panel.filter(F.col("category").isin(categories)), ["id", "category"])
+    rows = s.select("id", "category", "start", "vals", F.explode(F.sequence("start", "stop")).alias("m"))
+    value = lambda k: scalars.positive_or_null(prep.at(F.col("m") - k))
+    g = rows.withColumn("g", F.log(value(0) / value(1)))
+    return g.groupBy("id", "m").agg(*[F.max(F.when(F.col("category") == c, F.col("g"))).alias(f"g_{c}") for c in categories])
 
 
-def _indicate(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
-    """Missing optional features become 0 beside an indicator."""
-    for c in columns:
-        df = df.withColumn(f"{c}_missing", F.col(c).isNull().cast("double")).withColumn(c, F.coalesce(c, F.lit(0.0)))
-    return df, [*columns, *[f"{c}_missing" for c in columns]]
+def _phase(m: Column, prefix: str) -> list[Column]:
+    return list(scalars.season_phase(months.month_of_year(m), prefix).values())
 
 
-def _fit(training: DataFrame, features: list[str], label: str, iterations: int, seed: int):
-    """Trained model and its assembler; the training table is written once because boosting rereads it."""
-    rows = cut_lineage(training.select(*features, label), "training")
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
-    model = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="raw", maxIter=iterations, maxDepth=4, stepSize=0.1, minInstancesPerNode=20, seed=seed).fit(assembler.transform(rows))
-    return lambda df: model.transform(assembler.transform(df)).drop("features", "rawPrediction")
+def direct_rows(panel: DataFrame, regions: DataFrame, first: int, origins: list[int], horizons: list[int], context: bool = False, neighbors: DataFrame | None = None, k: int = 5,
+                category_panel: DataFrame | None = None, categories: list[str] | None = None) -> DataFrame:
+    """(id, source, horizon, log_source, x, y): features of every month up to the last origin, y NULL where a row cannot be trained on.
+
+    y is the log growth to source + horizon. It needs an unbroken history first…source and an observed target; gaps between them do not
+    matter. Whether a target is known at an origin is for the caller to ask.
+    """
+    last = max(origins)
+    known = panel.filter(F.col("m") <= last)
+    feats = growth_features(known)
+    optional = []
+    if context:
+        feats = feats.join(context_features(known, regions, last), ["id", "m"], "left")
+        optional += ["global_growth", "regional_growth"]
+    if category_panel is not None:
+        feats = feats.join(category_growth(category_panel.filter(F.col("m") <= last), categories), ["id", "m"], "left")
+        optional += [f"g_{c}" for c in categories]
+    if neighbors is not None:
+        feats = feats.join(joins.neighbor_features(known, neighbors, k), ["id", "m"], "left")
+        optional += ["neighbor_growth", "neighbor_growth_lag", "neighbor_spikes", "neighbor_valid"]
+    logs = known.select("id", F.col("m").alias("target"), F.log(scalars.positive_or_null("value")).alias("log_target"))
+    rows = feats.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("target", F.col("m") + F.col("horizon"))
+    rows = rows.join(prep.complete_through(known, first), "id", "left").join(logs, ["id", "target"], "left")
+    x = F.array(*[F.col(c) for c in DIRECT[:4]], *_phase(F.col("m"), "origin"), *_phase(F.col("target"), "target"), *[F.col(c) for c in optional])
+    usable = (F.col("m") >= first + 2) & (F.col("m") <= F.col("complete_through"))
+    return rows.select("id", F.col("m").alias("source"), "horizon", F.col("log_level").alias("log_source"), x.alias("x"),
+                       F.when(usable, F.col("log_target") - F.col("log_level")).alias("y"))
+
+
+def _per_origin(rows: DataFrame, origins: list[int]) -> DataFrame:
+    """Each trainable row once for every origin that knows its target."""
+    known = F.filter(F.array(*[F.lit(o) for o in origins]), lambda o: o >= F.col("source") + F.col("horizon"))
+    return rows.filter("y is not null").withColumn("origin", F.explode(known))
+
+
+def fit_audit(rows: DataFrame, origins: list[int], minimum_rows: int = 200) -> DataFrame:
+    """(origin, horizon, rows, ids, max_target, status) of every model that ``direct_rows`` can train."""
+    return _per_origin(rows, origins).groupBy("origin", "horizon").agg(
+        F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.max(F.col("source") + F.col("horizon")).alias("max_target")).withColumn(
+        "status", F.when(F.col("rows") >= minimum_rows, "trained").otherwise("seasonal_fallback"))
 
 
 def fit_direct_horizon(panel: DataFrame, regions: DataFrame, first: int, origins: list[int], horizons: list[int], context: bool = False, neighbors: DataFrame | None = None,
-                       k: int = 5, minimum_rows: int = 200, iterations: int = 40, limit: float = 1.0, seed: int = 7) -> DataFrame:
-    """One model per (origin, horizon) of the cumulative log growth, clipped.
+                       k: int = 5, minimum_rows: int = 200, settings: Boost = Boost(), limit: float = 1.0, category_panel: DataFrame | None = None,
+                       categories: list[str] | None = None, task_rows: int | None = None) -> DataFrame:
+    """One model per (origin, horizon) of the cumulative log growth, clipped; all are fitted in one job.
 
-    Below ``minimum_rows`` training rows the pooled seasonal forecast is used and labelled as such. The
-    loop is over fits (origins × horizons), never over ids.
+    Below ``minimum_rows`` training rows the pooled seasonal forecast is used and labelled as such; before the end of its profile year
+    there is none and no row.
     """
-    parts = []
-    for origin in origins:
-        known = panel.filter(F.col("m") <= origin)
-        feats = growth_features(known)
-        if context:
-            feats = feats.join(context_features(known, regions, origin), ["id", "m"], "left")
-        if neighbors is not None:
-            feats = feats.join(joins.neighbor_features(known, neighbors, k), ["id", "m"], "left")
-        optional = (["global_growth", "regional_growth"] if context else []) + (["neighbor_growth", "neighbor_growth_lag", "neighbor_spikes", "neighbor_valid"] if neighbors is not None else [])
-        feats, extra = _indicate(feats, optional)
-        feats = cut_lineage(feats, "features")
-        level = known.filter("value > 0").select("id", F.col("m").alias("source"), F.log("value").alias("log_source"))
-        for h in horizons:
-            columns = [*DIRECT, *extra]
-            train = training_rows(known, first, origin, h)
-            target = known.filter("value > 0").select("id", F.col("m").alias("target"), F.log("value").alias("log_target"))
-            data = train.join(feats.withColumnRenamed("m", "source"), ["id", "source"]).join(target, ["id", "target"]).join(level, ["id", "source"]).withColumn("y", F.col("log_target") - F.col("log_source"))
-            data = _phases(data, "source", h)
-            apply_rows = _phases(feats.filter(F.col("m") == origin).withColumnRenamed("m", "source"), "source", h).join(level, ["id", "source"])
-            if data.limit(minimum_rows).count() < minimum_rows:
-                p = profiles.profile_global(known, first // 12)
-                made = apply_rows.crossJoin(F.broadcast(p)).withColumn("predicted", F.exp("log_source") * profiles.factor("p_global", F.lit(origin + h)) / profiles.factor("p_global", F.lit(origin))).withColumn("status", F.lit("seasonal_fallback"))
-            else:
-                made = _fit(data, columns, "y", iterations, seed)(apply_rows).withColumn("predicted", F.exp(F.col("log_source") + scalars.clip("raw", -limit, limit))).withColumn("status", F.lit("trained"))
-            parts.append(made.select("id", F.lit(origin).alias("origin"), F.lit(origin + h).alias("target"), F.lit(h).alias("horizon"), "status", "predicted"))
-    return reduce(DataFrame.unionByName, parts)
+    rows = cut_lineage(direct_rows(panel, regions, first, origins, horizons, context, neighbors, k, category_panel, categories), "direct-rows")
+    train = _per_origin(rows, origins)
+    enough = train.groupBy("origin", "horizon").agg(F.count("*").alias("rows")).filter(F.col("rows") >= minimum_rows).drop("rows")
+    models = boosting.fit(train.join(F.broadcast(enough), ["origin", "horizon"], "left_semi"), ["origin", "horizon"], settings, task_rows=task_rows)
+    applied = rows.filter(F.col("source").isin(origins)).select("id", F.col("source").alias("origin"), "horizon", "log_source", "x")
+    scored = boosting.predict(applied, ["origin", "horizon"], boosting.forests(models, ["origin", "horizon"]))
+    p = profiles.profile_global(panel.filter(F.col("m") <= max(origins)), first // 12)
+    scored = scored.join(F.broadcast(p))  # twelve factors
+    target = F.col("origin") + F.col("horizon")
+    seasonal = F.when(F.col("origin") >= first + 11, F.exp("log_source") * profiles.factor("p_global", target) / profiles.factor("p_global", F.col("origin")))
+    trained = F.exp(F.col("log_source") + scalars.clip("raw", -limit, limit))
+    return scored.select("id", "origin", target.alias("target"), "horizon", F.when(F.col("raw").isNotNull(), "trained").otherwise("seasonal_fallback").alias("status"),
+                         F.coalesce(trained, seasonal).alias("predicted")).filter("predicted is not null")
 
 
 def fit_spatial(panel, regions, neighbors, first, origins, k: int = 5, **kw) -> DataFrame:
@@ -118,47 +142,77 @@ def fit_spatial(panel, regions, neighbors, first, origins, k: int = 5, **kw) ->
     return plain.unionByName(spatial)
 
 
-def fit_recursive_growth(panel: DataFrame, origin: int, steps: int, profile: DataFrame | None = None, iterations: int = 40, limit: float = 0.5, seed: int = 7) -> DataFrame:
-    """Pooled model of next month's log growth, applied ``steps`` times to its own output.
+def fit_recursive_growth(panel: DataFrame, origins: list[int], steps: int, profile: DataFrame | None = None, settings: Boost = Boost(), limit: float = 0.5,
+                         task_rows: int | None = None) -> DataFrame:
+    """Pooled model of next month's log growth for each origin, applied ``steps`` times to its own output.
 
-    With ``profile`` (one row, array ``p_global``) levels are divided by the profile first and multiplied
-    back at the target. At most twelve steps, each a narrow transform of one row per id.
+    With ``profile`` (one row, array ``p_global``) levels are divided by the profile first and multiplied back at the target. An origin
+    without training rows has no forecasts.
     """
-    if not 1 <= steps <= 12:
-        raise ValueError("between one and twelve steps")
-    known = panel.filter(F.col("m") <= origin)
+    if steps < 1:
+        raise ValueError("at least one step")
+    known = panel.filter(F.col("m") <= max(origins))
     if profile is not None:
         known = known.crossJoin(F.broadcast(profile)).select("id", "m", (F.col("value") / profiles.factor("p_global", "m")).alias("value"))
     feats = cut_lineage(growth_features(known), "features")
     ahead = feats.select("id", (F.col("m") - 1).alias("m"), F.col("growth").alias("y"))
-    columns = BASIC if profile is None else BASIC[:3]
-    predict = _fit(_phases(feats.join(ahead, ["id", "m"]), "m", 1), columns, "y", iterations, seed)
-    state = feats.filter(F.col("m") == origin).select("id", F.col("m").cast("int").alias("m"), "log_level", "growth", "growth_lag")
-    parts = []
-    for h in range(1, steps + 1):
-        moved = predict(_phases(state, "m", 1)).withColumn("_g", scalars.clip("raw", -limit, limit))
-        state = moved.select("id", (F.col("m") + 1).cast("int").alias("m"), (F.col("log_level") + F.col("_g")).alias("log_level"), F.col("_g").alias("growth"), F.col("growth").alias("growth_lag"))
-        parts.append(state.select("id", F.lit(origin).alias("origin"), F.col("m").alias("target"), F.lit(h).alias("horizon"), F.exp("log_level").alias("predicted")))
-    out = reduce(DataFrame.unionByName, parts)
+    phases = profile is None
+    x = F.array(*[F.col(c) for c in BASIC[:3]], *(_phase(F.col("m") + 1, "target") if phases else []))
+    rows = feats.join(ahead, ["id", "m"]).select("id", F.col("m").alias("source"), F.lit(1).alias("horizon"), x.alias("x"), "y")
+    fitted = boosting.forests(boosting.fit(_per_origin(rows, origins), ["origin"], settings, task_rows=task_rows), ["origin"])
+    angle = 2 * np.pi / 12
+
+    def roll(batches):
+        for batch in batches:
+            origin, level, growth, lag = (batch.column(c).to_numpy() for c in ("origin", "log_level", "growth", "growth_lag"))
+            path = np.full((len(origin), steps), np.nan)
+            for o in np.unique(origin):
+                own = np.flatnonzero(origin == o)
+                if (model := fitted.get((int(o),))) is None:
+                    continue
+                now, g, before = level[own], growth[own], lag[own]
+                for h in range(steps):
+                    moy = (int(o) + 1 + h) % 12 + 1
+                    season = [np.full(len(own), f(angle * moy)) for f in (np.sin, np.cos)] if phases else []
+                    g, before = np.clip(model(np.column_stack([now, g, before, *season])), -limit, limit), g
+                    now = now + g
+                    path[own, h] = now
+            yield pa.record_batch([batch.column("id"), batch.column("origin"), pa.array(list(path), pa.list_(pa.float64()))], ["id", "origin", "path"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in feats.schema.fields}
+    state = feats.filter(F.col("m").isin(origins)).select("id", F.col("m").cast("int").alias("origin"), "log_level", "growth", "growth_lag")
+    out = state.mapInArrow(roll, f"id {kinds['id']}, origin int, path array<double>").select("id", "origin", F.posexplode("path").alias("_h", "_level")).filter(~F.isnan("_level"))
+    out = out.select("id", "origin", (F.col("origin") + F.col("_h") + 1).alias("target"), (F.col("_h") + 1).alias("horizon"), F.exp("_level").alias("predicted"))
     if profile is not None:
         out = out.crossJoin(F.broadcast(profile)).withColumn("predicted", F.col("predicted") * profiles.factor("p_global", "target")).drop("p_global")
     return out
 
 
-def fit_residual_correction(fc: DataFrame, panel: DataFrame, origin: int, kind: str = "ridge", penalty: float = 100.0, iterations: int = 40, limit: float = 0.5, seed: int = 7) -> DataFrame:
-    """Correct one-step seasonal forecasts by a model of ln(actual / forecast) on the id's own features.
+def fit_residual_correction(fc: DataFrame, panel: DataFrame, origin: int, kind: str = "ridge", penalty: float = 100.0, settings: Boost = Boost(l2=10.0), limit: float = 0.5,
+                            extra: DataFrame | None = None) -> DataFrame:
+    """Correct seasonal forecasts of every horizon by a model of ln(actual / forecast) on the id's own features.
 
-    Trained on targets up to ``origin`` only, applied to later origins.
+    ``extra`` (id, m, features…) adds features known at the origin of a forecast, such as ``category_growth`` or a policy rate. Trained
+    on targets up to ``origin`` only, applied to later origins. The ridge takes 0 and an indicator for a missing feature.
     """
-    rows = fc.filter("horizon = 1 and predicted > 0").join(growth_features(panel).withColumnRenamed("m", "origin"), ["id", "origin"]).withColumn("y", scalars.log_ratio("actual", "predicted"))
+    rows = fc.filter("predicted > 0").join(growth_features(panel).withColumnRenamed("m", "origin"), ["id", "origin"]).withColumn("y", scalars.log_ratio("actual", "predicted"))
     columns = ["log_level", "growth", "growth_lag", "log_mean"]
-    rows = cut_lineage(rows.select("id", "origin", "target", "horizon", "actual", F.col("predicted").alias("base"), "y", *columns), "residual-rows")
+    if extra is not None:
+        rows = rows.join(extra.withColumnRenamed("m", "origin"), ["id", "origin"], "left")
+        columns += [c for c in extra.columns if c not in ("id", "m")]
+    if rows.select("horizon").distinct().limit(2).count() > 1:
+        columns.append("horizon")
+    names = [f"f{i}" for i in range(len(columns))]
+    rows = cut_lineage(rows.select("id", "origin", "target", "horizon", "actual", F.col("predicted").alias("base"), "y", *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)]), "residual-rows")
     train = rows.filter(F.col("target") <= origin)
     later = rows.filter(F.col("origin") >= origin)
     if kind == "ridge":
-        assembler = VectorAssembler(inputCols=columns, outputCol="features")
-        model = LinearRegression(featuresCol="features", labelCol="y", predictionCol="raw", regParam=penalty, elasticNetParam=0.0, standardization=True).fit(assembler.transform(train))
-        scored = model.transform(assembler.transform(later)).drop("features")
+        given = names[4:4 + len(extra.columns) - 2] if extra is not None else []
+        fill = lambda df: df.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in given} | {f"{n}_missing": F.col(n).isNull().cast("double") for n in given})
+        assembler = VectorAssembler(inputCols=[*names, *[f"{n}_missing" for n in given]], outputCol="features")
+        model = LinearRegression(featuresCol="features", labelCol="y", predictionCol="raw", regParam=penalty, elasticNetParam=0.0, standardization=True).fit(assembler.transform(fill(train)))
+        scored = model.transform(assembler.transform(fill(later))).drop("features")
     else:
-        scored = _fit(train, columns, "y", iterations, seed)(later)
+        keyed = lambda df: df.withColumn("x", F.array(*names)).withColumn("model", F.lit(0))
+        scored = boosting.predict(keyed(later), ["model"], boosting.forests(boosting.fit(keyed(train), ["model"], settings), ["model"]))
     return scored.select("id", "origin", "target", "horizon", "actual", "base", (F.col("base") * F.exp(scalars.clip("raw", -limit, limit))).alias("predicted"))
