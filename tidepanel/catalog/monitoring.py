@@ -299,22 +299,46 @@ def _(spark, sf):
     return detectors.score_bocpd(s, ["id"], signals.prior_sigma(s, CAL, 1.4826, 0.02))
 
 
-def _offline(cost):
-    @query(f"offline_changepoints_{cost}", "id:l penalty:d m:l")
-    def _(spark, sf):
-        s = level_signal(spark, sf)
-        return detectors.offline_changepoints(s, ["id"], [2.0, 8.0], signals.prior_sigma(s, CAL, 1.4826, 0.02), cost)
+#: The prefix sums of a scaled series and, month by month, the least cost F and last start B of every prefix; then the way back.
+PENALTIES = (2.0, 8.0, 16.0, 32.0)
+SEGMENTS = f"""RECURSIVE {BASE}, {MAD}, sg AS (SELECT greatest(1.4826::DOUBLE*median(mad),0.02) AS sigma FROM md),
+zv AS (SELECT id, list(m ORDER BY m) AS ms, list(z/sigma ORDER BY m) AS zs FROM zz, sg WHERE z IS NOT NULL GROUP BY id),
+zp AS (SELECT id, ms, len(zs) AS n, list_prepend(0.0::DOUBLE, list_transform(range(1, len(zs)+1), lambda j: list_sum(zs[1:j]))) AS c1, list_prepend(0.0::DOUBLE, list_transform(range(1, len(zs)+1), lambda j: list_sum(list_transform(zs[1:j], lambda x: x*x)))) AS c2 FROM zv),
+pn AS (SELECT unnest([{', '.join(f'{p}::DOUBLE' for p in PENALTIES)}]) AS penalty),
+dp AS (SELECT id, penalty, n, c1, c2, 1::BIGINT AS j, [-penalty, 'inf'::DOUBLE] AS f, [0::BIGINT, 0] AS b FROM zp, pn WHERE n>=4
+ UNION ALL SELECT id, penalty, n, c1, c2, j+1, list_append(f, list_min(q)+penalty), list_append(b, list_position(q, list_min(q))-1) FROM (
+  SELECT *, list_transform(range(0, j), lambda i: f[i+1] + CASE WHEN i=1 THEN 'inf'::DOUBLE ELSE c2[j+2]-c2[i+1]-(c1[j+2]-c1[i+1])*(c1[j+2]-c1[i+1])/(j+1-i) END) AS q FROM dp WHERE j<n)),
+wb AS (SELECT id, penalty, b[n+1] AS j, b, ms FROM dp JOIN zp USING(id, n) WHERE dp.j=n UNION ALL SELECT id, penalty, b[j+1], b, ms FROM wb WHERE j>0 AND b[j+1]>0)"""
+
+
+def sigma(spark, sf):
+    return signals.prior_sigma(level_signal(spark, sf), CAL, 1.4826, 0.02)
+
+
+@query("offline_changepoints_l2", "id:l penalty:d m:l", f"WITH {SEGMENTS} SELECT id, penalty, ms[j+1] AS m FROM wb WHERE j>0")
+def _(spark, sf):
+    return detectors.offline_changepoints(level_signal(spark, sf), ["id"], list(PENALTIES), sigma(spark, sf))
+
+
+@query("offline_changepoints_rbf", "id:l penalty:d m:l")
+def _(spark, sf):
+    return detectors.offline_changepoints(level_signal(spark, sf), ["id"], [2.0, 8.0], sigma(spark, sf), "rbf")
 
 
-_offline("l2")
-_offline("rbf")
+@query("penalty_under_budget", "penalty:d alarms:l per100:d passes:b chosen:b", f"""
+WITH {SEGMENTS}, ct2 AS (SELECT penalty, count(id) AS alarms FROM pn LEFT JOIN (SELECT * FROM wb WHERE j>0) USING(penalty) GROUP BY penalty), r AS (SELECT *, 100*alarms/(SELECT count(z) FROM zz)::DOUBLE AS per100 FROM ct2)
+SELECT penalty, alarms, per100, per100<=4 AS passes, coalesce(penalty=(SELECT min(penalty) FROM r WHERE per100<=4), false) AS chosen FROM r""")
+def _(spark, sf):
+    s = level_signal(spark, sf)
+    found = detectors.offline_changepoints(s, ["id"], list(PENALTIES), sigma(spark, sf))
+    return detectors.penalty_under_budget(found, s.agg(F.count("z").alias("months")), list(PENALTIES), 4.0).fillna({"alarms": 0})
 
 
-@query("penalty_under_budget", "penalty:d alarms:l per100:d passes:b chosen:b")
+@query("least_penalty", "penalty:d alarms:l per100:d")
 def _(spark, sf):
-    s = level_signal(spark, sf).filter(F.col("m") <= WATCH)
-    found = detectors.offline_changepoints(s, ["id"], [2.0, 8.0, 16.0, 32.0], signals.prior_sigma(s, CAL, 1.4826, 0.02))
-    return detectors.penalty_under_budget(found, s.agg(F.count("z").alias("months")), [2.0, 8.0, 16.0, 32.0], 1.0).fillna({"alarms": 0})
+    """The same budget by every optimal segmentation; tested against the rates of all penalties on small panels."""
+    s = level_signal(spark, sf)
+    return detectors.least_penalty(detectors.segmentations(s, ["id"], 1.0, 64.0, sigma(spark, sf)), s.agg(F.count("z").alias("months")), 4.0)
 
 
 # -- back-tests ---------------------------------------------------------------------------------
@@ -323,17 +347,27 @@ LASTK = ONSET + SPAN - 1
 U = "('0x'||substr(sha256(seed||':'||id),1,12))::UBIGINT::DOUBLE/281474976710656"
 
 
-def bt_sql(seeds=SEEDS, shifts=SHIFTS, shapes=SHAPES, fractions=(0.25,), lead=0):
-    keys = "seed, shift, shape, fraction"
+def bt_sql(seeds=SEEDS, shifts=SHIFTS, shapes=SHAPES, fractions=(0.25,), lead=0, group="", noise=False):
+    """Altered panels scored from scratch; ``group`` is a further key (category), ``noise`` scales signals."""
+    g, on = (f"{group}, ", f", {group}") if group else ("", "")
+    keys, source = f"seed, shift, shape, fraction{on}", "cpanel" if group else "panel"
+    raw = "r" if noise else ""
+    scale = lambda name, k: f""",
+{name} AS (SELECT a.* EXCLUDE (z), z*multiplier AS z FROM {name}r a JOIN nm USING({g}id))""" if noise else ""
+    mad = f""",
+cm AS (SELECT {g}id, median(z) AS c FROM zzr WHERE m BETWEEN {BT_CAL[0]} AND {BT_CAL[1]} GROUP BY ALL HAVING count(z)>0), md AS (SELECT {g}id, median(abs(z-c)) AS mad FROM zzr JOIN cm USING({g}id) WHERE m BETWEEN {BT_CAL[0]} AND {BT_CAL[1]} AND z IS NOT NULL GROUP BY ALL),
+nm AS (SELECT {g}id, p/greatest(0.5::DOUBLE*mad+0.5::DOUBLE*p,0.0001) AS multiplier FROM (SELECT *, greatest(median(mad) OVER ({f'PARTITION BY {group}' if group else ''}),0.0001) AS p FROM md))""" if noise else ""
+    five = lambda rel, k: f"SELECT {k}id, m, z IS NOT NULL AS observed, unnest(['spike','rolling_3m','ewma','cusum','cusum_spike']) AS method, unnest([spike,rolling_3m,ewma,cusum,CASE WHEN z IS NOT NULL THEN greatest(cusum/tc, spike/ts) END]) AS score FROM {rel} {f'JOIN tp USING({group})' if group else 'CROSS JOIN tp'}"
     return f"""sn AS (SELECT * FROM (SELECT unnest({list(seeds)}::BIGINT[]) AS seed) CROSS JOIN (SELECT unnest({list(shifts)}::DOUBLE[]) AS shift) CROSS JOIN (SELECT unnest({list(shapes)}) AS shape) CROSS JOIN (SELECT unnest({list(fractions)}::DOUBLE[]) AS fraction)),
-kn AS (SELECT panel.* FROM panel JOIN (SELECT id FROM panel WHERE m BETWEEN {FIRST} AND {ONSET-1} AND value>0 GROUP BY id HAVING count(*)={ONSET-FIRST}) USING(id) WHERE m<={LASTK}),
-{growth_sql('kn', last=LASTK)}, {level_sql(BT_CAL)}, {scores_sql('zz', 'id')},
-th AS (SELECT method, quantile_cont(x,0.99) AS threshold FROM (SELECT id, method, max(score) AS x FROM scm WHERE m BETWEEN {BT_CAL[0]} AND {BT_CAL[1]} GROUP BY ALL) WHERE x IS NOT NULL GROUP BY method),
-b4 AS (SELECT id, m, method, observed, threshold, coalesce(score>threshold,false) AS base_alarm FROM scm JOIN th USING(method) WHERE m>={ONSET-lead}),
+kn AS (SELECT {source}.* FROM {source} JOIN (SELECT id FROM panel WHERE m BETWEEN {FIRST} AND {ONSET-1} AND value>0 GROUP BY id HAVING count(*)={ONSET-FIRST}) USING(id) WHERE m<={LASTK}),
+{growth_sql('kn', group, LASTK)}, {level_sql(BT_CAL, group, name='zz' + raw)}{mad}{scale('zz', g)}, {scores_sql('zz', g + 'id')},
+th0 AS (SELECT {g}method, quantile_cont(x,0.99) AS threshold FROM (SELECT {g}id, method, max(score) AS x FROM scm WHERE m BETWEEN {BT_CAL[0]} AND {BT_CAL[1]} GROUP BY ALL) WHERE x IS NOT NULL GROUP BY ALL),
+tp AS (SELECT {g}max(threshold) FILTER (WHERE method='cusum') AS tc, max(threshold) FILTER (WHERE method='spike') AS ts FROM th0 {'GROUP BY ' + group if group else ''}), th AS (SELECT * FROM th0 UNION ALL SELECT {g}'cusum_spike', 1.0 FROM tp),
+b5 AS ({five('sc', g)}), b4 AS (SELECT {g}id, m, method, observed, threshold, coalesce(score>threshold,false) AS base_alarm FROM b5 JOIN th USING({g}method) WHERE m>={ONSET-lead}),
 ch AS (SELECT {keys}, id, m, {U} < fraction AS treated, value*CASE WHEN m>={ONSET} AND {U} < fraction THEN CASE shape WHEN 'step' THEN 1+shift WHEN 'pulse' THEN CASE WHEN m={ONSET} THEN 1+shift ELSE 1 END ELSE 1+shift*(m-{ONSET})/5.0::DOUBLE END ELSE 1 END AS value FROM kn CROSS JOIN sn),
-{growth_sql('ch', keys, LASTK, 'cg')}, {level_sql(BT_CAL, keys, 'cg', 'cz')}, {scores_sql('cz', keys + ', id', 'cs')},
+{growth_sql('ch', keys, LASTK, 'cg')}, {level_sql(BT_CAL, keys, 'cg', 'cz' + raw)}{scale('cz', keys)}, {scores_sql('cz', keys + ', id', 'cs')}, c5 AS ({five('cs', keys + ', ')}),
 res AS (SELECT {keys}, id, {U} < fraction AS treated, m-{ONSET} AS k, method, b4.observed, base_alarm, coalesce(score>threshold,false) AS changed_alarm, coalesce(score>threshold,false) AND NOT base_alarm AS new_alarm, CASE WHEN shape='ramp' THEN 1 ELSE 0 END AS onset
- FROM csm JOIN b4 USING(id,m,method) WHERE m>={ONSET-lead})"""
+ FROM c5 JOIN b4 USING({g}id,m,method) WHERE m>={ONSET-lead})"""
 
 
 SCN = "seed:l shift:d shape:s fraction:d method:s"
@@ -346,8 +380,8 @@ def cohort_panel(spark, sf):
     return panel.join(prep.cohort_observed_through(panel, FIRST, ONSET - 1), "id", "left_semi")
 
 
-def results(spark, sf, seeds=SEEDS, shifts=SHIFTS, shapes=SHAPES, fractions=(0.25,), lead=0):
-    return backtest.run(cohort_panel(spark, sf), backtest.scenario_table(spark, seeds, shifts, shapes, fractions), ONSET, BT_CAL, span=SPAN, lead=lead)
+def results(spark, sf, seeds=SEEDS, shifts=SHIFTS, shapes=SHAPES, fractions=(0.25,), lead=0, form=backtest.unit_paths, **kw):
+    return form(cohort_panel(spark, sf), backtest.scenario_table(spark, seeds, shifts, shapes, fractions), ONSET, BT_CAL, span=SPAN, lead=lead, **kw)
 
 
 @query("inject_shock", "seed:l shift:d shape:s fraction:d id:l m:l treated:b value:d", f"WITH {BT} SELECT * FROM ch", digits=3)
@@ -357,15 +391,37 @@ def _(spark, sf):
 
 @query("new_alarms", SCN + " id:l treated:b k:l observed:b base_alarm:b changed_alarm:b new_alarm:b", f"WITH {BT} SELECT * FROM res")
 def _(spark, sf):
-    return results(spark, sf)
+    return results(spark, sf, form=backtest.run)
+
 
+def category_results(spark, sf, **kw):
+    """The cohort of the total, each category with its own medians, thresholds and assignment by id."""
+    panel = tables.supplier_category_panel(spark, sf).join(cohort_panel(spark, sf).select("id").distinct(), "id", "left_semi")
+    return backtest.unit_paths(panel, backtest.scenario_table(spark, SEEDS, SHIFTS, SHAPES), ONSET, BT_CAL, span=SPAN, group=["category"], **kw)
 
-@query("attribution_metrics", SCN + " new_at_onset:d new_by_second:d new_by_third:d new_any:d later_only:d median_delay:d base_treated:d changed_treated:d base_control:d changed_control:d new_control:d", f"""
-WITH {BT}, u AS (SELECT {SCN_SQL}, id, treated, bool_or(new_alarm AND k=onset) AS a1, bool_or(new_alarm AND k BETWEEN onset AND onset+1) AS a2, bool_or(new_alarm AND k BETWEEN onset AND onset+2) AS a3, bool_or(new_alarm AND k>=onset) AS ev,
+
+ATTRIBUTION = "new_at_onset:d new_by_second:d new_by_third:d new_any:d later_only:d median_delay:d base_treated:d changed_treated:d base_control:d changed_control:d new_control:d"
+
+
+def attribution_sql(keys):
+    return f"""u AS (SELECT {keys}, id, treated, bool_or(new_alarm AND k=onset) AS a1, bool_or(new_alarm AND k BETWEEN onset AND onset+1) AS a2, bool_or(new_alarm AND k BETWEEN onset AND onset+2) AS a3, bool_or(new_alarm AND k>=onset) AS ev,
  min(k-onset) FILTER (WHERE new_alarm AND k>=onset) AS d, bool_or(base_alarm) AS b, bool_or(changed_alarm) AS c, bool_or(new_alarm) AS n FROM res GROUP BY ALL)
-SELECT {SCN_SQL}, avg(a1::INT) FILTER (WHERE treated) AS new_at_onset, avg(a2::INT) FILTER (WHERE treated) AS new_by_second, avg(a3::INT) FILTER (WHERE treated) AS new_by_third, avg(ev::INT) FILTER (WHERE treated) AS new_any,
+SELECT {keys}, avg(a1::INT) FILTER (WHERE treated) AS new_at_onset, avg(a2::INT) FILTER (WHERE treated) AS new_by_second, avg(a3::INT) FILTER (WHERE treated) AS new_by_third, avg(ev::INT) FILTER (WHERE treated) AS new_any,
  avg((ev AND NOT a1)::INT) FILTER (WHERE treated) AS later_only, median(d) FILTER (WHERE treated) AS median_delay, avg(b::INT) FILTER (WHERE treated) AS base_treated, avg(c::INT) FILTER (WHERE treated) AS changed_treated,
- avg(b::INT) FILTER (WHERE NOT treated) AS base_control, avg(c::INT) FILTER (WHERE NOT treated) AS changed_control, avg(n::INT) FILTER (WHERE NOT treated) AS new_control FROM u GROUP BY ALL""")
+ avg(b::INT) FILTER (WHERE NOT treated) AS base_control, avg(c::INT) FILTER (WHERE NOT treated) AS changed_control, avg(n::INT) FILTER (WHERE NOT treated) AS new_control FROM u GROUP BY ALL"""
+
+
+@query("attribution_by_category", "category:s " + SCN + " " + ATTRIBUTION, f"WITH {bt_sql(group='category')}, {attribution_sql(SCN_SQL + ', category')}")
+def _(spark, sf):
+    return backtest.attribution_metrics(category_results(spark, sf))
+
+
+@query("attribution_noise_scaled", SCN + " " + ATTRIBUTION, f"WITH {bt_sql(noise=True)}, {attribution_sql(SCN_SQL)}")
+def _(spark, sf):
+    return backtest.attribution_metrics(results(spark, sf, noise=(0.5, 0.0001)))
+
+
+@query("attribution_metrics", SCN + " " + ATTRIBUTION, f"WITH {BT}, {attribution_sql(SCN_SQL)}")
 def _(spark, sf):
     return backtest.attribution_metrics(results(spark, sf))
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidepanel.functions import scalars
 from tidepanel.operators import detectors, prep, signals
-from tidepanel.operators.quantiles import grouped_median
+from tidepanel.operators.quantiles import grouped_median, grouped_quantile
 from tidepanel.schema import DetectorSettings
 from tidepanel.session import cut_lineage, literal_table
 
@@ -26,41 +26,90 @@ def inject_shock(panel: DataFrame, scenarios: DataFrame, onset: int, span: int =
     return crossed.withColumn("value", F.when(factor == 1.0, F.col("value")).otherwise(F.col("value") * factor))
 
 
-def inject_series(s: DataFrame, scenarios: DataFrame, onset: int, span: int = 6) -> DataFrame:
-    """``inject_shock`` on arrays: the assignment is hashed once per id and scenario, months stay in place."""
-    crossed = s.crossJoin(F.broadcast(scenarios)).withColumn("treated", scalars.id_uniform(F.col("seed"), "id") < F.col("fraction"))
+METHODS = (*detectors.METHODS, "cusum_spike")
 
-    def shocked(x, i):
-        k = F.col("start") + i - onset
-        return F.when(F.col("treated") & (k >= 0), x * scalars.shock_factor("shape", "shift", k, span)).otherwise(x)
 
-    return crossed.withColumn("vals", F.transform("vals", shocked))
+def unit_paths(panel: DataFrame, scenarios: DataFrame, onset: int, cal: tuple[int, int], settings: DetectorSettings = DetectorSettings(), span: int = 6, lead: int = 0,
+               group: list[str] | None = None, noise: tuple[float, float] | None = None) -> DataFrame:
+    """(scenario, group, id, treated, method, path): flags of the span after onset, and of ``lead`` months before, in one array a unit.
 
-
-def run(panel: DataFrame, scenarios: DataFrame, onset: int, cal: tuple[int, int], settings: DetectorSettings = DetectorSettings(), span: int = 6, lead: int = 0) -> DataFrame:
-    """(scenario, id, treated, k, method, observed, base_alarm, changed_alarm, new_alarm) for the span after onset, and ``lead`` months before.
-
-    Thresholds come from the unaltered calibration months; the altered panel is scored with them.
+    A shock adds the logarithm of its factor to the log growth of treated ids. All else that a scenario changes is the panel median of each
+    month, so scenarios are a small table of paths and medians beside one stored row an id: its growth in the span, its state of
+    the scores before it, and its unaltered flags. Thresholds come from the unaltered calibration months, per ``group`` (categories, cohorts);
+    ``noise`` (weight, floor) scales signals by ``signals.noise_scale``.
     """
-    last = onset + span - 1
-    known = panel.filter(F.col("m") <= last)
-    arrays = prep.series(known)
-    base_signal = signals.signal_yoy_level(signals.yoy_of_series(arrays, [], last), cal)
-    base = detectors.by_method(detectors.scores(base_signal, ["id"], settings), ["id"])
-    base = cut_lineage(base.filter(F.col("m") >= cal[0]), "base-scores")
-    limits = detectors.threshold_unit_max(base, ["id"], cal, settings.threshold_quantile).select("method", "threshold")
-    before = detectors.alarms(base.filter(F.col("m") >= onset - lead).join(F.broadcast(limits), "method")).select(
-        "id", "m", "method", "observed", F.col("active").alias("base_alarm"), "threshold")
-    altered = inject_series(arrays, scenarios, onset, span)
-    z = signals.signal_yoy_level(signals.yoy_of_series(altered, SCENARIO, last), cal, SCENARIO)
-    unit = [*SCENARIO, "id"]
-    after = detectors.by_method(detectors.scores(z, unit, settings).filter(F.col("m") >= onset - lead), unit)
-    # The assignment follows from seed, id and fraction alone, so it is no join.
-    joined = after.drop("observed").join(before, ["id", "m", "method"]).withColumn("treated", scalars.id_uniform(F.col("seed"), "id") < F.col("fraction"))
-    changed = F.coalesce(F.col("score") > F.col("threshold"), F.lit(False))
-    return joined.select(
-        *SCENARIO, "id", "treated", (F.col("m") - onset).alias("k"), "method", "observed",
-        "base_alarm", changed.alias("changed_alarm"), (changed & ~F.col("base_alarm")).alias("new_alarm"))
+    group = group or []
+    unit, last = [*group, "id"], onset + span - 1
+    arrays = prep.series(panel.filter(F.col("m") <= last), unit)
+    growth_at = lambda m: scalars.log_ratio(prep.at(m), prep.at(m - 12))
+    span_growth = F.transform(F.sequence(F.lit(onset), F.lit(last)), growth_at)
+
+    # one row an id: unaltered scores, and what every scenario starts from
+    rows = signals.signal_yoy_level(signals.yoy_of_series(arrays, group, last), cal, group, parts=True)
+    if noise:
+        rows = cut_lineage(rows, "signals")
+        rows = rows.join(signals.noise_scale(rows, cal, *noise, group), unit).withColumn("z", F.col("z") * F.col("multiplier"))
+    else:
+        rows = rows.withColumn("multiplier", F.lit(1.0))
+    units = rows.groupBy(*unit).agg(
+        F.min("m").alias("start"), F.first("base").alias("base"), F.first("multiplier").alias("multiplier"),
+        F.map_from_entries(F.collect_list(F.struct("m", F.struct("z", "growth")))).alias("_map"))
+    months_of = lambda first, field: F.transform(F.sequence(first, F.lit(last)), lambda m: F.element_at("_map", m)[field])
+    units = units.withColumns({"xs": months_of(F.col("start"), "z"), "growth": months_of(F.lit(onset), "growth")})
+    units = units.withColumn("scored", F.zip_with("xs", detectors.fold_scores("xs", settings), lambda x, o: F.struct(
+        x.isNotNull().alias("observed"), F.abs(x).alias("spike"), *[o[m].alias(m) for m in detectors.METHODS[1:]])))
+    at = lambda m: F.get("scored", (m - F.col("start")).cast("int"))
+    top = lambda c: F.array_max(F.transform(F.sequence(F.lit(cal[0]), F.lit(cal[1])), lambda m: at(m)[c]))
+    units = cut_lineage(units.select(
+        *unit, "base", "multiplier", "growth", detectors.state_after(F.slice("xs", 1, F.greatest(F.lit(0), onset - F.col("start"))), settings).alias("state"),
+        F.transform(F.sequence(F.lit(onset - lead), F.lit(last)), at).alias("before"), *[top(m).alias(f"top_{m}") for m in detectors.METHODS]), "units")
+    tops = units.select(*group, F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"top_{m}").alias("maximum")) for m in detectors.METHODS])).alias("_t")).select(*group, "_t.*")
+    limits = grouped_quantile(tops.filter("maximum is not null"), [*group, "method"], "maximum", {"threshold": settings.threshold_quantile})
+    limits = limits.groupBy(*group).agg(*[F.max(F.when(F.col("method") == m, F.col("threshold"))).alias(f"limit_{m}") for m in detectors.METHODS])
+
+    # the scenarios: assignment by seed, additive paths, medians of the altered panel
+    seeds = sorted(r["seed"] for r in scenarios.select("seed").distinct().collect())
+    drawn = F.array(*[scalars.id_uniform(F.lit(s), "id") for s in seeds])  # once an id and seed
+    plan = scenarios.withColumns({"_seed": F.array_position(F.array(*[F.lit(s) for s in seeds]), F.col("seed")).cast("int") - 1,
+                                  "shock": F.array(*[F.log(scalars.shock_factor("shape", "shift", F.lit(k), span)) for k in range(span)])})
+    treated = lambda draws: F.get(draws, F.col("_seed")) < F.col("fraction")
+    altered = lambda: F.zip_with("growth", "shock", lambda g, x: F.when(F.col("treated"), g + x).otherwise(g))
+    every = arrays.select(*unit, span_growth.alias("growth"), drawn.alias("_u")).crossJoin(F.broadcast(plan)).withColumn("treated", treated("_u"))
+    every = every.select(*SCENARIO, *group, F.posexplode(altered()).alias("k", "x")).filter("x is not null")
+    medians = grouped_median(every, [*SCENARIO, *group, "k"], "x").groupBy(*SCENARIO, *group).agg(F.map_from_entries(F.collect_list(F.struct("k", "median"))).alias("_m"))
+    medians = cut_lineage(medians.select(*SCENARIO, *group, F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda k: F.element_at("_m", k)).alias("common")), "medians")
+    plan = plan.join(medians, SCENARIO)  # scenarios × groups rows, as the settings state them
+
+    joined = units.join(F.broadcast(limits), group) if group else units.crossJoin(F.broadcast(limits))
+    joined = joined.withColumn("_u", drawn)
+    joined = (joined.join(F.broadcast(plan), group) if group else joined.crossJoin(F.broadcast(plan))).withColumn("treated", treated("_u"))
+    z = F.zip_with(altered(), "common", lambda g, c: (g - c - F.col("base")) * F.col("multiplier"))
+    joined = joined.withColumn("_z", z)
+    joined = joined.withColumn("after", F.zip_with("_z", detectors.fold_scores("_z", settings, F.col("state")), lambda x, o: F.struct(
+        F.abs(x).alias("spike"), *[o[m].alias(m) for m in detectors.METHODS[1:]])))
+
+    def over(row, method):
+        if method == "cusum_spike":
+            hit = F.greatest(row["cusum"] / F.col("limit_cusum"), row["spike"] / F.col("limit_spike")) > 1
+        else:
+            hit = row[method] > F.col(f"limit_{method}")
+        return F.coalesce(hit, F.lit(False))
+
+    def path(method):
+        def flags(b, i):
+            base = over(b, method)
+            changed = F.when(i < lead, base).otherwise(over(F.get("after", i - lead), method)) if lead else over(F.get("after", i), method)
+            return F.struct((i - lead).alias("k"), b["observed"].alias("observed"), base.alias("base_alarm"), changed.alias("changed_alarm"), (changed & ~base).alias("new_alarm"))
+
+        return F.struct(F.lit(method).alias("method"), F.transform("before", flags).alias("path"))
+
+    return joined.select(*SCENARIO, *group, "id", "treated", F.explode(F.array(*[path(m) for m in METHODS])).alias("_p")).select(*SCENARIO, *group, "id", "treated", "_p.*")
+
+
+def run(*args, **kw) -> DataFrame:
+    """``unit_paths`` with a row for each month: k, observed, base_alarm, changed_alarm, new_alarm."""
+    paths = unit_paths(*args, **kw)
+    return paths.select(*[c for c in paths.columns if c != "path"], F.explode("path").alias("_p")).select(*[c for c in paths.columns if c != "path"], "_p.*")
 
 
 def _first_k(shape: Column) -> Column:
@@ -68,10 +117,17 @@ def _first_k(shape: Column) -> Column:
     return F.when(shape == "ramp", 1).otherwise(0)
 
 
+def _units(results: DataFrame) -> list[str]:
+    """Columns that name a scenario and method; categories or cohorts among them."""
+    return [c for c in results.columns if c not in ("id", "treated", "path", "k", "observed", "base_alarm", "changed_alarm", "new_alarm")]
+
+
 def per_unit(results: DataFrame) -> DataFrame:
-    """One row per (scenario, method, id) with bounded arrays of flags by month after onset."""
-    grouped = results.groupBy(*SCENARIO, "method", "id", "treated").agg(F.sort_array(F.collect_list(F.struct("k", "observed", "base_alarm", "changed_alarm", "new_alarm"))).alias("path"))
-    return grouped.withColumn("onset", _first_k(F.col("shape")))
+    """One row per (scenario, method, id) with bounded arrays of flags by month after onset, from ``unit_paths`` or rows of ``run``."""
+    if "path" not in results.columns:
+        results = results.groupBy(*_units(results), "id", "treated").agg(
+            F.sort_array(F.collect_list(F.struct("k", "observed", "base_alarm", "changed_alarm", "new_alarm"))).alias("path"))
+    return results.withColumn("onset", _first_k(F.col("shape")))
 
 
 def _any(flag: str, condition) -> Column:
@@ -85,7 +141,7 @@ def _first(flag: str) -> Column:
 
 def attribution_metrics(results: DataFrame, group: list[str] | None = None) -> DataFrame:
     """New alarms at onset and by the 2nd and 3rd month among all treated, delay, and control rates."""
-    group = group or [*SCENARIO, "method"]
+    group = group or _units(results)
     u = per_unit(results)
     by = lambda n: _any("new_alarm", lambda p: (p["k"] >= F.col("onset")) & (p["k"] < F.col("onset") + n))
     ever = _any("new_alarm", lambda p: p["k"] >= F.col("onset"))
@@ -112,7 +168,7 @@ def observed_window_metrics(results: DataFrame) -> DataFrame:
         ok = F.col("treated") & full(n)
         aggs += [F.count(F.when(ok, 1)).alias(f"observed_{label}"), F.avg(F.when(ok, by(n).cast("double"))).alias(f"new_by_{label}")]
     control = lambda c: F.sum(F.when(~F.col("treated"), c))
-    out = u.groupBy(*SCENARIO, "method").agg(
+    out = u.groupBy(*_units(results)).agg(
         F.count(F.when(F.col("treated"), 1)).alias("treated_n"), F.count(F.when(~F.col("treated"), 1)).alias("control_n"), *aggs,
         F.sum(F.when(F.col("treated"), count(lambda p: ~p["observed"]))).alias("unobserved_treated_months"),
         control(count(lambda p: p["new_alarm"])).alias("_n"), control(count(lambda p: p["base_alarm"])).alias("_b"), control(count(lambda p: p["observed"])).alias("_o"))
@@ -133,7 +189,7 @@ def calendar_delay_metrics(results: DataFrame, lags: list[int], span: int = 6) -
     ok = F.col("treated") & full3
     size = lambda f: F.size(F.filter("path", f))
     u = u.withColumn("_ok", ok).withColumn("_first", F.when(ok, first))
-    out = u.groupBy(*SCENARIO, "method", "lag").agg(
+    out = u.groupBy(*_units(results), "lag").agg(
         F.count(F.when(F.col("treated"), 1)).alias("treated_n"), F.count(F.when(F.col("_ok"), 1)).alias("evaluated_n"),
         *[F.avg(F.when(F.col("_ok"), by(n).cast("double"))).alias(f"new_by_{label}") for n, label in ((1, "first"), (2, "second"), (3, "third"))],
         F.avg(F.when(F.col("_ok"), F.col("_first").isNotNull().cast("double"))).alias("new_by_end"), F.percentile("_first", 0.5).alias("median_delay"),
@@ -146,13 +202,13 @@ def calendar_delay_metrics(results: DataFrame, lags: list[int], span: int = 6) -
 
 def alarm_rates(results: DataFrame) -> DataFrame:
     """Treated and control alarm rates, suppressed and previously quiet shares (scope and shape studies)."""
-    flag = lambda c: F.max(F.col(c).cast("int"))
-    u = results.groupBy(*SCENARIO, "method", "id", "treated").agg(
-        flag("base_alarm").alias("b"), flag("changed_alarm").alias("c"), F.min(F.when(F.col("changed_alarm"), F.col("k"))).alias("first"),
-        F.max(F.when(F.col("k") < 1, F.col("changed_alarm").cast("int"))).alias("c1"), F.max(F.when(F.col("k") < 3, F.col("changed_alarm").cast("int"))).alias("c3"))
+    any_ = lambda c, before=None: F.exists("path", lambda p: p[c] & (p["k"] < before) if before is not None else p[c]).cast("int")
+    hits_of = F.filter("path", lambda p: p["changed_alarm"])
+    u = per_unit(results).select(*_units(results), "id", "treated", any_("base_alarm").alias("b"), any_("changed_alarm").alias("c"), F.get(hits_of, F.lit(0))["k"].alias("first"),
+                                 any_("changed_alarm", 1).alias("c1"), any_("changed_alarm", 3).alias("c3"))
     t, quiet = F.col("treated"), F.col("b") == 0
     rate = lambda c, side: F.avg(F.when(t == side, c.cast("double")))
-    out = u.groupBy(*SCENARIO, "method").agg(
+    out = u.groupBy(*_units(results)).agg(
         F.count(F.when(t, 1)).alias("treated_n"), F.count(F.when(~t, 1)).alias("control_n"), rate(F.col("c"), True).alias("treated_rate"), rate(F.col("b"), True).alias("treated_base_rate"),
         rate((F.col("c") == 1) & quiet, True).alias("new_rate"), F.avg(F.when(t & quiet, F.col("c").cast("double"))).alias("new_rate_quiet"),
         rate((F.col("b") == 1) & (F.col("c") == 0), True).alias("suppressed_rate"), rate(F.col("c"), False).alias("control_rate"), rate(F.col("b"), False).alias("control_base_rate"),

@@ -38,31 +38,48 @@ def runs(signal: DataFrame, keys: list[str], value: str = "z") -> DataFrame:
     return island.withColumn("run_start", F.min("m").over(by)).withColumn("position", F.col("m") - F.col("run_start") + 1).drop("_island")
 
 
-def scores(signal: DataFrame, keys: list[str], settings: DetectorSettings = DetectorSettings(), value: str = "z") -> DataFrame:
-    """keys, m, z and one column per method, NULL where the month is unobserved."""
+STATE = ("e", "p", "n", "k", "a", "b", "c")
+
+
+def quiet_state() -> Column:
+    """State of the scores before a run: EWMA, both CUSUM sides, length of the run, last three values."""
+    return F.struct(*[F.lit(0 if f == "k" else 0.0).alias(f) for f in STATE])
+
+
+def advance(state: Column, x: Column, settings: DetectorSettings) -> Column:
+    """State after one more value; a missing one ends the run."""
     alpha, drift = settings.ewma_alpha, settings.cusum_drift
-    s = signal_series(signal, keys, value)
-    null = F.lit(None).cast("double")
-    zero = F.struct(
-        F.lit(0.0).alias("e"), F.lit(0.0).alias("p"), F.lit(0.0).alias("n"), F.lit(0).alias("k"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"),
-        F.array().cast("array<struct<ewma:double,cusum:double,rolling_3m:double>>").alias("out"))
+    after = {"e": alpha * x + (1 - alpha) * state["e"], "p": F.greatest(F.lit(0.0), state["p"] + x - drift), "n": F.greatest(F.lit(0.0), state["n"] - x - drift),
+             "k": state["k"] + 1, "a": x, "b": state["a"], "c": state["b"]}
+    return F.struct(*[F.when(x.isNotNull(), after[f]).otherwise(F.lit(0 if f == "k" else 0.0)).alias(f) for f in STATE])
+
+
+def read_scores(state: Column) -> Column:
+    """Scores of a state, NULL outside a run."""
+    seen = state["k"] > 0
+    three = F.abs((state["a"] + state["b"] + state["c"]) / F.least(state["k"], F.lit(3)))
+    return F.struct(F.when(seen, F.abs(state["e"])).alias("ewma"), F.when(seen, F.greatest(state["p"], state["n"])).alias("cusum"), F.when(seen, three).alias("rolling_3m"))
+
+
+def state_after(xs, settings: DetectorSettings, start: Column | None = None) -> Column:
+    return F.aggregate(xs, quiet_state() if start is None else start, lambda acc, x: advance(acc, x, settings))
+
+
+def fold_scores(xs, settings: DetectorSettings, start: Column | None = None) -> Column:
+    """Scores of every value of an array, continuing from ``start``."""
+    zero = F.struct((quiet_state() if start is None else start).alias("state"), F.array().cast("array<struct<ewma:double,cusum:double,rolling_3m:double>>").alias("out"))
 
     def step(acc, x):
-        seen = x.isNotNull()
-        e = alpha * x + (1 - alpha) * acc["e"]
-        p = F.greatest(F.lit(0.0), acc["p"] + x - drift)
-        n = F.greatest(F.lit(0.0), acc["n"] - x - drift)
-        k = acc["k"] + 1
-        total = x + F.when(k > 1, acc["a"]).otherwise(0.0) + F.when(k > 2, acc["b"]).otherwise(0.0)
-        row = F.struct(
-            F.when(seen, F.abs(e)).otherwise(null).alias("ewma"), F.when(seen, F.greatest(p, n)).otherwise(null).alias("cusum"),
-            F.when(seen, F.abs(total / F.least(k, F.lit(3)))).otherwise(null).alias("rolling_3m"))
-        keep = lambda c: F.when(seen, c).otherwise(F.lit(0.0))
-        return F.struct(
-            keep(e).alias("e"), keep(p).alias("p"), keep(n).alias("n"), F.when(seen, k).otherwise(F.lit(0)).alias("k"),
-            keep(x).alias("a"), keep(acc["a"]).alias("b"), F.concat(acc["out"], F.array(row)).alias("out"))
+        state = advance(acc["state"], x, settings)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(read_scores(state))).alias("out"))
+
+    return F.aggregate(xs, zero, step, lambda acc: acc["out"])
+
 
-    scored = s.select(*keys, "start", F.arrays_zip("xs", F.aggregate("xs", zero, step, lambda acc: acc["out"]).alias("o")).alias("_rows"))
+def scores(signal: DataFrame, keys: list[str], settings: DetectorSettings = DetectorSettings(), value: str = "z") -> DataFrame:
+    """keys, m, z and one column per method, NULL where the month is unobserved."""
+    s = signal_series(signal, keys, value)
+    scored = s.select(*keys, "start", F.arrays_zip("xs", fold_scores("xs", settings).alias("o")).alias("_rows"))
     rows = scored.select(*keys, "start", F.posexplode("_rows").alias("_i", "_r"))
     return rows.select(*keys, (F.col("start") + F.col("_i")).alias("m"), F.col("_r.xs").alias("z"), F.abs("_r.xs").alias("spike"),
                        F.col("_r.o.rolling_3m").alias("rolling_3m"), F.col("_r.o.ewma").alias("ewma"), F.col("_r.o.cusum").alias("cusum"))
@@ -246,55 +263,107 @@ def score_bocpd(signal: DataFrame, keys: list[str], sigma: DataFrame, settings:
     return rows.select(*keys, (F.col("start") + F.col("_i")).alias("m"), F.col("_r.xs").alias("z"), F.col("_r.ps").alias("score"))
 
 
-def segment_boundaries(x: np.ndarray, penalty: float, cost: str = "l2", min_size: int = 2, gamma: float = 1.0) -> list[int]:
-    """Interior boundaries of the segmentation with the least Σ cost + penalty · boundaries (exact)."""
-    n = len(x)
-    if n < 2 * min_size:
-        return []
+def segment_cost(x: np.ndarray, cost: str = "l2", gamma: float = 1.0):
+    """Cost of x[i:j] for an array of starts i; splitting a segment never raises the sum, which is what pruning rests on."""
     if cost == "l2":
         c1, c2 = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
-        segment = lambda i, j: c2[j] - c2[i] - (c1[j] - c1[i]) ** 2 / (j - i)
-    elif cost == "rbf":
-        gram = np.exp(-gamma * (x[:, None] - x[None, :]) ** 2)
-        grid = np.zeros((n + 1, n + 1))
-        grid[1:, 1:] = gram.cumsum(0).cumsum(1)
-        segment = lambda i, j: (j - i) - (grid[j, j] - grid[i, j] - grid[j, i] + grid[i, i]) / (j - i)
-    else:
-        raise ValueError("cost must be l2 or rbf")
-    best = np.full(n + 1, np.inf)
+        return lambda i, j: c2[j] - c2[i] - (c1[j] - c1[i]) ** 2 / (j - i)
+    if cost == "rbf":
+        grid = np.zeros((len(x) + 1, len(x) + 1))
+        grid[1:, 1:] = np.exp(-gamma * (x[:, None] - x[None, :]) ** 2).cumsum(0).cumsum(1)
+        return lambda i, j: (j - i) - (grid[j, j] - grid[i, j] - grid[j, i] + grid[i, i]) / (j - i)
+    raise ValueError("cost must be l2 or rbf")
+
+
+def best_segments(segment, n: int, penalty: float, min_size: int = 2) -> tuple[list[int], float]:
+    """(interior boundaries, Σ cost) of the segmentation with the least Σ cost + penalty · boundaries, exactly, the earliest of equals.
+
+    A start i is dropped once some j offers no more than what i would still pay to reach it: for ends that leave j a whole segment, what
+    goes through j is then at least as good. Ends nearer to j may still need i, so it is kept for ``min_size`` steps.
+    """
+    if n < 2 * min_size:
+        return [], float(segment(np.zeros(1, int), n)[0]) if n else 0.0
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
-    back = np.zeros(n + 1, int)
+    slack = 1e-9 * max(1.0, float(segment(np.zeros(1, int), n)[0]))
+    starts, until = np.zeros(1, int), np.full(n + 1, n + 1)
     for j in range(min_size, n + 1):
-        starts = np.array([i for i in range(0, j - min_size + 1) if i == 0 or i >= min_size])
-        total = best[starts] + segment(starts, j) + penalty
-        k = int(np.argmin(total))
-        best[j], back[j] = total[k], starts[k]
+        if j - min_size >= min_size:
+            starts = np.append(starts, j - min_size)
+        starts = starts[until[starts] > j]
+        reach = best[starts] + segment(starts, j)
+        k = int(np.argmin(reach))
+        best[j], back[j] = reach[k] + penalty, starts[k]
+        late = starts[reach > best[j] + slack]
+        until[late] = np.minimum(until[late], j + min_size)
     out, j = [], n
     while back[j] > 0:
         j = int(back[j])
         out.append(j)
-    return out[::-1]
+    return out[::-1], float(best[n] - penalty * len(out))
 
 
-def offline_changepoints(signal: DataFrame, keys: list[str], penalties: list[float], sigma: DataFrame, cost: str = "l2", min_size: int = 2) -> DataFrame:
-    """(keys, penalty, m): first month of every new segment, per penalty. Missing months are skipped."""
+def segment_boundaries(x: np.ndarray, penalty: float, cost: str = "l2", min_size: int = 2, gamma: float = 1.0) -> list[int]:
+    return best_segments(segment_cost(x, cost, gamma), len(x), penalty, min_size)[0]
+
+
+def segment_path(x: np.ndarray, low: float, high: float, cost: str = "l2", min_size: int = 2, gamma: float = 1.0) -> list[tuple[float, float, list[int], float]]:
+    """(from, to, boundaries, Σ cost): every segmentation that is optimal for some penalty in [low, high], by ascending penalty.
+
+    Two optima with costs a > b and m < n boundaries are equal at (a - b) / (n - m). If the search there finds nothing better, none lies
+    between them; otherwise both sides are searched. So the number of searches is about twice that of the answers.
+    """
+    segment = segment_cost(x, cost, gamma)
+    ask = lambda penalty: best_segments(segment, len(x), penalty, min_size)
+    found = {len(b): (b, c) for b, c in (ask(low), ask(high))}
+    open_pairs = [(max(found), min(found))]
+    while open_pairs:
+        many, few = open_pairs.pop()
+        if many - few > 1:
+            level = (found[few][1] - found[many][1]) / (many - few)
+            b, c = ask(level)
+            if few < len(b) < many and c + level * len(b) < found[few][1] + level * few - 1e-9 * max(1.0, abs(found[few][1])):
+                found[len(b)] = b, c
+                open_pairs += [(many, len(b)), (len(b), few)]
+    counts = sorted(found, reverse=True)
+    turns = [low, *[(found[m][1] - found[n][1]) / (n - m) for n, m in zip(counts, counts[1:])], high]
+    return [(float(a), float(z), *found[n]) for n, a, z in zip(counts, turns, turns[1:])]
+
+
+def segmentations(signal: DataFrame, keys: list[str], low: float, high: float, sigma: DataFrame, cost: str = "l2", min_size: int = 2) -> DataFrame:
+    """(keys, penalty_from, penalty_to, boundaries, cost, months): every optimal segmentation of a series for penalties in [low, high].
+
+    ``months`` are the first months of the new segments. Missing months are skipped.
+    """
     s = signal_series(signal, keys).crossJoin(F.broadcast(sigma))
     fields = {f.name: f.dataType.simpleString() for f in s.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + ", penalty double, m int"
+    shape = ", ".join(f"{k} {fields[k]}" for k in keys) + ", penalty_from double, penalty_to double, boundaries int, cost double, months array<int>"
+    names = [part.split(" ")[0] for part in shape.split(", ")]
 
     def run(batches):
         for pdf in batches:
             found = []
-            for row in pdf.to_dict("records"):
-                x = np.array([np.nan if a is None else a for a in row["xs"]], dtype=float)
+            for unit, start, xs, scale in zip(pdf[keys].itertuples(index=False, name=None), pdf["start"], pdf["xs"], pdf["sigma"]):
+                x = np.array([np.nan if a is None else a for a in xs], dtype=float)
                 seen = np.flatnonzero(np.isfinite(x))
-                z = x[seen] / row["sigma"]
-                for penalty in penalties:
-                    for b in segment_boundaries(z, penalty, cost, min_size):
-                        found.append([*[row[k] for k in keys], float(penalty), int(row["start"] + seen[b])])
-            yield pd.DataFrame(found, columns=[*keys, "penalty", "m"])
+                for a, z, b, total in segment_path(x[seen] / scale, low, high, cost, min_size):
+                    found.append([*unit, a, z, len(b), total, [int(start + seen[i]) for i in b]])
+            yield pd.DataFrame(found, columns=names)
+
+    return s.mapInPandas(run, shape)
+
+
+def offline_changepoints(signal: DataFrame, keys: list[str], penalties: list[float], sigma: DataFrame, cost: str = "l2", min_size: int = 2) -> DataFrame:
+    """(keys, penalty, m): first month of every new segment, per penalty; one search serves all penalties of a series."""
+    paths = segmentations(signal, keys, min(penalties), max(penalties), sigma, cost, min_size)
+    return _at_penalties(paths, keys, penalties).select(*keys, "penalty", F.explode("months").alias("m"))
 
-    return s.mapInPandas(run, schema)
+
+def _at_penalties(paths: DataFrame, keys: list[str], penalties: list[float]) -> DataFrame:
+    top = float(max(penalties))
+    asked = F.array(*[F.lit(float(p)) for p in sorted(penalties)])
+    own = F.filter(asked, lambda p: (p >= F.col("penalty_from")) & ((p < F.col("penalty_to")) | ((p == top) & (F.col("penalty_to") == top))))
+    return paths.withColumn("penalty", F.explode(own))
 
 
 def penalty_under_budget(boundaries: DataFrame, months_observed: DataFrame, penalties: list[float], budget_per100: float) -> DataFrame:
@@ -307,6 +376,25 @@ def penalty_under_budget(boundaries: DataFrame, months_observed: DataFrame, pena
         F.col("penalty") == F.min(F.when(F.col("passes"), F.col("penalty"))).over(W.partitionBy(F.lit(1)))))
 
 
+def least_penalty(paths: DataFrame, months_observed: DataFrame, budget_per100: float, digits: int = 6) -> DataFrame:
+    """(penalty, alarms, per100): the least penalty of all, not of a grid, at which the boundary rate meets the budget.
+
+    The number of boundaries only falls where a series passes to its next segmentation, so it is a running sum over those penalties, rounded
+    up to ``digits``. That sum runs over ranges of penalties first, so no task sees all series. No row if the budget is never met.
+    """
+    up = F.ceil(F.col("penalty_from") * 10**digits) / 10**digits
+    falls = paths.groupBy(up.alias("penalty")).agg(F.sum("boundaries").alias("gained"))
+    left = paths.groupBy((F.ceil(F.col("penalty_to") * 10**digits) / 10**digits).alias("penalty")).agg(F.sum("boundaries").alias("lost"))
+    top = paths.agg(F.max("penalty_to").alias("_top"))
+    steps = falls.join(left, "penalty", "full").select("penalty", (F.coalesce("gained", F.lit(0)) - F.coalesce("lost", F.lit(0))).alias("change"))
+    steps = steps.crossJoin(F.broadcast(top)).filter(F.col("penalty") < F.col("_top")).withColumn("part", F.floor("penalty"))
+    parts = steps.groupBy("part").agg(F.sum("change").alias("_c")).select(
+        "part", F.coalesce(F.sum("_c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    counted = steps.join(parts, "part").withColumn("alarms", F.col("_before") + F.sum("change").over(W.partitionBy("part").orderBy("penalty")))
+    rated = counted.crossJoin(F.broadcast(months_observed)).withColumn("per100", 100 * F.col("alarms") / F.col("months")).filter(F.col("per100") <= budget_per100)
+    return rated.groupBy().agg(F.min(F.struct("penalty", "alarms", "per100")).alias("b")).filter("b is not null").select("b.*")
+
+
 # -- event matching -----------------------------------------------------------------------------
 def match_sorted(truth: list[int], found: list[int], tolerance: int) -> list[tuple[int, int]]:
     """One-to-one pairs within the tolerance: most pairs first, then the least total distance.

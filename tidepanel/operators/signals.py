@@ -31,13 +31,14 @@ def _remove_common(growth: DataFrame, keys: list[str]) -> DataFrame:
     return growth.join(common, [*keys, "m"], "left").withColumn("z", F.col("growth") - F.col("_common")).drop("_common")
 
 
-def signal_yoy_level(growth: DataFrame, cal: tuple[int, int], keys: list[str] | None = None) -> DataFrame:
-    """Growth minus the panel median of the month minus the id's own calibration median."""
+def signal_yoy_level(growth: DataFrame, cal: tuple[int, int], keys: list[str] | None = None, parts: bool = False) -> DataFrame:
+    """Growth minus the panel median of the month minus the id's own calibration median; with ``parts`` also growth and that median."""
     keys = keys or []
     centred = _remove_common(growth, keys)
     # One id and scenario per window: as many rows as months, and the scores that follow group by the same keys.
     own = F.percentile(F.when(F.col("m").between(*cal), F.col("z")), 0.5).over(W.partitionBy(*keys, "id"))
-    return centred.withColumn("_base", own).filter("_base is not null").select(*keys, "id", "m", (F.col("z") - F.col("_base")).alias("z"))
+    return centred.withColumn("_base", own).filter("_base is not null").select(
+        *keys, "id", "m", (F.col("z") - F.col("_base")).alias("z"), *(["growth", F.col("_base").alias("base")] if parts else []))
 
 
 def signal_yoy_linear(growth: DataFrame, cal: tuple[int, int], keys: list[str] | None = None) -> DataFrame:
