@@ -68,13 +68,15 @@ def test_offline_segmentation_is_exact(cost):
     assert detectors.segment_boundaries(np.repeat([0.0, 10.0], 12), 2.0) == [12]
 
 
-def test_matching():
-    assert detectors.match_sorted([5, 7], [6, 8], 1) == [(5, 6), (7, 8)]
-    assert detectors.match_sorted([5], [4, 5, 6], 1) == [(5, 5)]
-    assert detectors.match_sorted([5], [7], 1) == []
+def test_matching(spark):
+    """Most pairs, then least distance, against every assignment."""
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        a, b = (sorted(set(rng.integers(0, 9, rng.integers(0, 4)).tolist())) for _ in range(2))
+    cases = [([5, 7], [6, 8]), ([5], [4, 5, 6]), ([5], [7]), ([], [1]), ([3], [])]
+    cases += [tuple(sorted(set(rng.integers(0, 9, rng.integers(0, 5)).tolist())) for _ in range(2)) for _ in range(150)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "id long, truth array<int>, found array<int>")
+    got = {r["id"]: [(p["truth"], p["found"]) for p in r["matches"]] for r in detectors.match_events(df, ["id"]).collect()}
+    assert got[0] == [(5, 6), (7, 8)] and got[1] == [(5, 5)] and got[2] == []
+    for i, (a, b) in enumerate(cases):
         best = (0, 0)
         for r in range(min(len(a), len(b)) + 1):
             for left in itertools.combinations(a, r):
@@ -82,8 +84,48 @@ def test_matching():
                     gaps = [abs(x - y) for x, y in zip(left, right)]
                     if all(g <= 1 for g in gaps):
                         best = min(best, (-r, sum(gaps)))
-        got = detectors.match_sorted(a, b, 1)
-        assert (-len(got), sum(abs(x - y) for x, y in got)) == best
+        assert (-len(got[i]), sum(abs(x - y) for x, y in got[i])) == best
+        assert all(x in a and y in b for x, y in got[i])
+
+
+@pytest.mark.parametrize("cost", ["l2", "rbf"])
+def test_pruning_and_penalty_paths_lose_nothing(spark, cost):
+    """Against a table of the best cost by number of boundaries, for every penalty."""
+    rng = np.random.default_rng(7)
+    frames, low, high = [], 0.3, 40.0
+    for i in range(25):
+        n = int(rng.integers(1, 26))
+        x = np.cumsum(rng.normal(0, 1, n) * (rng.random(n) < 0.3)) + rng.normal(0, 0.4, n)
+        frames += [(i, int(m), float(v)) for m, v in enumerate(x)]
+        segment = detectors.segment_cost(x, cost)
+        table = {0: {0: (0.0, [])}}  # end -> boundaries so far -> (cost, boundaries)
+        for j in range(1, n + 1):
+            table[j] = {}
+            for a in range(j - 1 if j > 1 else j):
+                if a == 0 and (j >= 2 or n < 2) or a >= 2 and j - a >= 2:
+                    for k, (c, way) in table[a].items():
+                        new = (c + float(segment(np.array([a]), j)[0]), way + [a] * (a > 0))
+                        table[j][k + (a > 0)] = min(table[j].get(k + (a > 0), new), new)
+        paths = detectors.segment_path(x, low, high, cost)
+        assert paths[0][0] == low and paths[-1][1] == high and all(p[1] == q[0] for p, q in zip(paths, paths[1:]))
+        for penalty in [low, *rng.uniform(low, high, 30), high]:
+            if n >= 4:
+                want = min(c + penalty * k for k, (c, _) in table[n].items())
+                bounds, total = detectors.best_segments(segment, n, penalty)
+                assert total + penalty * len(bounds) == pytest.approx(want, abs=1e-7)
+                own = next(p for p in paths if p[0] <= penalty <= p[1])
+                assert own[3] + penalty * len(own[2]) == pytest.approx(want, abs=1e-7)
+    signal = spark.createDataFrame(frames, "id long, m int, z double")
+    sigma = spark.createDataFrame([(1.0,)], "sigma double")
+    found = detectors.offline_changepoints(signal, ["id"], [0.5, 3.0, 40.0], sigma, cost)
+    got = {(r["id"], r["penalty"], r["m"]) for r in found.collect()}
+    series = {i: np.array([v for j, _, v in frames if j == i]) for i in range(25)}
+    assert got == {(i, p, b) for i, x in series.items() for p in (0.5, 3.0, 40.0) for b in detectors.segment_boundaries(x, p, cost)}
+    counts = lambda p: sum(len(detectors.segment_boundaries(x, p, cost)) for x in series.values())
+    months = spark.createDataFrame([(len(frames),)], "months long")
+    budget = 100 * counts(3.0) / len(frames)
+    least = detectors.least_penalty(detectors.segmentations(signal, ["id"], 0.3, 40.0, sigma, cost), months, budget).first()
+    assert counts(least["penalty"] + 1e-5) <= counts(3.0) < counts(max(0.3, least["penalty"] - 1e-5)) and least["penalty"] <= 3.0 and least["per100"] <= budget
 
 
 def test_onset_counts(spark):

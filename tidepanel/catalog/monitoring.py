@@ -594,13 +594,13 @@ def matched(spark, sf):
     An episode that began the month before the onset is none at the onset. Untreated units are scored once a seed, on the
     unaltered panel, as ``no_change``.
     """
-    rows = results(spark, sf, lead=1).withColumnRenamed("k", "m")
+    rows = results(spark, sf, lead=1)
     control = ~F.col("treated")
     rows = rows.filter(F.col("treated") | ((F.col("shift") == SHIFTS[0]) & (F.col("shape") == SHAPES[0])))
-    rows = rows.withColumn("active", F.when(control, F.col("base_alarm")).otherwise(F.col("changed_alarm"))).withColumn(
+    active = F.transform("path", lambda p: F.when(control, p["base_alarm"]).otherwise(p["changed_alarm"]))
+    begins = F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda k: F.get("_a", k + 1) & ~F.get("_a", k))  # the path starts one month early
+    found = rows.withColumn("_a", active).withColumn("found", begins).withColumn(
         "shape", F.when(control, "no_change").otherwise(F.col("shape"))).withColumn("shift", F.when(control, 0.0).otherwise(F.col("shift")))
-    unit = ["seed", "shift", "shape", "method", "id"]
-    found = detectors.alarm_episodes(rows, unit).filter("m >= 0").groupBy(*unit).agg(F.collect_list(F.when(F.col("episode"), F.col("m"))).alias("found"))
     months = lambda *k: F.array(*[F.lit(x) for x in k]).cast("array<int>")
     truth = F.when(F.col("shape") == "no_change", months()).when(F.col("shape") == "pulse", months(0, 1)).when(F.col("shape") == "ramp", months(1)).otherwise(months(0))
     split = F.when(F.col("seed") == SEEDS[0], "selection").otherwise("evaluation")
@@ -612,7 +612,17 @@ def _(spark, sf):
     return matched(spark, sf)
 
 
-@query("event_scores", "split:s method:s shape:s series:l tp:l fp:l fn:l precision:d recall:d f1:d onset_f1:d null_per100:d mean_signed_error:d mean_abs_error:d mean_onset_delay:d")
+#: Distances of the matched pairs and the delay of the onset, shape by shape; two starts are never adjacent.
+EVENTS = """ev AS (SELECT me.*, CASE shape WHEN 'step' THEN CASE WHEN f0 THEN 0 WHEN f1 THEN 1 ELSE 0 END WHEN 'ramp' THEN CASE WHEN f1 THEN 0 WHEN f2 THEN 1 WHEN f0 THEN -1 ELSE 0 END WHEN 'pulse' THEN f2::INT ELSE 0 END AS signed,
+ CASE shape WHEN 'step' THEN CASE WHEN f0 THEN 0 WHEN f1 THEN 1 END WHEN 'ramp' THEN CASE WHEN f1 THEN 0 WHEN f2 THEN 1 WHEN f0 THEN 0 END WHEN 'pulse' THEN CASE WHEN f0 THEN 0 WHEN f1 THEN 1 END END AS delay
+ FROM me JOIN mc USING(seed, shift, shape, method, id)),
+es AS (SELECT split, method, CASE WHEN grouping(shape)=1 THEN 'all' ELSE shape END AS shape, count(*) AS series, sum(ev.tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(ev.onset_tp) AS otp, sum(onset_fp) AS ofp, sum(onset_fn) AS ofn,
+ sum(CASE WHEN shape='no_change' THEN fp END) AS nf, count(*) FILTER (WHERE shape='no_change') AS nn, sum(signed) AS sg, sum(abs(signed)) AS ab, avg(delay) AS mean_onset_delay FROM ev GROUP BY GROUPING SETS ((split, method, shape), (split, method)))"""
+
+
+@query("event_scores", "split:s method:s shape:s series:l tp:l fp:l fn:l precision:d recall:d f1:d onset_f1:d null_per100:d mean_signed_error:d mean_abs_error:d mean_onset_delay:d", f"""
+WITH {MATCH}, {EVENTS} SELECT split, method, shape, series, tp, fp, fn, tp/nullif(tp+fp,0)::DOUBLE AS precision, tp/nullif(tp+fn,0)::DOUBLE AS recall, 2*tp/nullif(2*tp+fp+fn,0)::DOUBLE AS f1, 2*otp/nullif(2*otp+ofp+ofn,0)::DOUBLE AS onset_f1,
+ 100*nf/nullif(nn*{SPAN},0)::DOUBLE AS null_per100, sg/nullif(tp,0)::DOUBLE AS mean_signed_error, ab/nullif(tp,0)::DOUBLE AS mean_abs_error, mean_onset_delay FROM es""")
 def _(spark, sf):
     return detectors.event_scores(matched(spark, sf), ["split", "method"], SPAN)
 

@@ -396,63 +396,47 @@ def least_penalty(paths: DataFrame, months_observed: DataFrame, budget_per100: f
 
 
 # -- event matching -----------------------------------------------------------------------------
-def match_sorted(truth: list[int], found: list[int], tolerance: int) -> list[tuple[int, int]]:
-    """One-to-one pairs within the tolerance: most pairs first, then the least total distance.
+def best_matching(truth, found, tolerance: int) -> Column:
+    """One-to-one pairs of two ascending arrays within the tolerance: most pairs first, then the least total distance.
 
-    On a line an optimal matching never crosses, so a table over prefixes is enough.
+    On a line an optimal matching never crosses, so a fold over ``found`` carries the best matching with every prefix of ``truth``. Of equal
+    ones the later found month is paired.
     """
-    truth, found = sorted(set(truth)), sorted(set(found))
-    a, b = len(truth), len(found)
-    table = [[(0, 0)] * (b + 1) for _ in range(a + 1)]
-    for i in range(1, a + 1):
-        for j in range(1, b + 1):
-            options = [table[i - 1][j], table[i][j - 1]]
-            gap = abs(truth[i - 1] - found[j - 1])
-            if gap <= tolerance:
-                pairs, cost = table[i - 1][j - 1]
-                options.append((pairs - 1, cost + gap))
-            table[i][j] = min(options)
-    out, i, j = [], a, b
-    while i and j:
-        gap = abs(truth[i - 1] - found[j - 1])
-        pairs, cost = table[i - 1][j - 1]
-        if gap <= tolerance and table[i][j] == (pairs - 1, cost + gap):
-            out.append((truth[i - 1], found[j - 1]))
-            i, j = i - 1, j - 1
-        elif table[i][j] == table[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
+    pair = "array<struct<truth:int,found:int>>"
+    empty = F.struct(F.lit(0).alias("left"), F.lit(0).alias("cost"), F.array().cast(pair).alias("pairs"))
+    rank = lambda s: F.struct(s["left"], s["cost"])
+
+    def take(row, f):
+        def extend(done, t):
+            i = F.size(done)
+            skip_truth, skip_found, before = F.get(done, i - 1), F.get(row, i), F.get(row, i - 1)
+            gap = F.abs(t - f)
+            paired = F.struct((before["left"] - 1).alias("left"), (before["cost"] + gap).alias("cost"),
+                              F.concat(before["pairs"], F.array(F.struct(t.alias("truth"), f.alias("found")))).alias("pairs"))
+            skipped = F.when(rank(skip_truth) <= rank(skip_found), skip_truth).otherwise(skip_found)
+            return F.concat(done, F.array(F.when((gap <= tolerance) & (rank(paired) <= rank(skipped)), paired).otherwise(skipped)))
+
+        return F.aggregate(truth, F.array(empty), extend)
+
+    return F.aggregate(found, F.transform(F.sequence(F.lit(0), F.size(truth)), lambda _: empty), take, lambda row: F.element_at(row, -1)["pairs"])
 
 
 def match_events(df: DataFrame, keys: list[str], tolerance: int = 1) -> DataFrame:
-    """Adds matched pairs and onset counts to rows with ``truth`` and ``found`` month arrays.
+    """Adds matched pairs and onset counts to rows with ``truth`` and ``found`` month arrays; all in the JVM.
 
     Onset counts score the first true boundary only; a return boundary that is found is neutral.
     """
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in keys) + (
-        ", matches array<struct<truth:int,found:int>>, tp int, fp int, fn int, onset_tp int, onset_fp int, onset_fn int, onset_delay int")
-
-    def run(batches):
-        for pdf in batches:
-            out = pdf[keys].copy()
-            rows = []
-            for truth, found in zip(pdf["truth"], pdf["found"]):
-                truth, found = sorted({int(x) for x in truth}), sorted({int(x) for x in found})
-                pairs = match_sorted(truth, found, tolerance)
-                onset = match_sorted(truth[:1], found, tolerance)
-                used = {b for _, b in onset}
-                rest = [f for f in found if f not in used]
-                neutral = match_sorted(truth[1:], rest, tolerance)
-                rows.append(([{"truth": a, "found": b} for a, b in pairs], len(pairs), len(found) - len(pairs), len(truth) - len(pairs),
-                             len(onset), len(rest) - len(neutral), len(truth[:1]) - len(onset), max(0, onset[0][1] - onset[0][0]) if onset else None))
-            for i, name in enumerate(["matches", "tp", "fp", "fn", "onset_tp", "onset_fp", "onset_fn", "onset_delay"]):
-                out[name] = pd.array([r[i] for r in rows], dtype="Int32") if i else [r[i] for r in rows]
-            yield out
-
-    return df.select(*keys, F.coalesce("truth", F.array().cast("array<int>")).alias("truth"), F.coalesce("found", F.array().cast("array<int>")).alias("found")).mapInPandas(run, schema)
+    months = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<int>")).cast("array<int>")))
+    rows = df.select(*keys, months("truth").alias("truth"), months("found").alias("found"))
+    rows = rows.withColumn("matches", best_matching("truth", "found", tolerance)).withColumn("_on", best_matching(F.slice("truth", 1, 1), "found", tolerance))
+    rows = rows.withColumn("_rest", F.array_except("found", F.transform("_on", lambda p: p["found"])))
+    rows = rows.withColumn("_neutral", F.size(best_matching(F.slice("truth", 2, F.size("truth")), "_rest", tolerance)))
+    tp, on = F.size("matches"), F.size("_on")
+    first = F.get("_on", F.lit(0))
+    return rows.select(
+        *keys, "matches", tp.alias("tp"), (F.size("found") - tp).alias("fp"), (F.size("truth") - tp).alias("fn"), on.alias("onset_tp"),
+        (F.size("_rest") - F.col("_neutral")).alias("onset_fp"), (F.least(F.size("truth"), F.lit(1)) - on).alias("onset_fn"),
+        F.when(on > 0, F.greatest(F.lit(0), first["found"] - first["truth"])).alias("onset_delay"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
