@@ -122,7 +122,10 @@ class Automata:
 
 
 def train(docs: DataFrame) -> Automata:
-    """Automata of each ``lang`` in ``docs`` (doc_id, text, lang) outside the held-out fold; of whole texts chosen by a hash of the id."""
+    """Automata of each ``lang`` in ``docs`` (doc_id, text, lang) outside the held-out fold; of texts chosen by a hash of the id.
+
+    They are whole, but where all of a language exceed its share the shortest is taken up to that share.
+    """
     open_ = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_of_id(F.col("doc_id")) % FOLDS != 0)
     best = Window.partitionBy("lang").orderBy("h", "doc_id")
     listed = open_.select("lang", "doc_id", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("h")).where("bytes > 0").withColumn(
@@ -134,13 +137,14 @@ def train(docs: DataFrame) -> Automata:
         if used.get(r["lang"], 0) + r["bytes"] <= most:
             chosen.setdefault(r["lang"], []).append(r["doc_id"])
             used[r["lang"]] = used.get(r["lang"], 0) + r["bytes"]
-    for r in listed:
-        chosen.setdefault(r["lang"], [r["doc_id"]])  # all are longer: the first, whole
+    for r in sorted(listed, key=lambda r: (r["bytes"], r["nth"])):
+        chosen.setdefault(r["lang"], [r["doc_id"]])
     ids = sorted({i for x in chosen.values() for i in x})
     texts: dict[str, set[str]] = {}
-    for r in open_.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", "text").distinct().collect() if ids else []:
+    part = F.expr(f"substring(cast(text as binary), 1, {most})").alias("part")  # what reaches the driver is bounded by the share
+    for r in open_.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", part).distinct().collect() if ids else []:
         if r["doc_id"] in chosen.get(r["lang"], ()):
-            texts.setdefault(r["lang"], set()).add(r["text"])
+            texts.setdefault(r["lang"], set()).add(bytes(r["part"]).decode(errors="ignore"))
     return Automata({name: "\n".join(sorted(x)).encode() for name, x in texts.items()})
 
 

@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees |
     chosen = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y")).orderBy(
         F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")  # at most ``most`` rows
-    found = rows.mapInArrow(_counted, "y double, " + ", ".join(f"{c} long" for c in COUNTS)).orderBy("y", *COUNTS).limit(2 * most).toPandas()
+    found = rows.mapInArrow(_counted, "y double, " + ", ".join(f"{c} long" for c in COUNTS)).orderBy(
+        F.xxhash64(*COUNTS), "y", *COUNTS).limit(2 * most).toPandas().sort_values(["y", *COUNTS])  # rows that repeat are cut without regard to labels
     if found.empty or found["y"].nunique() < 2:
         return None
     return fit_trees(features(found[list(COUNTS)].to_numpy()), found["y"].to_numpy())

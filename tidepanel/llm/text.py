@@ -1,8 +1,8 @@
 """Words, lines and shingles of whole texts as hashed numpy arrays, read straight from Arrow buffers.
 
 Everything works on the UTF-8 bytes of a slice of rows at once. White space is the six ASCII characters
-``[\\x20\\x09-\\x0D]``, which never occur inside a longer UTF-8 sequence. Hashes are 64-bit sums of random
-byte values times powers of an odd base, finished by a mixer; they are equal on every machine.
+``[\\x20\\x09-\\x0D]``, which never occur inside a longer UTF-8 sequence. Hashes of spans are 64-bit sums of a mixed value for
+each byte and its place, as if drawn from a table; they are equal on every machine.
 """
 from __future__ import annotations
 
@@ -35,6 +35,7 @@ def byte_values(seed: int, lower: bool) -> np.ndarray:
 
 EXACT, EXACT_2, LOWER = byte_values(1, False), byte_values(2, False), byte_values(1, True)
 _powers = np.ones(1, np.uint64)
+_places = np.zeros(0, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
@@ -46,6 +47,14 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def places(n: int) -> np.ndarray:
+    """A random value for each place in a span."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64) * U(0xA0761D6478BD642F))
+    return _places
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -106,7 +115,11 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = EXACT) -> np.ndarray:
-    """A hash of each span of bytes; spans don't overlap and ascend."""
+    """A hash of each span of bytes; spans don't overlap and ascend.
+
+    The value of a byte is mixed with that of its place before it is added: a plain sum of powers would take some words of the same bytes
+    in another order as equal, whatever the values are.
+    """
     lens = ends - starts
     out = np.zeros(len(lens), np.uint64)
     full = lens > 0
@@ -114,7 +127,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
         many = lens[full]
         first = np.cumsum(many) - many
         local = np.arange(int(many.sum())) - np.repeat(first, many)
-        terms = values[data[local + np.repeat(starts[full], many)]] * powers(int(many.max()))[local]
+        terms = values[data[local + np.repeat(starts[full], many)]]
+        terms += places(int(many.max()))[local]
+        terms ^= terms >> U(32)
+        terms *= U(0xBF58476D1CE4E5B9)
+        terms ^= terms >> U(29)
         out[full] = np.add.reduceat(terms, first)
     return mix(out + lens.astype(np.uint64) * U(0x9E3779B97F4A7C15))
 

@@ -381,7 +381,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         F.desc("w"), F.desc("t"), "feature").limit(FEATURES).toPandas()
     out["weights"] = dict(zip(best["feature"], best["w"]))
     weights = spark.sparkContext.broadcast(out["weights"])
-    seen = second.mapInArrow(_evidence_rows(weights, model), "y long, best double, total double").orderBy("y", "best", "total").limit(2 * TRAIN_ROWS).toPandas()
+    seen = second.mapInArrow(_evidence_rows(weights, model), "y long, best double, total double").orderBy(
+        F.xxhash64("best", "total"), "y", "best", "total").limit(2 * TRAIN_ROWS).toPandas().sort_values(["y", "best", "total"])  # cut without regard to labels
     if len(seen) and seen["y"].nunique() == 2:
         out["fit"] = _logistic(_inputs(seen["best"].to_numpy(), seen["total"].to_numpy()), seen["y"].to_numpy(float))
     return out
