@@ -171,7 +171,7 @@ def stream_signal(spark, sf):
     return days.join(static, "id").select("id", "ts", "d", (F.log("value") - F.col("a")).alias("z"))
 
 
-from tidepanel.catalog.monitoring import scores_sql  # noqa: E402
+from tidepanel.catalog.monitoring import bocpd_sql, scores_sql  # noqa: E402
 
 
 def detected(spark, sf):
@@ -195,12 +195,13 @@ st AS (SELECT id, i, m, x, false AS act, 0 AS cnt, 0.0::DOUBLE AS anchor, 0.0::D
  UNION ALL SELECT id, i, m, x, ab AND NOT (ab AND NOT valid) AND NOT (valid AND c2>=3), CASE WHEN (ab AND NOT valid) OR (valid AND c2>=3) THEN 0 ELSE c2 END, a2, d2, s2, valid AND c2>=3, ab AND NOT valid FROM (
   SELECT *, CASE WHEN s2 THEN 0 ELSE c0 END + valid::INT AS c2 FROM (SELECT *, ab AND (x-a2)*d2>1.0 AS valid FROM (SELECT *, a0 OR s2 AS ab, CASE WHEN s2 THEN px ELSE anchor END AS a2, CASE WHEN s2 THEN sign(x-px) ELSE dir END AS d2 FROM (
    SELECT l.id, l.i, l.m, l.x, st.x AS px, anchor, dir, CASE WHEN l.m=st.m+1 THEN cnt ELSE 0 END AS c0, act AND l.m=st.m+1 AS a0, l.m=st.m+1 AND NOT act AND abs(l.x-st.x)>1.0 AS s2 FROM st JOIN lv l ON l.id=st.id AND l.i=st.i+1)))))
-SELECT id, m AS d, 'trigger' AS event, dir AS direction FROM st WHERE trig UNION ALL SELECT id, m, 'confirm', dir FROM st WHERE conf UNION ALL SELECT id, m, 'reject', dir FROM st WHERE rej""")
+SELECT id, m AS d, 'trigger' AS event, dir AS direction FROM st WHERE trig UNION ALL SELECT id, m, 'confirm', dir FROM st WHERE conf UNION ALL SELECT id, m, 'reject', dir FROM st WHERE rej
+UNION ALL SELECT id, m, 'pending', dir FROM st WHERE act AND m+2<=(SELECT max(m) FROM lv) AND NOT EXISTS (SELECT 1 FROM lv WHERE lv.id=st.id AND lv.m=st.m+1)""")
 def _(spark, sf):
     return ops.run_to_table(ops.stream_confirm(stream_signal(spark, sf), 1.0), "confirm")
 
 
-@query("stream_bocpd", "id:l d:l score:d")
+@query("stream_bocpd", "id:l d:l score:d", f"WITH RECURSIVE {SZ}, {bocpd_sql('sz', '0.8::DOUBLE')} SELECT sz.id, sz.m AS d, score FROM sz LEFT JOIN bo USING(id, m)")
 def _(spark, sf):
     return ops.run_to_table(ops.stream_bocpd(stream_signal(spark, sf), 0.8), "bocpd")
 

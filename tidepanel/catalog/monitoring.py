@@ -7,6 +7,7 @@ from tidepanel.catalog.common import base_forecasts
 from tidepanel.catalog.forecasts import inputs
 from tidepanel.catalog.kit import FIRST, LAST, MIN_REGION, YEAR, query
 from tidepanel.functions import scalars
+from tidepanel.schema import DetectorSettings
 from tidepanel.operators import backtest, detectors, forecast, prep, signals
 from tidepanel.operators.quantiles import bounded_median
 from tidepanel.sources import tables
@@ -293,7 +294,25 @@ def _(spark, sf):
     return detectors.window_detection(alarm_rows(spark, sf), ["method"], (WATCH, LAST), (ONSET, ONSET + 1), ["id"], F.lit(True))
 
 
-@query("score_bocpd", "id:l m:l z:d score:d")
+def bocpd_sql(rel: str, sigma: str, name: str = "bo") -> str:
+    """Run posteriors of observed rows (id, m, z), one row a step: log weight, mean and scale of every length. Needs WITH RECURSIVE."""
+    s = DetectorSettings()
+    density = lambda mean, scale, n: (f"(lgamma({s.bocpd_alpha}+({n})/2.0+0.5)-lgamma({s.bocpd_alpha}+({n})/2.0)-0.5*ln(2*({s.bocpd_alpha}+({n})/2.0)*pi())-0.5*ln({scale}*(1+1.0/({s.bocpd_kappa}+({n})))/({s.bocpd_alpha}+({n})/2.0))"
+                                      f"-({s.bocpd_alpha}+({n})/2.0+0.5)*ln(1+(z-{mean})*(z-{mean})/(2*({s.bocpd_alpha}+({n})/2.0)*({scale}*(1+1.0/({s.bocpd_kappa}+({n})))/({s.bocpd_alpha}+({n})/2.0)))))")
+    mean = lambda mean, n: f"({mean}+(z-{mean})/({s.bocpd_kappa}+({n})+1.0))"
+    scale = lambda mean, scale, n: f"({scale}+0.5*(1-1.0/({s.bocpd_kappa}+({n})+1.0))*(z-{mean})*(z-{mean}))"
+    mu, fresh = f"{s.bocpd_mu}::DOUBLE", f"({sigma})*({sigma})"
+    begin = f"[{mean(mu, 0)}]", f"[{scale(mu, fresh, 0)}]"
+    grown = f"list_prepend({mean(mu, 0)}, list_transform(mu, lambda v, n: {mean('v', 'n')}))", f"list_prepend({scale(mu, fresh, 0)}, list_transform(mu, lambda v, n: {scale('v', 'sc[n]', 'n')}))"
+    joint = f"list_prepend(ln({s.bocpd_hazard!r}::DOUBLE)+{density(mu, fresh, 0)}, list_transform(lp, lambda v, n: v+ln(1-{s.bocpd_hazard!r}::DOUBLE)+{density('mu[n]', 'sc[n]', 'n')}))"
+    return f"""{name}l AS (SELECT id, m, z::DOUBLE AS z, row_number() OVER (PARTITION BY id ORDER BY m) AS i FROM {rel} WHERE z IS NOT NULL),
+{name} AS (SELECT id, i, m, NULL::DOUBLE AS score, [0.0::DOUBLE] AS lp, {begin[0]} AS mu, {begin[1]} AS sc FROM {name}l WHERE i=1
+ UNION ALL SELECT id, i, m, CASE WHEN goes THEN exp(jt[1]-tot) END, CASE WHEN goes THEN list_transform(jt, lambda v: v-tot) ELSE [0.0::DOUBLE] END, CASE WHEN goes THEN {grown[0]} ELSE {begin[0]} END, CASE WHEN goes THEN {grown[1]} ELSE {begin[1]} END
+ FROM (SELECT *, list_max(jt)+ln(list_sum(list_transform(jt, lambda v: exp(v-list_max(jt))))) AS tot FROM (SELECT l.id, l.i, l.m, z, lp, mu, sc, l.m=b.m+1 AS goes, {joint} AS jt FROM {name} b JOIN {name}l l ON l.id=b.id AND l.i=b.i+1)))"""
+
+
+@query("score_bocpd", "id:l m:l z:d score:d", f"""
+WITH RECURSIVE {BASE}, {MAD}, sg AS (SELECT greatest(1.4826::DOUBLE*median(mad),0.02) AS sigma FROM md), {bocpd_sql('zz', 'SELECT sigma FROM sg')} SELECT zz.id, zz.m, zz.z, score FROM zz LEFT JOIN bo USING(id, m)""")
 def _(spark, sf):
     s = level_signal(spark, sf)
     return detectors.score_bocpd(s, ["id"], signals.prior_sigma(s, CAL, 1.4826, 0.02))

@@ -7,18 +7,23 @@ the checkpoint in the shared folder.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import date
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from tidepanel.operators.detectors import RunPosterior
 from tidepanel.schema import DetectorSettings
 from tidepanel.session import scratch_path
 
 EPOCH = "2023-12-31"
+EPOCH_DAY, DAY_MS = (date.fromisoformat(EPOCH) - date(1970, 1, 1)).days, 86_400_000
+#: Last day of a state that has seen none.
+NEVER = -10**6
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -87,23 +92,55 @@ def daily(obs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return out.select("id", day.alias("ts"), F.datediff(day.cast("date"), F.lit(EPOCH).cast("date")).alias("d"), "value")
 
 
-def per_id_state(days: DataFrame, step: Callable, state_schema: str, initial: tuple, out_schema: str) -> DataFrame:
-    """Carry ``state`` through the days of each id in order: step(state, d, row) → (state, [output rows])."""
-    names = [f.strip().split(" ")[0] for f in out_schema.split(",")]
+class PerId(StatefulProcessor):
+    """Carries typed state through the days of an id in order: step(state, d, row) → (state, [output rows]).
+
+    A day can be missing for good only once the watermark has passed its end, so a timer stands at the end of the day after the last one
+    seen. When it fires, the run is over: ``ended(state)`` says what is still to be told, and the state goes. A gap between two days that
+    arrive together ends the run the same way, so a replay in one batch or in many gives the same rows.
+    """
+
+    def __init__(self, step: Callable, ended: Callable, state: StructType, initial: tuple, names: list[str]):
+        self.step, self.ended, self.shape, self.initial, self.names = step, ended, state, initial, names
 
-    def advance(key, batches, state: GroupState):
-        current = state.get if state.exists else initial
-        frames = [pdf for pdf in batches if len(pdf)]
-        if frames:
-            pdf = pd.concat(frames).sort_values("d")
-            rows = []
-            for row in pdf.to_dict("records"):
-                current, produced = step(current, int(row["d"]), row)
-                rows += [(key[0], *p) for p in produced]
-            state.update(current)
-            yield pd.DataFrame(rows, columns=names)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.run = handle, handle.getValueState("run", self.shape)
 
-    return days.groupBy("id").applyInPandasWithState(advance, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    def _frame(self, key, rows) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=self.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        current = tuple(self.run.get()) if self.run.exists() else self.initial
+        frames = [pdf for pdf in rows if len(pdf)]
+        out = []
+        for row in pd.concat(frames).sort_values("d").to_dict("records") if frames else []:
+            d = int(row["d"])
+            if current[0] != d - 1:  # every state begins with the last day
+                out += self.ended(current)
+                current = self.initial
+            current, produced = self.step(current, d, row)
+            out += produced
+        self.run.update(current)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(DAY_MS * (EPOCH_DAY + current[0] + 2))
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self.ended(tuple(self.run.get())) if self.run.exists() else []
+        self.run.clear()
+        yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def per_id_state(days: DataFrame, step: Callable, state_schema: str, initial: tuple, out_schema: str, ended: Callable = lambda state: [], delay: str = "1 hour") -> DataFrame:
+    """``PerId`` over a stream of (id, d, …), whose event time is the end of the day; output columns begin with the id."""
+    names = [f.strip().split(" ")[0] for f in out_schema.split(",")]
+    ends = F.timestamp_seconds((F.col("d").cast("long") + EPOCH_DAY + 1) * 86_400 - 1)
+    return days.withColumn("day_end", ends).withWatermark("day_end", delay).groupBy("id").transformWithStateInPandas(
+        PerId(step, ended, StructType.fromDDL(state_schema), initial, names), StructType.fromDDL(out_schema), "append", "eventtime")
 
 
 def stream_detect(days: DataFrame, settings: DetectorSettings = DetectorSettings(), threshold: float = 0.5) -> DataFrame:
@@ -111,33 +148,27 @@ def stream_detect(days: DataFrame, settings: DetectorSettings = DetectorSettings
     alpha, drift = settings.ewma_alpha, settings.cusum_drift
 
     def step(state, d, row):
-        last, e, p, n, a, b, k, was = state
+        _, e, p, n, a, b, k, was = state
         x = float(row["z"])
-        if d != last + 1:
-            e = p = n = a = b = 0.0
-            k, was = 0, False
         e = alpha * x + (1 - alpha) * e
         p, n, k = max(0.0, p + x - drift), max(0.0, n - x - drift), k + 1
-        rolling = abs((x + (a if k > 1 else 0.0) + (b if k > 2 else 0.0)) / min(k, 3))
+        rolling = abs((x + a + b) / min(k, 3))
         active = abs(e) > threshold
-        out = (d, abs(x), rolling, abs(e), max(p, n), active, active and not was)
-        return (d, e, p, n, x, a, k, active), [out]
+        return (d, e, p, n, x, a, k, active), [(d, abs(x), rolling, abs(e), max(p, n), active, active and not was)]
 
     return per_id_state(
-        days, step, "last int, e double, p double, n double, a double, b double, k int, was boolean", (-10**6, 0.0, 0.0, 0.0, 0.0, 0.0, 0, False),
+        days, step, "last int, e double, p double, n double, a double, b double, k int, was boolean", (NEVER, 0.0, 0.0, 0.0, 0.0, 0.0, 0, False),
         "id long, d int, spike double, rolling_3m double, ewma double, cusum double, active boolean, episode boolean")
 
 
 def stream_confirm(days: DataFrame, threshold: float, needed: int = 3) -> DataFrame:
-    """Trigger, confirm and reject events; a gap in the days drops the open candidate."""
+    """Trigger, confirm and reject events, and pending for a candidate that is open when its run of days ends."""
 
     def step(state, d, row):
         last, prev, on, count, anchor, direction = state
         x = float(row["z"])
         out = []
-        if d != last + 1:
-            return (d, x, False, 0, 0.0, 0.0), out
-        if not on and abs(x - prev) > threshold:
+        if last != NEVER and not on and abs(x - prev) > threshold:
             on, count, anchor, direction = True, 0, prev, math.copysign(1.0, x - prev)
             out.append((d, "trigger", direction))
         if on:
@@ -151,8 +182,11 @@ def stream_confirm(days: DataFrame, threshold: float, needed: int = 3) -> DataFr
                 on, count = False, 0
         return (d, x, on, count, anchor, direction), out
 
+    def ended(state):
+        return [(state[0], "pending", state[5])] if state[2] else []
+
     return per_id_state(days, step, "last int, prev double, act boolean, count int, anchor double, direction double",
-                        (-10**6, 0.0, False, 0, 0.0, 0.0), "id long, d int, event string, direction double")
+                        (NEVER, 0.0, False, 0, 0.0, 0.0), "id long, d int, event string, direction double", ended)
 
 
 def stream_bocpd(days: DataFrame, sigma: float, settings: DetectorSettings = DetectorSettings()) -> DataFrame:
@@ -160,11 +194,11 @@ def stream_bocpd(days: DataFrame, sigma: float, settings: DetectorSettings = Det
 
     def step(state, d, row):
         last, *posterior = state
-        runs = RunPosterior(np.array([sigma]), settings, *(posterior if d == last + 1 else ()))
+        runs = RunPosterior(np.array([sigma]), settings, *(posterior if last != NEVER else ()))
         p = runs.observe(np.array([float(row["z"])]))[0]
         return (d, *(v[0].tolist() for v in (runs.logp, runs.mean, runs.scale))), [(d, None if not np.isfinite(p) else float(p))]
 
-    return per_id_state(days, step, "last int, logp array<double>, mean array<double>, scale array<double>", (-10**6, [], [], []), "id long, d int, score double")
+    return per_id_state(days, step, "last int, logp array<double>, mean array<double>, scale array<double>", (NEVER, [], [], []), "id long, d int, score double")
 
 
 def stream_event_context(days: DataFrame, context: DataFrame, threshold: float, factor: float) -> DataFrame:
