@@ -1,7 +1,7 @@
 """Checks that reject bad input. Each is one aggregate that returns the number of offending rows."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
@@ -25,6 +25,17 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """``df`` unchanged; a row for which ``condition`` is not true stops the job that reads it. Nothing runs before that."""
+    return df.filter(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def require_unique(df: DataFrame, keys: list[str], message: str | None = None) -> DataFrame:
+    """``df`` unchanged, with a check inside its plan: rows are counted per key where a join by these keys has to bring them together anyway."""
+    counted = df.withColumn("_times", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return require(counted, F.col("_times") == 1, message or f"duplicate {keys}").drop("_times")
+
+
 def bad_ids(df: DataFrame, column: str = "id") -> DataFrame:
     """Rows whose id is missing, negative or not integral."""
     x = F.col(column).cast("double")

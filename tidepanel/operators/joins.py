@@ -11,13 +11,12 @@ from tidepanel.session import cut_lineage
 
 
 def join_checked(left: DataFrame, right: DataFrame, keys: list[str], cardinality: str, how: str = "inner") -> DataFrame:
-    """``1:1`` or ``m:1`` equi join; a duplicated key on a side that must be unique is an error."""
+    """``1:1`` or ``m:1`` equi join; a duplicated key on a side that must be unique stops the job. Each input is read once."""
     if cardinality not in ("1:1", "m:1"):
         raise ValueError("cardinality must be 1:1 or m:1")
-    guards.assert_unique(right, keys)
     if cardinality == "1:1":
-        guards.assert_unique(left, keys)
-    return left.join(right, keys, how)
+        left = guards.require_unique(left, keys)
+    return left.join(guards.require_unique(right, keys), keys, how)
 
 
 def lookup_region(df: DataFrame, lookup: DataFrame, unmapped: str = "keep") -> DataFrame:
@@ -34,19 +33,19 @@ def year_ago_join(panel: DataFrame, columns: list[str], keys: list[str]) -> Data
 
 
 def match_errors(candidate: DataFrame, reference: DataFrame) -> DataFrame:
-    """Exact key equality, then error differences. Any one-sided key or differing actual is an error."""
-    left = guards.assert_unique(candidate.select(*FORECAST_KEYS, "actual", "predicted"), FORECAST_KEYS)
-    right = guards.assert_unique(reference.select(
+    """Exact key equality, then error differences. Any one-sided key or differing actual stops the job."""
+    left = guards.require_unique(candidate.select(*FORECAST_KEYS, "actual", "predicted"), FORECAST_KEYS)
+    right = guards.require_unique(reference.select(
         *FORECAST_KEYS, F.col("actual").alias("reference_actual"), F.col("predicted").alias("reference_predicted")), FORECAST_KEYS)
-    both = left.join(right, FORECAST_KEYS, "full_outer")
-    guards.assert_empty(both.filter("actual is null or reference_actual is null or actual <> reference_actual"), "keys or actuals differ")
+    both = guards.require(left.join(right, FORECAST_KEYS, "full_outer"), F.col("actual") == F.col("reference_actual"), "keys or actuals differ")
     ae, ref = scalars.abs_error(), scalars.abs_error("reference_actual", "reference_predicted")
     return both.select(*FORECAST_KEYS, ref.alias("reference_ae"), ae.alias("candidate_ae"), (ae - ref).alias("difference"))
 
 
 def match_frozen_keys(frozen: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    guards.assert_empty(frozen.join(fresh, keys, "left_anti"), "frozen keys are not covered")
-    return frozen.join(fresh, keys, "left")
+    """Fresh columns beside every frozen key; a key that fresh does not cover stops the job."""
+    both = frozen.join(fresh.withColumn("_covered", F.lit(True)), keys, "left")
+    return guards.require(both, F.col("_covered"), "frozen keys are not covered").drop("_covered")
 
 
 def actual_mismatches(fc: DataFrame, panel: DataFrame) -> DataFrame:
