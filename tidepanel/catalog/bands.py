@@ -104,9 +104,21 @@ def _(spark, sf):
     return intervals.calibration_for_origin(scaled(spark, sf))
 
 
-@query("intervals_adaptive", "id:l target:l alpha:d lower:d upper:d covered:b interval_score:d", digits=3)
+#: Every target with three months before it; the state of a month is one number, carried by recursion.
+ADAPTIVE = (FIRST + 15, LAST)
+
+
+@query("intervals_adaptive", "id:l target:l alpha:d lower:d upper:d covered:b interval_score:d", f"""
+WITH RECURSIVE {F1}, {SCALE}, fn AS (SELECT f.id, f.target, actual, predicted, greatest(mean_value,1.0::DOUBLE) AS norm FROM f JOIN sc USING(id)),
+own AS (SELECT target, list({{'a': actual, 'p': predicted, 'n': norm}}) AS rs FROM fn WHERE target BETWEEN {ADAPTIVE[0]} AND {ADAPTIVE[1]} GROUP BY target),
+past AS (SELECT own.target, list_sort(list(abs(actual-predicted)/norm)) AS ws FROM own JOIN fn ON fn.target BETWEEN own.target-3 AND own.target-1 GROUP BY own.target),
+st AS (SELECT {ADAPTIVE[0]}::BIGINT AS target, (1-0.8::DOUBLE) AS alpha, NULL::DOUBLE AS q
+ UNION ALL SELECT target+1, least(greatest(alpha+0.05::DOUBLE*((1-0.8::DOUBLE)-(1-list_avg(list_transform(rs, lambda r: (r.a BETWEEN greatest(r.p-qn*r.n,0) AND greatest(r.p+qn*r.n,0))::INT::DOUBLE)))), 0.005), 0.5), qn FROM (
+  SELECT st.target, alpha, rs, coalesce(ws[ceil((len(ws)+1)*(1-alpha))::BIGINT], 'infinity'::DOUBLE) AS qn FROM st JOIN own ON own.target=st.target JOIN past ON past.target=st.target)),
+iv AS (SELECT fn.*, a.alpha, b.q, greatest(predicted-b.q*norm,0) AS lower, greatest(predicted+b.q*norm,0) AS upper FROM fn JOIN st a ON a.target=fn.target JOIN st b ON b.target=fn.target+1)
+SELECT id, target, alpha, lower, upper, actual BETWEEN lower AND upper AS covered, upper-lower+2/(1-0.8::DOUBLE)*(greatest(lower-actual,0)+greatest(actual-upper,0)) AS interval_score FROM iv""", digits=3)
 def _(spark, sf):
-    return intervals.calibrate_adaptive(scaled(spark, sf), list(range(LAST - 11, LAST + 1)), 0.8, 0.05)
+    return intervals.calibrate_adaptive(scaled(spark, sf), list(range(ADAPTIVE[0], ADAPTIVE[1] + 1)), 0.8, 0.05)
 
 
 @query("widen_for_events", "id:l target:l event_known:b lower:d upper:d", f"""

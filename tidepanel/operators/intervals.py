@@ -5,6 +5,8 @@ target is decided on the month axis, then rows join by equality of the month.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.functions import scalars
@@ -126,31 +128,77 @@ def interval_summary(rows: DataFrame, group: str) -> DataFrame:
                      F.count("*").alias("dates"), F.sum("n").alias("rows")).crossJoin(F.broadcast(groups))
 
 
+#: Steps of a natural logarithm that a score is filed under, coarse and fine: 256 and 2^20 a unit.
+_COARSE, _FINE = 256, 1 << 20
+
+
+class RankIndex:
+    """Order statistics of a stored column over any months, without a sort of it.
+
+    The driver holds how many scores of a month fall under each coarse step of their logarithm: months × steps numbers. What is under one
+    step is counted by fine steps, and under one of these by value, only when asked for. The table is sorted by step, so such a
+    question reads a few of its row groups.
+    """
+
+    def __init__(self, rows: DataFrame):
+        step = lambda k: F.when(F.col("score") > 0, F.floor(F.log("score") * k)).otherwise(F.lit(-(1 << 40)))
+        self.rows = cut_lineage(rows.withColumns({"_coarse": step(_COARSE), "_fine": step(_FINE)}).repartitionByRange("_coarse", "target").sortWithinPartitions("_coarse", "target"), "ranked")
+        self.counts: dict[int, dict[int, int]] = {}
+        for r in self.rows.groupBy("target", "_coarse").agg(F.count("*").alias("n")).collect():
+            self.counts.setdefault(r["target"], {})[r["_coarse"]] = r["n"]
+
+    def _find(self, counts: dict, rank: int):
+        for key in sorted(counts):
+            if rank <= counts[key]:
+                return key, rank
+            rank -= counts[key]
+
+    def value(self, months: list[int], rank: int) -> float | None:
+        """The rank-th smallest score of ``months``; infinite beyond them, None without any."""
+        merged: dict[int, int] = {}
+        for m in months:
+            for key, n in self.counts.get(m, {}).items():
+                merged[key] = merged.get(key, 0) + n
+        if not merged:
+            return None
+        if rank > sum(merged.values()):
+            return float("inf")
+        coarse, rank = self._find(merged, rank)
+        under = self.rows.filter((F.col("_coarse") == coarse) & F.col("target").isin(months))
+        by = lambda df, c: {r[c]: r["count"] for r in df.groupBy(c).count().collect()}  # noqa: E731 at most 2^12 fine steps of a coarse one
+        if merged[coarse] > 1 << 12:
+            fine, rank = self._find(by(under, "_fine"), rank)
+            under = under.filter(F.col("_fine") == fine)
+        return self._find(by(under, "score"), rank)[0]
+
+    def size(self, months: list[int]) -> int:
+        return sum(sum(self.counts.get(m, {}).values()) for m in months)
+
+
 def calibrate_adaptive(fc: DataFrame, targets: list[int], coverage: float, gamma: float, window: int = 3,
                        low: float = 0.005, high: float = 0.5, floor: float = 1.0) -> DataFrame:
     """Feedback calibration: after each month α ← clip(α + γ·(α₀ − miss)), used from the next month on.
 
-    The recursion runs over the calendar; its state is one number, and each step is a distributed
-    order statistic plus one average over the scores, which are written once.
+    The recursion runs over the calendar and its state is one number. A month asks ``RankIndex`` for one order statistic of the months
+    before it and counts its own rows outside the bounds.
     """
     nominal = 1 - coverage
     rows = fc.withColumn("norm", normaliser("scaled_mean", floor)).withColumn("score", scalars.abs_error() / F.col("norm"))
-    rows = cut_lineage(rows.select("id", "target", "actual", "predicted", "norm", "score"), "scores")
+    index = RankIndex(rows.select("id", "target", "actual", "predicted", "norm", "score"))
     alpha, issued = nominal, []
     for target in targets:
-        past = rows.filter(F.col("target").between(target - window, target - 1))
-        q = finite_quantile(past, [], "score", 1 - alpha).select("q")
-        test = rows.filter(F.col("target") == target).crossJoin(F.broadcast(q))
-        for name, c in bounds("predicted", F.col("q") * F.col("norm")).items():
-            test = test.withColumn(name, c)
-        test = test.withColumn("covered", F.col("actual").between(F.col("lower"), F.col("upper")))
-        state = test.agg(F.max("q").alias("q"), F.avg(F.col("covered").cast("double")).alias("covered")).first()
-        if state["q"] is None:
+        past = [target - k for k in range(1, window + 1)]
+        q = index.value(past, math.ceil((index.size(past) + 1) * (1 - alpha)))
+        own = index.rows.filter(F.col("target") == target)
+        for name, c in bounds("predicted", F.lit(q) * F.col("norm")).items():
+            own = own.withColumn(name, c)
+        covered = own.agg(F.avg(F.col("actual").between(F.col("lower"), F.col("upper")).cast("double"))).first()[0] if q is not None else None
+        if covered is None:
             raise ValueError("missing calibration or evaluation month")
-        issued.append((target, float(alpha), float(state["q"])))
-        alpha = min(max(alpha + gamma * (nominal - (1 - state["covered"])), low), high)
+        issued.append((target, float(alpha), float(q)))
+        alpha = min(max(alpha + gamma * (nominal - (1 - covered)), low), high)
     steps = literal_table(fc.sparkSession, issued, "target int, alpha double, q double")
-    out = rows.join(F.broadcast(steps), "target")
+    out = index.rows.drop("_coarse", "_fine").join(F.broadcast(steps), "target")
     for name, c in bounds("predicted", F.col("q") * F.col("norm")).items():
         out = out.withColumn(name, c)
     return out.withColumn("covered", F.col("actual").between(F.col("lower"), F.col("upper"))).withColumn(
