@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.catalog.monitoring import scores_sql
 from tidepanel.catalog.kit import query
 from tidepanel.functions import scalars
 from tidepanel.operators import detectors, events, text
@@ -149,6 +150,32 @@ def _(spark, sf):
         F.count("*").alias("rows"), F.percentile("news_to_alert_days", 0.5).alias("median_days"), F.min("news_to_alert_days").alias("min_days"), F.max("news_to_alert_days").alias("max_days")).fillna(-1)
 
 
+METHOD_LEADS = f"""mq AS (SELECT id, m, z FROM mz WHERE z IS NOT NULL), {scores_sql('mq', 'id')}, mh AS (SELECT method, quantile_cont(score,0.9) AS threshold FROM scm WHERE m<={CALIBRATION} AND score IS NOT NULL GROUP BY method),
+al AS (SELECT id, m, method FROM scm JOIN mh USING(method) WHERE m>{CALIBRATION} AND score>threshold), ob AS (SELECT id, max(m) AS last_observed FROM rows_ WHERE value>0 GROUP BY id),
+ld AS (SELECT ev.claim_id, ev.id, method, lag, available, last_observed, (SELECT min(m) FROM al WHERE al.id=ev.id AND al.method=mh.method AND m>=greatest(available,event_start) AND m+1+lag>=available) AS hit,
+ (SELECT min(m) FROM rows_ r WHERE r.id=ev.id AND value>0 AND m>=greatest(available,event_start) AND m+1+lag>=available) AS shown FROM ev CROSS JOIN mh CROSS JOIN (SELECT unnest([0,1,2]) AS lag) LEFT JOIN ob ON ob.id=ev.id),
+lm AS (SELECT *, CASE WHEN available>last_observed+1+lag THEN 'outside_window' WHEN hit IS NOT NULL THEN 'subsequent_alert' ELSE 'right_censored' END AS status FROM ld)"""
+
+
+def method_leads(spark, sf):
+    """Four detectors on the daily signal around the mean of the calibration days, each with its own pooled threshold."""
+    rows = day_rows(spark, sf).filter("value > 0").withColumn("x", F.log("value"))
+    mean = rows.filter(F.col("m") <= CALIBRATION).groupBy("id").agg(F.avg("x").alias("a"))
+    scored = detectors.by_method(detectors.scores(rows.join(mean, "id").select("id", "m", (F.col("x") - F.col("a")).alias("z")), ["id"]), ["id"])
+    limits = detectors.threshold_pooled(scored, (0, CALIBRATION), 0.9).select("method", "threshold")
+    active = detectors.alarms(scored.filter(F.col("m") > CALIBRATION).join(F.broadcast(limits), "method")).filter("active")  # one row a method
+    return events.lead_by_method(day_events(spark, sf), active, rows, day_rows(spark, sf).select("id").distinct(), list(detectors.METHODS), [0, 1, 2])
+
+
+@query("lead_by_method", "method:s lag:l status:s rows:l alarms:l alert_days:l data_rows:l data_days:l", f"""
+WITH {DAYS}, {MON}, {METHOD_LEADS} SELECT method, lag, status, count(*) AS rows, count(*) FILTER (WHERE status='subsequent_alert') AS alarms, coalesce(sum(CASE WHEN status='subsequent_alert' THEN hit+1+lag-available END),0) AS alert_days,
+ count(*) FILTER (WHERE status<>'outside_window' AND shown IS NOT NULL) AS data_rows, coalesce(sum(CASE WHEN status<>'outside_window' THEN shown+1+lag-available END),0) AS data_days FROM lm GROUP BY ALL""")
+def _(spark, sf):
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return method_leads(spark, sf).groupBy("method", "lag", "status").agg(
+        F.count("*").alias("rows"), F.count("alarm_target").alias("alarms"), zero("news_to_alert_days").alias("alert_days"), F.count("news_to_data_days").alias("data_rows"), zero("news_to_data_days").alias("data_days"))
+
+
 @query("first_after", "claim_id:l id:l first_episode:d censored:b lag:l", f"""
 WITH {DAYS}, {MON} SELECT claim_id, id, lag, f AS first_episode, f IS NULL AS censored FROM (SELECT ev.claim_id, ev.id, lag, (SELECT min(m) FROM ma WHERE ma.id=ev.id AND active AND m>=event_start AND m+1+lag>=available) AS f FROM ev CROSS JOIN (SELECT unnest([0,1]) AS lag))""")
 def _(spark, sf):

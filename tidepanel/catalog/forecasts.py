@@ -293,7 +293,8 @@ def _mean_of_last_year(histories, horizon):
     return np.repeat(histories[:, -12:].mean(axis=1, keepdims=True), horizon, axis=1)
 
 
-HOOK_ORIGINS = [12 * y + 11 for y in range(1996, 2001)]
+#: Every month from the end of the profile year on.
+HOOK_ORIGINS = list(range(12 * 1996 + 11, 12 * 2000 + 12))
 
 
 @query("forecast_with", "id:l origin:l target:l horizon:l predicted:d", f"""

@@ -539,6 +539,7 @@ def _(spark, sf):
     return backtest.choose_under_capacity(calendar(spark, sf).filter("lag = 1 and shape = 'step'"), [20261001], 20.0, 0.0, "new_by_third", "base_control_per100")
 
 
+LOCAL_SEEDS = list(SEEDS[:3])
 LV_KEYS = "scope, scenario, shift, shape"
 LV_U = "('0x'||substr(sha256(scenario||':'||{id}),1,12))::UBIGINT::DOUBLE/281474976710656"
 
@@ -554,7 +555,7 @@ def levels_sql(src, keys, name):
 
 LEVEL_STRESS = f"""kn AS (SELECT panel.* FROM panel JOIN (SELECT id FROM panel WHERE m BETWEEN {FIRST} AND {ONSET-1} AND value>0 GROUP BY id HAVING count(*)={ONSET-FIRST}) USING(id) WHERE m<={LASTK}),
 mem AS (SELECT id, region FROM lookup WHERE region IS NOT NULL AND id IN (SELECT id FROM kn)),
-scp AS (SELECT 'national' AS scope, 'all' AS scenario UNION ALL SELECT 'local', '{SEEDS[0]}' UNION ALL SELECT 'regional', region::VARCHAR FROM (SELECT region FROM mem GROUP BY region HAVING count(*)>={MIN_REGION} ORDER BY count(*) DESC, region LIMIT 3)),
+scp AS (SELECT 'national' AS scope, 'all' AS scenario UNION ALL SELECT 'local', unnest({[str(x) for x in LOCAL_SEEDS]}) UNION ALL SELECT 'regional', region::VARCHAR FROM (SELECT region FROM mem GROUP BY region HAVING count(*)>={MIN_REGION} ORDER BY count(*) DESC, region LIMIT 3)),
 ch AS (SELECT {LV_KEYS}, id, m, value*CASE WHEN m>={ONSET} AND coalesce(scope='national' OR (scope='regional' AND region::VARCHAR=scenario) OR (scope='local' AND {LV_U.format(id='id')}<0.25), false)
   THEN CASE shape WHEN 'step' THEN 1+shift ELSE 1+shift*(m-{ONSET})/5.0::DOUBLE END ELSE 1 END AS value
  FROM kn LEFT JOIN mem USING(id) CROSS JOIN scp CROSS JOIN (SELECT unnest([-0.2,0.2]::DOUBLE[]) AS shift) CROSS JOIN (SELECT unnest(['step','ramp']) AS shape)),
@@ -573,7 +574,7 @@ jd AS (SELECT fd.*, base, coalesce(CASE level WHEN 'national' THEN scope='nation
 WITH {LEVEL_STRESS} SELECT {LV_KEYS}, level, method, scope=level AS intended, count(*) FILTER (WHERE target) AS target_units, count(*) FILTER (WHERE NOT target) AS control_units, avg(found) FILTER (WHERE target) AS target_rate,
  avg(base) FILTER (WHERE target) AS target_base_rate, avg((found=1 AND base=0)::INT) FILTER (WHERE target) AS target_new_rate, avg(found) FILTER (WHERE NOT target) AS control_rate, median(delay) FILTER (WHERE target) AS median_delay FROM jd GROUP BY ALL""")
 def _(spark, sf):
-    return backtest.level_stress(cohort_panel(spark, sf), tables.supplier_lookup(spark, sf), ONSET, BT_CAL, MIN_REGION, [-0.2, 0.2], ["step", "ramp"], 20261001)
+    return backtest.level_stress(cohort_panel(spark, sf), tables.supplier_lookup(spark, sf), ONSET, BT_CAL, MIN_REGION, [-0.2, 0.2], ["step", "ramp"], LOCAL_SEEDS)
 
 
 @query("induced_error_path", "shift:d k:l induced:d", f"""

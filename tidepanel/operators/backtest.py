@@ -260,8 +260,8 @@ def induced_error_path(base: DataFrame, changed: DataFrame, keys: list[str]) ->
 
 
 def level_stress(panel: DataFrame, regions: DataFrame, onset: int, cal: tuple[int, int], minimum: int, shifts: list[float], shapes: list[str],
-                 seed: int, settings: DetectorSettings = DetectorSettings(), span: int = 6) -> DataFrame:
-    """Shocks to the whole panel, to each of the three largest regions and to a quarter of the ids.
+                 seeds: list[int], settings: DetectorSettings = DetectorSettings(), span: int = 6) -> DataFrame:
+    """Shocks to the whole panel, to each of the three largest regions and, for every seed, to a quarter of the ids.
 
     Every level is judged at its own units only: (scope, scenario, shift, shape, level, method) rates.
     """
@@ -270,11 +270,11 @@ def level_stress(panel: DataFrame, regions: DataFrame, onset: int, cal: tuple[in
     known = panel.filter(F.col("m") <= last)
     members = regions.select("id", "region").filter("region is not null").join(known.select("id").distinct(), "id", "left_semi")
     largest = members.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") >= minimum).orderBy(F.desc("n"), "region").limit(3)
-    fixed = literal_table(spark, [("national", "all"), ("local", str(seed))], "scope string, scenario string")
+    fixed = literal_table(spark, [("national", "all"), *[("local", str(s)) for s in seeds]], "scope string, scenario string")
     scope = fixed.unionByName(largest.select(F.lit("regional").alias("scope"), F.col("region").cast("string").alias("scenario")))
     grid = literal_table(spark, [(float(s), h) for s in shifts for h in shapes], "shift double, shape string")
     keys = ["scope", "scenario", "shift", "shape"]
-    plan = F.broadcast(scope.crossJoin(F.broadcast(grid)))  # at most five scopes × the settings grid
+    plan = F.broadcast(scope.crossJoin(F.broadcast(grid)))  # four scopes and one a seed × the settings grid
     hit = (F.col("scope") == "national") | ((F.col("scope") == "regional") & (F.col("region").cast("string") == F.col("scenario"))) | (
         (F.col("scope") == "local") & (scalars.id_uniform(F.col("scenario"), "id") < 0.25))
     k = F.col("m") - onset

@@ -101,6 +101,33 @@ def lead_table(claims: DataFrame, alarms: DataFrame, observed: DataFrame, series
         F.when(ok, release(F.col("alarm_target")) - F.col("available")).alias("news_to_alert_days"), (F.col("available") - F.col("event_start")).alias("event_to_news_days"))
 
 
+def lead_by_method(claims: DataFrame, alarms: DataFrame, observed: DataFrame, series_ids: DataFrame, methods: list[str], lags: list[int]) -> DataFrame:
+    """``lead_table`` for each of ``methods``, beside the first observation that could have shown the event.
+
+    ``alarms`` is (id, method, m), ``observed`` (id, m); a method without any alarm of an id has a row all the same. The calendars of an
+    id, alarms by method among them, are one row, so claims are joined once and fan out to methods and lags behind the join.
+    """
+    own = alarms.groupBy("id", "method").agg(F.sort_array(F.collect_set("m")).alias("periods"))
+    own = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("method", "periods"))).alias("by_method"))
+    seen = observed.groupBy("id").agg(F.sort_array(F.collect_set("m")).alias("seen"))
+    none = F.array().cast("array<int>")
+    rows = claims.join(seen, "id", "left").join(own, "id", "left").join(series_ids.select("id", F.lit(True).alias("_has")), "id", "left")
+    rows = rows.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods]))).withColumn("lag", F.explode(F.array(*[F.lit(x) for x in lags])))
+    release = lambda p: p + 1 + F.col("lag")
+    anchor = F.greatest("available", F.coalesce("event_start", "available"))
+    first = lambda periods: F.get(F.filter(F.coalesce(periods, none), lambda p: (p >= anchor) & (release(p) >= F.col("available"))), F.lit(0))
+    last = F.element_at("seen", -1)
+    rows = rows.withColumns({"alarm_target": first(F.try_element_at("by_method", F.col("method"))), "_shown": first(F.col("seen"))})
+    status = (
+        F.when(F.col("id").isNull() | (F.col("seen").isNull() & F.col("_has").isNull()), "no_series").when(F.col("seen").isNull(), "not_eligible")
+        .when(F.col("available") > release(last), "outside_window").when(F.col("alarm_target").isNotNull(), "subsequent_alert").otherwise("right_censored"))
+    rows = rows.withColumn("status", status)
+    ok = F.col("status") == "subsequent_alert"
+    return rows.select("claim_id", "id", "method", "lag", "status", F.when(ok, F.col("alarm_target")).alias("alarm_target"),
+                       F.when(ok, release(F.col("alarm_target")) - F.col("available")).alias("news_to_alert_days"),
+                       F.when(F.col("status").isin("subsequent_alert", "right_censored"), release(F.col("_shown")) - F.col("available")).alias("news_to_data_days"))
+
+
 def coverage_status(ids: DataFrame, forecast_ids: DataFrame, series_ids: DataFrame) -> DataFrame:
     out = ids.join(forecast_ids.select("id", F.lit(1).alias("_f")), "id", "left").join(series_ids.select("id", F.lit(1).alias("_s")), "id", "left")
     return out.withColumn("status", F.when(F.col("_f") == 1, "forecast").when(F.col("_s") == 1, "ineligible").otherwise("no_series")).drop("_f", "_s")
