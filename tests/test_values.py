@@ -270,6 +270,21 @@ def test_sinks(spark, tmp_path, panel_of):
     assert spark.read.parquet(path).count() == 3
     with pytest.raises(ValueError):
         sinks.write_resumable(df, path, ["m"], "v2")
+    computed = spark.sparkContext.accumulator(0)
+
+    def compute(rows):
+        def read(batches):
+            for batch in batches:
+                computed.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(read, rows.schema)
+
+    again = str(tmp_path / "again")
+    assert [sinks.write_resumable(df.filter(c), again, ["m"], "v1", compute) for c in ("m = 0", "m < 9", "m < 9")] == [1, 1, 0] and computed.value == 3
+    lost = str(tmp_path / "lost")  # rows that were written but never named
+    df.write.partitionBy("m").parquet(lost)
+    assert sinks.write_resumable(df, lost, ["m"], "v1") == 2 and spark.read.parquet(lost).count() == 3
     sinks.write_frozen(df, str(tmp_path / "frozen"))
     with pytest.raises(Exception):
         sinks.write_frozen(df, str(tmp_path / "frozen"))

@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepanel.catalog.common import base_forecasts
 from tidepanel.catalog.kit import FIRST, HORIZONS, LAST, YEAR, query
 from tidepanel.functions import months, scalars
 from tidepanel.operators import guards, prep
-from tidepanel.sources import sinks, tables
+from tidepanel.session import delete_at_exit, scratch_path
+from tidepanel.sources import panel as readers, sinks, tables
 
 CAL = 12 * 1998 + 11
 
@@ -21,15 +23,37 @@ def _(spark, sf):
     return tables.supplier_category_panel(spark, sf)
 
 
+def stored(spark, name, write) -> str:
+    """A path in the shared folder that ``write`` has filled; deleted when the application ends."""
+    path = scratch_path(spark, "files") + f"-{name}"
+    write(path)
+    delete_at_exit(spark, path)
+    return path
+
+
 @query("read_category_cutoff", "id:l m:l value:d",
        f"SELECT id, m, value FROM cpanel WHERE category='N' AND m<={CAL}")
 def _(spark, sf):
-    return prep.exclude_future(tables.supplier_category_panel(spark, sf).filter("category = 'N'"), CAL)
+    """The panel goes to a file and comes back through the reader, whose predicates reach the scan."""
+    panel = tables.supplier_category_panel(spark, sf)
+    path = stored(spark, "panel.parquet", lambda p: sinks.write_frozen(panel.select(
+        "id", "category", F.make_date(F.floor(F.col("m") / 12).cast("int"), F.col("m") % 12 + 1, F.lit(1)).alias("month"), "value", F.lit(None).cast("date").alias("available_from")), p))
+    return readers.with_month_index(readers.read_category_cutoff(spark, path, "N", f"{CAL // 12}-{CAL % 12 + 1:02d}-28"))
 
 
 @query("read_edges", "id_x:l id_y:l distance:d", "SELECT id_x, id_y, distance FROM edges WHERE type='A'")
 def _(spark, sf):
-    return tables.line_edges(spark, sf).filter("type = 'A'")
+    """Edges as CSV with twelve digits, read by their declared schema."""
+    path = stored(spark, "edges.csv", lambda p: sinks.write_csv(tables.line_edges(spark, sf).select("id_x", "id_y", "distance", "type"), p))
+    return readers.read_edges(spark, path, "A")
+
+
+@query("forecast_files", "id:l target:l horizon:l predicted:d", f"SELECT id, target, horizon, predicted FROM fc WHERE model='growth_bridge' AND origin={FIRST + 23}", digits=4)
+def _(spark, sf):
+    """Forecasts written by origin; one origin is one folder, and two columns of it are read."""
+    fc = base_forecasts(spark, sf, ["growth_bridge"])
+    path = stored(spark, "forecasts.parquet", lambda p: sinks.write_forecasts(fc.select("id", "origin", "target", "horizon", "predicted"), p))
+    return readers.read_columns(spark, path, ["id", "origin", "target", "horizon", "predicted"]).filter(F.col("origin") == FIRST + 23)
 
 
 @query("fingerprint", "n:l distinct_rows:l total:d",
@@ -54,13 +78,14 @@ def _(spark, sf):
 
 @query("resumable_units", "id:l m:l value:d", "SELECT id, m, value FROM panel")
 def _(spark, sf):
-    from tidepanel.session import scratch_path
-
-    path = scratch_path(spark, "units")
+    """A first run stores the months of the calibration, a second one only those that are missing."""
     panel = tables.supplier_panel(spark, sf)
-    sinks.write_resumable(panel.filter(F.col("m") <= CAL), path, ["m"], "v1")
-    sinks.write_resumable(panel, path, ["m"], "v1")
-    return spark.read.parquet(path)
+
+    def write(path):
+        sinks.write_resumable(panel.filter(F.col("m") <= CAL), path, ["m"], "v1")
+        sinks.write_resumable(panel, path, ["m"], "v1")
+
+    return spark.read.parquet(stored(spark, "units", write))
 
 
 @query("normalize_month", "id:l m:l label:s",

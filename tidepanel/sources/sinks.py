@@ -1,9 +1,13 @@
 """Writers: forecasts, frozen issues, resumable units, nested export, fingerprints."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidepanel.session import cut_lineage
+
 
 def write_forecasts(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).partitionBy("origin").parquet(path)
@@ -30,23 +34,25 @@ def _existing(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_resumable(df: DataFrame, path: str, unit: list[str], token: str) -> int:
-    """Append only the units that are not stored yet; a different token (inputs or settings) is refused.
+def write_resumable(df: DataFrame, path: str, unit: list[str], token: str, compute: Callable[[DataFrame], DataFrame] | None = None) -> int:
+    """Store the units of ``df`` that a commit log beside ``path`` does not name yet, each in its own folder.
 
-    Returns the number of units written by this call.
+    The log holds names of finished units and the token of their inputs and settings; another token is refused. Only unit columns are read
+    to find what is missing, and ``compute`` (source rows → stored rows, unit columns kept) sees missing units only. A unit is named after
+    its rows are written, so one that a failure left behind is written again over what there is. Returns how many were written.
     """
-    spark = df.sparkSession
-    tagged = df.withColumn("_token", F.lit(token))
-    stored = _existing(spark, path, tagged.schema)
-    foreign = stored.filter(F.col("_token") != token).limit(1).count()
-    if foreign:
+    spark, log = df.sparkSession, f"{path.rstrip('/')}-commits"
+    done = _existing(spark, log, df.select(*unit).withColumn("_token", F.lit(token)).schema)
+    if done.filter(F.col("_token") != token).limit(1).count():
         raise ValueError("stored units come from other inputs or settings")
-    done = stored.select(*unit).distinct()
-    todo = tagged.join(done, unit, "left_anti")
-    pending = todo.select(*unit).distinct().count()
-    if pending:
-        todo.write.mode("append").parquet(path)
-    return pending
+    pending = cut_lineage(df.select(*unit).distinct().join(done.select(*unit), unit, "left_anti"), "pending")
+    n = pending.count()
+    if n:
+        rows = df.join(pending, unit, "left_semi")
+        rows = compute(rows) if compute else rows
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*unit).parquet(path)
+        pending.withColumn("_token", F.lit(token)).write.mode("append").parquet(log)
+    return n
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
