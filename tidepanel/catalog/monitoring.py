@@ -160,8 +160,19 @@ def _(spark, sf):
     return detectors.runs(gappy_signal(spark, sf), ["id"])
 
 
+ISLANDS = "isl AS (SELECT *, m-row_number() OVER (PARTITION BY id ORDER BY m) AS isl FROM pz WHERE z IS NOT NULL)"
+RUN = "OVER (PARTITION BY id, isl ORDER BY m"
+#: Each score by windows over the islands of observed months: the EWMA as a sum of powers, CUSUM as the rise of a sum above its minimum so far.
+ALONE = {
+    "spike": f"WITH {GAPPY} SELECT id, m, abs(z) AS score FROM pz",
+    "rolling_3m": f"WITH {GAPPY}, {ISLANDS}, w AS (SELECT id, m, abs(avg(z) {RUN} ROWS 2 PRECEDING)) AS score FROM isl) SELECT pz.id, pz.m, score FROM pz LEFT JOIN w USING(id, m)",
+    "ewma": f"WITH {GAPPY}, {ISLANDS}, n AS (SELECT *, row_number() {RUN}) AS i FROM isl), w AS (SELECT id, m, abs(0.45::DOUBLE*pow(0.55::DOUBLE,i)*sum(z*pow(0.55::DOUBLE,-i)) {RUN})) AS score FROM n) SELECT pz.id, pz.m, score FROM pz LEFT JOIN w USING(id, m)",
+    "cusum": f"WITH {GAPPY}, {ISLANDS}, c AS (SELECT *, sum(z-0.025::DOUBLE) {RUN}) AS p, sum(-z-0.025::DOUBLE) {RUN}) AS n FROM isl), w AS (SELECT id, m, greatest(p-least(0, min(p) {RUN})), n-least(0, min(n) {RUN}))) AS score FROM c) SELECT pz.id, pz.m, score FROM pz LEFT JOIN w USING(id, m)",
+}
+
+
 def _score(method):
-    @query(f"score_{method}", "id:l m:l score:d", f"WITH {GAPPY}, {scores_sql('pz', 'id')} SELECT id, m, {method} AS score FROM sc")
+    @query(f"score_{method}", "id:l m:l score:d", ALONE[method])
     def _(spark, sf):
         return detectors.scores(gappy_signal(spark, sf), ["id"]).select("id", "m", F.col(method).alias("score"))
 
