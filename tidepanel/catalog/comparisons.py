@@ -276,6 +276,12 @@ def _(spark, sf):
     return inference.bootstrap_clusters(pairs(spark, sf), tables.supplier_lookup(spark, sf), "nation", 2_500, 20261007)
 
 
+@query("bootstrap_ids", "horizon:l draws:l difference_low:d difference_high:d reduction_low:d reduction_high:d", digits=3)
+def _(spark, sf):
+    """Ids as clusters; binomial draws have no SQL, so weights and intervals are tested against drawing with replacement."""
+    return inference.bootstrap_units(pairs(spark, sf), 2_500, 20261007)
+
+
 DM = f"""{PAIRS}, dd AS (SELECT horizon, target, avg(loss_b-loss_a) AS d FROM pairs GROUP BY ALL), mm AS (SELECT horizon, avg(d) AS mean, count(*) AS n FROM dd GROUP BY ALL),
 cc AS (SELECT horizon, target, d-mean AS c, row_number() OVER (PARTITION BY horizon ORDER BY target) AS i FROM dd JOIN mm USING(horizon)),
 lr AS (SELECT a.horizon, sum(CASE WHEN a.i=b.i THEN a.c*b.c ELSE 2*(1-(b.i-a.i)/a.horizon::DOUBLE)*a.c*b.c END) AS s FROM cc a JOIN cc b ON b.horizon=a.horizon AND b.i-a.i BETWEEN 0 AND a.horizon-1 GROUP BY ALL),

@@ -1,6 +1,11 @@
 """Resampling and tests on paired losses. Draws come from hashes, so they repeat on any cluster."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidepanel.functions import scalars
@@ -61,6 +66,85 @@ def bootstrap_clusters(pairs: DataFrame, clusters: DataFrame, cluster: str, draw
     return d.join(r, "horizon")
 
 
+_BUCKETS, _BLOCK = 1024, 256
+
+
+def unit_weights(sizes: np.ndarray, bucket: int, draws: int, seed: int) -> Iterator[np.ndarray]:
+    """How often each draw picks each unit of a bucket, unit by unit; a draw picks as many units as there are in all buckets.
+
+    The picks of a draw are split over the buckets, then over the units of a bucket one after the other: a unit gets a binomial share of what
+    is left, the last one the rest. That is drawing with replacement, without a row for a pick. Generators are seeded by bucket.
+    """
+    left = np.random.default_rng([seed, 0]).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=draws)[:, bucket]
+    own = np.random.default_rng([seed, 1, bucket])
+    for k in range(int(sizes[bucket]), 0, -1):
+        w = own.binomial(left, 1 / k) if k > 1 else left
+        left = left - w
+        yield w
+
+
+def bootstrap_units(pairs: DataFrame, draws: int, seed: int, unit: str = "id") -> DataFrame:
+    """``bootstrap_clusters`` with as many clusters as there are ids: 95 % intervals from arrays over draws, never draws × ids rows.
+
+    Rows of a bucket stream through a task in the order of units, and blocks of units are folded into one array a date by matrix products.
+    What a task keeps and emits is dates × draws numbers, whatever the number of ids.
+    """
+    cells = pairs.groupBy("horizon", unit, "target").agg(F.sum("loss_a").alias("a"), F.sum("loss_b").alias("b"), F.count("*").cast("double").alias("n"))
+    cells = cut_lineage(cells.select(F.pmod(F.xxhash64(unit), F.lit(_BUCKETS)).cast("int").alias("bucket"), F.col(unit).alias("unit"), "horizon", "target", "a", "b", "n"), "unit-sums")
+    sizes = np.zeros(_BUCKETS, np.int64)
+    for r in cells.groupBy("bucket").agg(F.count_distinct("unit").alias("n")).collect():
+        sizes[r["bucket"]] = r["n"]
+    dates = sorted((r["horizon"], r["target"]) for r in cells.select("horizon", "target").distinct().collect())  # the calendar
+    place = {d: i for i, d in enumerate(dates)}
+
+    def run(batches):
+        total = np.zeros((3, len(dates), draws))
+        weights, current, held = None, None, []
+        block = np.zeros((3, len(dates), _BLOCK))
+
+        def flush():
+            nonlocal held, block
+            if held:
+                for k in range(3):
+                    total[k] += block[k][:, :len(held)] @ np.array(held, float)
+                held, block = [], np.zeros_like(block)
+
+        for batch in batches:
+            rows = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "unit", "horizon", "target", "a", "b", "n")])
+            for bucket, own, horizon, target, *sums in rows:
+                if current is None or current[0] != bucket:
+                    weights = unit_weights(sizes, bucket, draws, seed)
+                if current != (bucket, own):
+                    if len(held) == _BLOCK:
+                        flush()
+                    current = bucket, own
+                    held.append(next(weights))
+                block[:, place[horizon, target], len(held) - 1] = sums
+        flush()
+        flat = lambda k: pa.array(list(total[k]), pa.list_(pa.float64()))
+        yield pa.record_batch([pa.array([h for h, _ in dates], pa.int32()), pa.array([t for _, t in dates], pa.int32()), flat(0), flat(1), flat(2)], ["horizon", "target", "a", "b", "n"])
+
+    arrays = "a array<double>, b array<double>, n array<double>"
+    parts = cells.repartition("bucket").sortWithinPartitions("bucket", "unit").mapInArrow(run, f"horizon int, target int, {arrays}")
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = {c: np.vstack(pdf[c].to_numpy()).sum(axis=0) for c in "abn"}
+        return pd.DataFrame({"horizon": pdf["horizon"].iloc[:1], "target": pdf["target"].iloc[:1], **{c: [v] for c, v in sums.items()}})
+
+    def balanced(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, n = (np.vstack(pdf[c].to_numpy()) for c in "abn")
+        ok = (n > 0).all(axis=0)  # a draw that leaves a date empty is dropped
+        mean = lambda x: (x[:, ok] / n[:, ok]).mean(axis=0)
+        return pd.DataFrame({"horizon": pdf["horizon"].iloc[0], "draw": np.flatnonzero(ok), "a": mean(a), "b": mean(b)})
+
+    by_date = parts.groupBy("horizon", "target").applyInPandas(joined, f"horizon int, target int, {arrays}")  # one row a task
+    stat = by_date.groupBy("horizon").applyInPandas(balanced, "horizon int, draw long, a double, b double")
+    stat = stat.withColumn("difference", F.col("b") - F.col("a")).withColumn("reduction", 100 * (1 - F.col("b") / F.col("a")))
+    d = grouped_quantile(stat, ["horizon"], "difference", {"difference_low": 0.025, "difference_high": 0.975}).withColumnRenamed("n", "draws")
+    r = grouped_quantile(stat, ["horizon"], "reduction", {"reduction_low": 0.025, "reduction_high": 0.975}).drop("n")
+    return d.join(r, "horizon")
+
+
 def dm_test(pairs: DataFrame) -> DataFrame:
     """Small-sample corrected Diebold–Mariano statistic per horizon with Bartlett weights up to lag h − 1.
 
