@@ -80,3 +80,18 @@ def test_a_long_run_keeps_its_whole_posterior(spark, tmp_path):
     batch = detectors.score_bocpd(df.withColumnRenamed("d", "m"), ["id"], spark.createDataFrame([(0.3,)], "sigma double"), DetectorSettings())
     want = {r["m"]: r["score"] for r in batch.collect()}
     assert len(got) == 1000 and all(got[d] == pytest.approx(want[d], rel=1e-9) for d in range(1, 1000))
+
+
+def test_late_rows_are_counted_exactly_after_restarts(spark, tmp_path):
+    """The watermark follows release times; a batch that is repeated replaces itself."""
+    folder, source = str(tmp_path / "out"), str(tmp_path / "in")
+    deliveries = [[("a", "2024-01-05"), ("b", "2024-01-10")], [("c", "2024-01-04"), ("d", "2024-01-09"), ("e", "2024-01-20"), ("f", None)], [("g", "2024-01-11"), ("h", "2024-01-19")]]
+    schema = None
+    for rows in deliveries:
+        df = spark.createDataFrame(rows, "key string, day string").select("key", F.to_timestamp("day").alias("ts"))
+        schema = df.schema
+        df.coalesce(1).write.mode("append").parquet(source)
+        kept, late, counts = ops.stream_available(ops.read_events(spark, source, schema), "3 days", folder)
+    keys = lambda df: {(r["batch"], r["key"]) for r in df.collect()}
+    assert keys(kept) == {(0, "a"), (0, "b"), (1, "d"), (1, "e"), (2, "h")} and keys(late) == {(1, "c"), (1, "f"), (2, "g")}
+    assert {(r["batch"], r["kept_rows"], r["late_rows"]) for r in counts.collect()} == {(0, 2, 0), (1, 2, 2), (2, 1, 1)}

@@ -8,7 +8,7 @@ from tidepanel.catalog.forecasts import NEAR, inputs, nearest
 from tidepanel.catalog.kit import FIRST, HORIZONS, YEAR, query
 from tidepanel.catalog.preparation import QUART
 from tidepanel.operators import accuracy, boosting, learned, profiles
-from tidepanel.session import cut_lineage
+from tidepanel.session import cut_lineage, delete_at_exit, scratch_path
 from tidepanel.sources import tables
 from tidepanel.streaming import ops
 
@@ -152,11 +152,18 @@ def _(spark, sf):
     return out.withColumn("day", F.col("window_start").cast("date"))
 
 
-@query("stream_available", "kept_rows:l late_rows:l stored_rows:l", """
-SELECT count(*) FILTER (WHERE ts<=TIMESTAMP '2024-01-20 00:00:00') AS kept_rows, count(*) FILTER (WHERE ts>TIMESTAMP '2024-01-20 00:00:00') AS late_rows, count(*) FILTER (WHERE ts<=TIMESTAMP '2024-01-20 00:00:00') AS stored_rows FROM events""")
+@query("stream_available", "batch:l kept_rows:l late_rows:l stored_kept:l stored_late:l", """
+WITH b AS (SELECT event_id%3 AS batch, ts FROM events), k AS (SELECT a.batch, (SELECT max(ts) FROM b WHERE b.batch<a.batch) AS mark FROM (SELECT unnest([0,1,2]) AS batch) a)
+SELECT batch, count(*) FILTER (WHERE NOT late) AS kept_rows, count(*) FILTER (WHERE late) AS late_rows, count(*) FILTER (WHERE NOT late) AS stored_kept, count(*) FILTER (WHERE late) AS stored_late FROM (SELECT b.batch, coalesce(ts<mark-INTERVAL 5 DAYS, false) AS late FROM b JOIN k USING(batch)) GROUP BY batch""")
 def _(spark, sf):
-    kept, counts = ops.stream_available(event_stream(spark, sf), "2024-01-20 00:00:00", "available")
-    return counts.agg(F.sum("kept_rows").alias("kept_rows"), F.sum("late_rows").alias("late_rows")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("stored_rows"))))
+    """Three deliveries, each a start of its own with the same folder; the later ones bring rows released long before."""
+    folder, events = scratch_path(spark, "available"), tables.table(spark, sf, "events")
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        kept, late, counts = ops.stream_available(ops.observations(ops.read_events(spark, f"{folder}/in", events.schema)), "5 days", folder)
+    delete_at_exit(spark, folder)
+    stored = lambda df, name: df.groupBy("batch").agg(F.count("*").alias(name))
+    return counts.join(stored(kept, "stored_kept"), "batch", "left").join(stored(late, "stored_late"), "batch", "left").fillna(0)
 
 
 SZ = f"""sd AS (SELECT id, d AS m, value FROM days WHERE (DATE '2023-12-31'+d::INT)::TIMESTAMP + INTERVAL 1 DAY {CLOSED}),

@@ -67,22 +67,27 @@ def stream_sliding(obs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream_aggregate(obs, delay, "3 days", "1 day")
 
 
-def stream_available(obs: DataFrame, as_of: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Rows public by ``as_of`` and, per batch, how many were left out. Returns (rows, counts) tables.
+def stream_available(obs: DataFrame, delay: str, folder: str, release: str = "ts") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Route rows by a watermark on their release time: (rows in time, late rows, counts by batch), tables under ``folder``.
 
-    A batch number is part of every path, so a batch repeated after a failure replaces itself.
+    A row is late if its release lies more than ``delay`` behind the latest one of the batches before, or is unknown. Every batch writes the
+    latest release seen so far beside its rows and reads that of lower numbers only. So the mark survives a restart, and a batch repeated
+    after a failure replaces itself and decides as it did before.
     """
     spark = obs.sparkSession
-    kept, counts = scratch_path(spark, f"{label}-kept"), scratch_path(spark, f"{label}-counts")
+    at = lambda name, number: f"{folder}/{name}/batch={number}"
 
     def route(batch: DataFrame, number: int) -> None:
-        late = F.col("ts") > F.lit(as_of).cast("timestamp")
-        batch.filter(~late).write.mode("overwrite").parquet(f"{kept}/batch={number}")
-        batch.agg(F.count(F.when(late, 1)).alias("late_rows"), F.count(F.when(~late, 1)).alias("kept_rows")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
-
-    q = obs.writeStream.foreachBatch(route).option("checkpointLocation", scratch_path(spark, f"{label}-ckpt")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(kept), spark.read.parquet(counts)
+        before = spark.read.parquet(at("marks", number - 1)).first()["mark"] if number else None
+        late = F.col(release).isNull() | (F.lit(False) if before is None else F.col(release) < F.lit(before) - F.expr(f"interval {delay}"))
+        batch.filter(~late).write.mode("overwrite").parquet(at("kept", number))
+        batch.filter(late).write.mode("overwrite").parquet(at("late", number))
+        batch.agg(F.count(F.when(~late, 1)).alias("kept_rows"), F.count(F.when(late, 1)).alias("late_rows")).write.mode("overwrite").parquet(at("counts", number))
+        batch.agg(F.greatest(F.max(release), F.lit(before).cast("timestamp")).alias("mark")).write.mode("overwrite").parquet(at("marks", number))
+
+    query = obs.writeStream.foreachBatch(route).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("kept", "late", "counts"))
 
 
 def daily(obs: DataFrame, delay: str = "1 hour") -> DataFrame:
