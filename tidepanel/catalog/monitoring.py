@@ -230,8 +230,7 @@ def _(spark, sf):
 @query("background_rates", "method:s units:l alarm_rate:d mean_alarm_months:d first_alarm:l", f"""
 WITH {SC}, {TH}, {AL} SELECT method, count(*) AS units, avg((a>0)::INT) AS alarm_rate, avg(a) AS mean_alarm_months, min(f) AS first_alarm FROM (SELECT method, id, count(*) FILTER (WHERE active) AS a, min(m) FILTER (WHERE active) AS f FROM al WHERE m>={WATCH} GROUP BY ALL) GROUP BY method""")
 def _(spark, sf):
-    u = alarm_rows(spark, sf).filter(F.col("m") >= WATCH).groupBy("method", "id").agg(F.count(F.when(F.col("active"), 1)).alias("a"), F.min(F.when(F.col("active"), F.col("m"))).alias("f"))
-    return u.groupBy("method").agg(F.count("*").alias("units"), F.avg((F.col("a") > 0).cast("double")).alias("alarm_rate"), F.avg("a").alias("mean_alarm_months"), F.min("f").alias("first_alarm"))
+    return backtest.background_rates(alarm_rows(spark, sf).filter(F.col("m") >= WATCH), ["method"], "id")
 
 
 @query("candidate_alerts", "id:l first_alarm:l max_score:d median_signal:d median_yoy_before:d median_yoy_after:d", f"""
@@ -499,7 +498,7 @@ def _(spark, sf):
 
 
 @query("shape_robustness", SCN + RATE_COLS + " precision:d", f"""
-WITH {BT}, {RATES} SELECT *, CASE WHEN treated_n*treated_rate+control_n*control_rate>0 THEN treated_n*treated_rate/(treated_n*treated_rate+control_n*control_rate) END AS precision FROM rr""")
+WITH {BT}, {RATES} SELECT *, CASE WHEN 0.25::DOUBLE*treated_rate+0.75::DOUBLE*control_rate>0 THEN 0.25::DOUBLE*treated_rate/(0.25::DOUBLE*treated_rate+0.75::DOUBLE*control_rate) END AS precision FROM rr""")
 def _(spark, sf):
     return backtest.alarm_rates(results(spark, sf))
 
@@ -588,6 +587,19 @@ def _(spark, sf):
     return backtest.level_stress(cohort_panel(spark, sf), tables.supplier_lookup(spark, sf), ONSET, BT_CAL, MIN_REGION, [-0.2, 0.2], ["step", "ramp"], LOCAL_SEEDS)
 
 
+@query("background_by_level", "level:s method:s units:l alarm_rate:d mean_alarm_months:d first_alarm:d", f"""
+WITH {LEVEL_STRESS}, bu AS (SELECT level, unit, method, count(*) FILTER (WHERE coalesce(score>threshold,false)) AS a, min(m) FILTER (WHERE score>threshold) AS f FROM bsm JOIN lt USING(level,unit,method) WHERE m>={ONSET} GROUP BY ALL)
+SELECT level, method, count(*) AS units, avg((a>0)::INT) AS alarm_rate, avg(a) AS mean_alarm_months, min(f) AS first_alarm FROM bu GROUP BY ALL""")
+def _(spark, sf):
+    """Unaltered months from the onset on, at each level and with the thresholds of each unit."""
+    from tidepanel.session import cut_lineage
+
+    scored = cut_lineage(backtest.level_scores(cohort_panel(spark, sf).filter(F.col("m") <= LASTK), tables.supplier_lookup(spark, sf), BT_CAL, MIN_REGION, LASTK), "level-scores")
+    limits = detectors.threshold_per_unit(scored, ["level", "unit"], BT_CAL)
+    rows = detectors.alarms(scored.filter(F.col("m") >= ONSET).join(limits, ["level", "unit", "method"]))
+    return backtest.background_rates(rows, ["level", "method"], "unit")
+
+
 @query("induced_error_path", "shift:d k:l induced:d", f"""
 WITH a AS (SELECT t.id, t.m, t.value AS v, p.value AS q, gt.f AS ft, go.f AS fo FROM panel t JOIN elig USING(id) JOIN panel p ON p.id=t.id AND p.m=t.m-1 JOIN pg gt ON gt.moy=t.m%12 JOIN pg go ON go.moy=(t.m-1)%12 WHERE t.m BETWEEN {ONSET} AND {LASTK} AND t.value>0 AND p.value>0)
 SELECT shift, m-{ONSET} AS k, median(ln(v*(1+shift)/(q*CASE WHEN m-1>={ONSET} THEN 1+shift ELSE 1 END*ft/fo))-ln(v/(q*ft/fo))) AS induced FROM a CROSS JOIN (SELECT unnest([-0.2,0.2]::DOUBLE[]) AS shift) GROUP BY ALL""")

@@ -200,8 +200,11 @@ def calendar_delay_metrics(results: DataFrame, lags: list[int], span: int = 6) -
     return out.withColumn("delivered_control_months", F.col("_d")).withColumn("new_control_per100", per("_n")).withColumn("base_control_per100", per("_b")).drop("_d", "_n", "_b")
 
 
-def alarm_rates(results: DataFrame) -> DataFrame:
-    """Treated and control alarm rates, suppressed and previously quiet shares (scope and shape studies)."""
+def alarm_rates(results: DataFrame, prevalence: float = 0.25) -> DataFrame:
+    """Treated and control alarm rates, suppressed and previously quiet shares (scope and shape studies).
+
+    ``precision`` is the share of true alarms if ``prevalence`` of the ids changed, whatever share was drawn.
+    """
     any_ = lambda c, before=None: F.exists("path", lambda p: p[c] & (p["k"] < before) if before is not None else p[c]).cast("int")
     hits_of = F.filter("path", lambda p: p["changed_alarm"])
     u = per_unit(results).select(*_units(results), "id", "treated", any_("base_alarm").alias("b"), any_("changed_alarm").alias("c"), F.get(hits_of, F.lit(0))["k"].alias("first"),
@@ -213,7 +216,7 @@ def alarm_rates(results: DataFrame) -> DataFrame:
         rate((F.col("c") == 1) & quiet, True).alias("new_rate"), F.avg(F.when(t & quiet, F.col("c").cast("double"))).alias("new_rate_quiet"),
         rate((F.col("b") == 1) & (F.col("c") == 0), True).alias("suppressed_rate"), rate(F.col("c"), False).alias("control_rate"), rate(F.col("b"), False).alias("control_base_rate"),
         rate(F.col("c1"), True).alias("by_first"), rate(F.col("c3"), True).alias("by_third"), F.percentile(F.when(t, F.col("first")), 0.5).alias("median_delay"))
-    hits, false = F.col("treated_n") * F.col("treated_rate"), F.col("control_n") * F.col("control_rate")
+    hits, false = prevalence * F.col("treated_rate"), (1 - prevalence) * F.col("control_rate")
     return out.withColumn("precision", F.when(hits + false > 0, hits / (hits + false)))
 
 
@@ -259,6 +262,24 @@ def induced_error_path(base: DataFrame, changed: DataFrame, keys: list[str]) ->
     return grouped_median(both, [*keys, "k"], "diff", "induced").drop("n")
 
 
+def level_scores(panel: DataFrame, regions: DataFrame, cal: tuple[int, int], minimum: int, last: int, keys: list[str] | None = None,
+                 settings: DetectorSettings = DetectorSettings()) -> DataFrame:
+    """(keys, level, unit, m, method, observed, score) of the panel, its large regions and the ids around their region, each around its
+    calibration median."""
+    keys = keys or []
+    unit = [*keys, "level", "unit"]
+    levels = signals.signal_levels(signals.yoy_log(panel, keys, last), regions, minimum, keys)
+    base = levels.filter(F.col("m").between(*cal)).groupBy(*unit).agg(F.percentile("z", 0.5).alias("_c"))  # the months of one unit
+    centred = levels.join(base, unit).withColumn("z", F.col("z") - F.col("_c"))
+    return detectors.by_method(detectors.scores(centred.select(*unit, "m", "z"), unit, settings), unit)
+
+
+def background_rates(rows: DataFrame, group: list[str], unit: str) -> DataFrame:
+    """(group, units, alarm_rate, mean_alarm_months, first_alarm) of unaltered data; ``rows`` carry active."""
+    own = rows.groupBy(*group, unit).agg(F.count(F.when(F.col("active"), 1)).alias("_a"), F.min(F.when(F.col("active"), F.col("m"))).alias("_f"))
+    return own.groupBy(*group).agg(F.count("*").alias("units"), F.avg((F.col("_a") > 0).cast("double")).alias("alarm_rate"), F.avg("_a").alias("mean_alarm_months"), F.min("_f").alias("first_alarm"))
+
+
 def level_stress(panel: DataFrame, regions: DataFrame, onset: int, cal: tuple[int, int], minimum: int, shifts: list[float], shapes: list[str],
                  seeds: list[int], settings: DetectorSettings = DetectorSettings(), span: int = 6) -> DataFrame:
     """Shocks to the whole panel, to each of the three largest regions and, for every seed, to a quarter of the ids.
@@ -282,11 +303,7 @@ def level_stress(panel: DataFrame, regions: DataFrame, onset: int, cal: tuple[in
     altered = altered.withColumn("value", F.when(F.col("hit") & (k >= 0), F.col("value") * scalars.shock_factor("shape", "shift", k, span)).otherwise(F.col("value")))
 
     def scored(rows, extra):
-        levels = signals.signal_levels(signals.yoy_log(rows, extra, last), regions, minimum, extra)
-        unit = [*extra, "level", "unit"]
-        base = levels.filter(F.col("m").between(*cal)).groupBy(*unit).agg(F.percentile("z", 0.5).alias("_c"))
-        centred = levels.join(base, unit).withColumn("z", F.col("z") - F.col("_c"))
-        return detectors.by_method(detectors.scores(centred.select(*unit, "m", "z"), unit, settings), unit)
+        return level_scores(rows, regions, cal, minimum, last, extra, settings)
 
     base = cut_lineage(scored(known, []), "level-scores")
     limits = detectors.threshold_per_unit(base, ["level", "unit"], cal)
