@@ -246,7 +246,7 @@ def fit(rows: DataFrame, keys: list[str], settings: Boost = Boost(), x: str = "x
                                                            ("missing_left", flags), ("value", doubles)])
     small = rows.join(F.broadcast(sizes.filter(F.col("_rows") > limit)), keys, "left_anti") if large else rows
     # models are few and long; their number must not follow the bytes of their rows
-    tasks = 4 * max(small.sparkSession.sparkContext.defaultParallelism, int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, min(sizes.count(), 4 * max(small.sparkSession.sparkContext.defaultParallelism, int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     fitted = small.repartition(tasks, *keys).groupBy(*keys).applyInArrow(run, shape)
     return fitted.unionByName(_fit_large(rows, keys, large, settings, shape)) if large else fitted
 
