@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidepanel.functions import months, scalars
-from tidepanel.operators.quantiles import weighted_median
 from tidepanel.schema import FORECAST_KEYS, share
+from tidepanel.session import cut_lineage
 
 
 def pair_models(fc: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
@@ -121,6 +121,31 @@ def select_forecaster(fc: DataFrame, base: str, until: int, horizons: list[int])
     return ranked.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.round("score", 9), "model")))
 
 
+#: Steps of a natural logarithm by which ratios are first counted.
+RATIO_STEPS = 256
+
+
+def _reached_medians(rows: DataFrame, reach: DataFrame) -> DataFrame:
+    """(horizon, origin, ratio): weighted median over the rows (horizon, target, ratio, w, _bucket) of the months an origin reaches.
+
+    Weights are summed once by month and step of the logarithm, so origins share them; only the rows of the step that holds the half meet
+    the origins themselves.
+    """
+    sums = rows.groupBy("horizon", "target", "_bucket").agg(F.sum("w").alias("_w"))
+    steps = sums.join(F.broadcast(reach), ["horizon", "target"]).groupBy("horizon", "origin", "_bucket").agg(F.sum("_w").alias("_w"))
+    whole = W.partitionBy("horizon", "origin")
+    run = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    chosen = (
+        steps.withColumns({"_cum": F.sum("_w").over(run), "_half": F.sum("_w").over(whole) / 2}).filter(F.col("_cum") >= F.col("_half"))
+        .groupBy("horizon", "origin", "_half").agg(F.min("_bucket").alias("_bucket"), F.min_by(F.col("_cum") - F.col("_w"), "_bucket").alias("_base")))
+    wanted = reach.join(chosen, ["horizon", "origin"])  # a row a pair of months
+    inside = rows.join(F.broadcast(wanted), ["horizon", "target", "_bucket"]).groupBy("horizon", "origin", "_half", "_base", "ratio").agg(F.sum("w").alias("_w"))
+    cum = F.col("_base") + F.sum("_w").over(whole.orderBy("ratio").rowsBetween(W.unboundedPreceding, W.currentRow))
+    # Sums in another order may fall short of the half by a rounding; then it is the last value of the step.
+    return inside.withColumn("_hit", cum >= F.col("_half")).groupBy("horizon", "origin").agg(
+        F.coalesce(F.min(F.when(F.col("_hit"), F.col("ratio"))), F.max("ratio")).alias("ratio"))
+
+
 def bias_factors(fc: DataFrame, scope: str, window: int | None = None, minimum_dates: int = 2, shrink: float = 3.0,
                  low: float = 0.85, high: float = 1.15) -> DataFrame:
     """Multiplicative correction per (horizon, origin[, id]) from errors whose target is not after the origin.
@@ -128,34 +153,33 @@ def bias_factors(fc: DataFrame, scope: str, window: int | None = None, minimum_d
     The factor is the weighted median of actual / predicted with the forecast as weight. It needs two
     dates, never moves between horizons, and the per-id form shrinks to the global one by n / (n + 3).
     """
-    past = fc.filter("predicted > 0").select("id", "horizon", "target", (F.col("actual") / F.col("predicted")).alias("ratio"), F.col("predicted").alias("w"))
-    origins = fc.select("horizon", "origin").distinct()
-    near = F.col("target") <= F.col("origin")
-    if window is not None:
-        near = near & (F.col("target") > F.col("origin") - window)
-    # Date pairs first (month axis only), then rows join by equality on (horizon, target).
-    reach = past.select("horizon", "target").distinct().join(origins, "horizon").filter(near)
-    known = past.join(reach, ["horizon", "target"])
-    dates = reach.groupBy("horizon", "origin").agg(F.count_distinct("target").alias("dates"))
-    usable = dates.filter(F.col("dates") >= minimum_dates)
-    overall = weighted_median(known.join(usable.select("horizon", "origin"), ["horizon", "origin"], "left_semi"),
-                              ["horizon", "origin"], "ratio", "w", "ratio")
-    overall = overall.withColumn("global_factor", scalars.clip("ratio", low, high)).drop("ratio")
+    near = lambda target: (target <= F.col("origin")) if window is None else (target <= F.col("origin")) & (target > F.col("origin") - window)
+    past = fc.filter("predicted > 0").select("horizon", "target", (F.col("actual") / F.col("predicted")).alias("ratio"), F.col("predicted").alias("w"))
+    past = cut_lineage(past.withColumn("_bucket", F.floor(F.log("ratio") * RATIO_STEPS)), "ratios")
+    origins = cut_lineage(fc.select("horizon", "origin").distinct(), "origins")
+    # Pairs of months first; both sides have a row a month.
+    reach = past.select("horizon", "target").distinct().join(F.broadcast(origins), "horizon").filter(near(F.col("target")))
+    reach = cut_lineage(reach, "reach")
+    dates = reach.groupBy("horizon", "origin").agg(F.count("*").alias("dates"))
+    usable = reach.join(F.broadcast(dates.filter(F.col("dates") >= minimum_dates)), ["horizon", "origin"]).drop("dates")
+    overall = _reached_medians(past, usable).withColumn("global_factor", scalars.clip("ratio", low, high)).drop("ratio")
     base = origins.join(dates, ["horizon", "origin"], "left").join(overall, ["horizon", "origin"], "left").select(
         "horizon", "origin", F.coalesce("dates", F.lit(0)).alias("dates"), F.coalesce("global_factor", F.lit(1.0)).alias("global_factor"))
     if scope == "global":
         return base.withColumn("factor", F.col("global_factor"))
-    # One id: at most one ratio per date, so an ordered window over it is bounded by the month axis.
-    order = W.partitionBy("horizon", "origin", "id").orderBy("ratio").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy("horizon", "origin", "id")
-    local = (
-        known.withColumn("_cum", F.sum("w").over(order)).withColumn("_total", F.sum("w").over(whole)).withColumn("_n", F.count("*").over(whole))
-        .filter((F.col("_cum") >= F.col("_total") / 2) & (F.col("_n") >= minimum_dates))
-        .groupBy("horizon", "origin", "id").agg(F.min("ratio").alias("local"), F.first("_n").alias("local_dates")))
-    ids = fc.select("horizon", "origin", "id").distinct()
-    n = F.col("local_dates")
-    mixed = scalars.clip(n / (n + shrink) * F.col("local") + (1 - n / (n + shrink)) * F.col("global_factor"), low, high)
-    return ids.join(base, ["horizon", "origin"]).join(local, ["horizon", "origin", "id"], "left").select(
+    # One id: at most one ratio a date, so its array is bounded by the month axis and every origin reads it.
+    own = F.when(F.col("predicted") > 0, F.struct((F.col("actual") / F.col("predicted")).alias("ratio"), "target", F.col("predicted").alias("w")))
+    ids = fc.groupBy("horizon", "id").agg(F.sort_array(F.collect_list(own)).alias("_all"), F.collect_set("origin").alias("_origins"))
+    ids = ids.select("horizon", "id", "_all", F.explode("_origins").alias("origin")).withColumn("_near", F.filter("_all", lambda x: near(x["target"])))
+    ids = ids.select("horizon", "id", "origin", "_near", (F.aggregate("_near", F.lit(0.0), lambda t, x: t + x["w"]) / 2).alias("_half"))
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("at"))
+    step = lambda t, x: F.struct((t["cum"] + x["w"]).alias("cum"), F.coalesce(t["at"], F.when(t["cum"] + x["w"] >= F.col("_half"), x["ratio"])).alias("at"))
+    n = F.size("_near")
+    local = F.when(n >= minimum_dates, F.aggregate("_near", start, step)["at"])
+    ids = ids.select("horizon", "id", "origin", n.alias("_n"), local.alias("local")).join(F.broadcast(base), ["horizon", "origin"])
+    trust = F.col("_n") / (F.col("_n") + shrink)
+    mixed = scalars.clip(trust * F.col("local") + (1 - trust) * F.col("global_factor"), low, high)
+    return ids.select(
         "horizon", "origin", "id", "dates", "global_factor",
         F.when(F.col("dates") >= minimum_dates, F.coalesce(mixed, F.col("global_factor"))).otherwise(F.lit(1.0)).alias("factor"))
 
