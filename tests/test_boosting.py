@@ -76,6 +76,24 @@ def test_summed_histograms_grow_the_same_trees(models, bins):
     assert small[3]["rows"] == 30 and small[3]["feature"] == [-1]  # too few rows to split
 
 
+def test_rows_of_equal_features_may_be_summed_before(models, spark):
+    s = b.Boost(rounds=3, leaves=5, least=20)
+    whole = models.filter("y is not null").selectExpr("model", "kind", "transform(x, v -> round(v)) x", "round(64 * y) / 64 y")
+    few = whole.groupBy("model", "kind", "x").agg({"y": "sum", "*": "count"}).withColumnsRenamed({"sum(y)": "y", "count(1)": "n"})
+    read = lambda rows, limit, weight=None: {r["model"]: r for r in b.fit(rows, ["model", "kind"], s, task_rows=limit, weight=weight).collect()}
+    assert few.count() < whole.count()
+    assert read(whole, 10**6) == read(few, 10**6, "n") == read(few, 0, "n")
+
+
+def test_blocks_meet_the_origins_like_their_rows(spark):
+    x, y = made(5, 600)
+    rows = spark.createDataFrame([(FIRST + i % 20, 1 + 2 * (i % 2), [None if np.isnan(v) else float(v) for v in r], float(t)) for i, (r, t) in enumerate(zip(x, y))],
+                                 "source int, horizon int, x array<double>, y double").repartition(3)
+    s, keys, origins = b.Boost(rounds=3, leaves=5, least=20), ["origin", "horizon"], [FIRST + 9, FIRST + 15]
+    read = lambda fitted: {(r["origin"], r["horizon"]): r for r in fitted.collect()}
+    assert read(b.fit(learned._per_origin(rows, origins), keys, s)) == read(b.fit_packed(learned._blocks_per_origin(rows, origins), keys, s))
+
+
 def test_predictions_by_model(models):
     keys = ["model", "kind"]
     fitted = b.forests(b.fit(models, keys, b.Boost(rounds=5, least=20)), keys)
