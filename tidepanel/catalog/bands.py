@@ -9,6 +9,7 @@ from tidepanel.catalog.kit import FIRST, LAST, YEAR, query
 from tidepanel.catalog.preparation import QUART
 from tidepanel.functions import months
 from tidepanel.operators import intervals, prep
+from tidepanel.session import cut_lineage
 from tidepanel.sources import tables
 
 MODEL = "growth_bridge"
@@ -17,11 +18,12 @@ OUT = "id:l target:l calibration_rows:l lower:d upper:d covered:b width:d interv
 
 
 def one_step(spark, sf):
-    return base_forecasts(spark, sf, [MODEL], [1])
+    """Stored: the month axis, guards, scores and intervals all read it."""
+    return cut_lineage(base_forecasts(spark, sf, [MODEL], [1]), "forecasts")
 
 
 def scaled(spark, sf):
-    return one_step(spark, sf).join(prep.scale_by_id(tables.supplier_panel(spark, sf), YEAR), "id")
+    return cut_lineage(base_forecasts(spark, sf, [MODEL], [1]).join(prep.scale_by_id(tables.supplier_panel(spark, sf), YEAR), "id"), "forecasts")
 
 
 def oracle(pair_condition, norm="1.0::DOUBLE", level=0.8, extra="", group="", source="f"):

@@ -81,7 +81,7 @@ def calibrated(fc: DataFrame, pairs: DataFrame, strategy: str, coverage: float,
 
 
 def calibrate_by_group(fc: DataFrame, groups: DataFrame, group: str, pairs: DataFrame, strategy: str, coverage: float) -> DataFrame:
-    rows = fc.join(groups.select("id", group), "id", "left")
+    rows = cut_lineage(fc.join(groups.select("id", group), "id", "left"), "grouped")  # the guard, scores and intervals read it
     guards.assert_empty(rows.filter(F.col(group).isNull()), "id without a calibration group")
     return calibrated(rows, pairs, strategy, coverage, [group])
 
