@@ -67,15 +67,21 @@ def bootstrap_clusters(pairs: DataFrame, clusters: DataFrame, cluster: str, draw
 
 
 _BUCKETS, _BLOCK = 1024, 256
+_MONTHS = 1 << 32  # months are below it, so horizon and month make one number
 
 
-def unit_weights(sizes: np.ndarray, bucket: int, draws: int, seed: int) -> Iterator[np.ndarray]:
+def bucket_shares(sizes: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """(draws, buckets): how many picks of each draw fall to each bucket. It costs draws × buckets, so a task makes it once for all its buckets."""
+    return np.random.default_rng([seed, 0]).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=draws)
+
+
+def unit_weights(sizes: np.ndarray, bucket: int, draws: int, seed: int, shares: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """How often each draw picks each unit of a bucket, unit by unit; a draw picks as many units as there are in all buckets.
 
     The picks of a draw are split over the buckets, then over the units of a bucket one after the other: a unit gets a binomial share of what
     is left, the last one the rest. That is drawing with replacement, without a row for a pick. Generators are seeded by bucket.
     """
-    left = np.random.default_rng([seed, 0]).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=draws)[:, bucket]
+    left = (bucket_shares(sizes, draws, seed) if shares is None else shares)[:, bucket]
     own = np.random.default_rng([seed, 1, bucket])
     for k in range(int(sizes[bucket]), 0, -1):
         w = own.binomial(left, 1 / k) if k > 1 else left
@@ -95,10 +101,10 @@ def bootstrap_units(pairs: DataFrame, draws: int, seed: int, unit: str = "id") -
     for r in cells.groupBy("bucket").agg(F.count_distinct("unit").alias("n")).collect():
         sizes[r["bucket"]] = r["n"]
     dates = sorted((r["horizon"], r["target"]) for r in cells.select("horizon", "target").distinct().collect())  # the calendar
-    place = {d: i for i, d in enumerate(dates)}
+    codes = np.array([h * _MONTHS + t for h, t in dates])  # rising, as dates are
 
     def run(batches):
-        total = np.zeros((3, len(dates), draws))
+        total, shares = np.zeros((3, len(dates), draws)), None
         weights, current, held = None, None, []
         block = np.zeros((3, len(dates), _BLOCK))
 
@@ -110,16 +116,22 @@ def bootstrap_units(pairs: DataFrame, draws: int, seed: int, unit: str = "id") -
                 held, block = [], np.zeros_like(block)
 
         for batch in batches:
-            rows = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "unit", "horizon", "target", "a", "b", "n")])
-            for bucket, own, horizon, target, *sums in rows:
-                if current is None or current[0] != bucket:
-                    weights = unit_weights(sizes, bucket, draws, seed)
-                if current != (bucket, own):
+            column = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            bucket, own = column["bucket"].to_numpy(), column["unit"].dictionary_encode("encode").indices.to_numpy()
+            place = np.searchsorted(codes, column["horizon"].to_numpy().astype(np.int64) * _MONTHS + column["target"].to_numpy())
+            sums = np.array([column[c].to_numpy(zero_copy_only=False) for c in "abn"])
+            starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])]))
+            for first, last in zip(starts, [*starts[1:], batch.num_rows]):
+                name = int(bucket[first]), column["unit"][int(first)].as_py()
+                if current is None or current[0] != name[0]:
+                    shares = bucket_shares(sizes, draws, seed) if shares is None else shares
+                    weights = unit_weights(sizes, name[0], draws, seed, shares)
+                if current != name:
                     if len(held) == _BLOCK:
                         flush()
-                    current = bucket, own
+                    current = name
                     held.append(next(weights))
-                block[:, place[horizon, target], len(held) - 1] = sums
+                block[:, place[first:last], len(held) - 1] = sums[:, first:last]
         flush()
         flat = lambda k: pa.array(list(total[k]), pa.list_(pa.float64()))
         yield pa.record_batch([pa.array([h for h, _ in dates], pa.int32()), pa.array([t for _, t in dates], pa.int32()), flat(0), flat(1), flat(2)], ["horizon", "target", "a", "b", "n"])
@@ -138,7 +150,8 @@ def bootstrap_units(pairs: DataFrame, draws: int, seed: int, unit: str = "id") -
         return pd.DataFrame({"horizon": pdf["horizon"].iloc[0], "draw": np.flatnonzero(ok), "a": mean(a), "b": mean(b)})
 
     by_date = parts.groupBy("horizon", "target").applyInPandas(joined, f"horizon int, target int, {arrays}")  # one row a task
-    stat = by_date.groupBy("horizon").applyInPandas(balanced, "horizon int, draw long, a double, b double")
+    # Both quantiles read the draws of a horizon; written once, the weights are not drawn again.
+    stat = cut_lineage(by_date.groupBy("horizon").applyInPandas(balanced, "horizon int, draw long, a double, b double"), "draws")
     stat = stat.withColumn("difference", F.col("b") - F.col("a")).withColumn("reduction", 100 * (1 - F.col("b") / F.col("a")))
     d = grouped_quantile(stat, ["horizon"], "difference", {"difference_low": 0.025, "difference_high": 0.975}).withColumnRenamed("n", "draws")
     r = grouped_quantile(stat, ["horizon"], "reduction", {"reduction_low": 0.025, "reduction_high": 0.975}).drop("n")
