@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="test tables are absent")
-@pytest.mark.parametrize("name", ["match_events", "recheck_detector_table", "event_scores"])
+@pytest.mark.parametrize("name", ["match_events", "event_scores", "choose_detector", "recheck_detector_table"])
 def test_event_queries_equal_sql(spark, name):
     status, _, _, note = compare(spark, connect(SF), name, SF)
     assert status == "ok", note
